@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jsonloom.functions.shared import shared
 from jsonloom.functions.text import js_number, js_trim, json_trim, let
 
 # Options that narrow Spark's JSON reader to RFC 8259.
@@ -139,9 +140,10 @@ def parse_text(text: Column) -> Column:
     return let(json_trim(text), parse_value)
 
 
-def is_json(text: Column) -> Column:
-    """True where ``text`` is exactly one JSON value."""
-    return parse_text(text).isNotNull()
+@shared
+def is_json(text: str) -> Column:
+    """True where the text of a column is exactly one JSON value."""
+    return parse_text(F.col(text)).isNotNull()
 
 
 def kind(cell: Column) -> Column:

@@ -32,6 +32,7 @@ from jsonloom.functions.cells import (
     string_value,
 )
 from jsonloom.functions.paths import ancestor, path_text, segment_text
+from jsonloom.functions.shared import shared
 
 # Fixed value: strings deeper than this stay strings.
 DEFAULT_MAX_DEPTH = 10
@@ -51,14 +52,16 @@ def _opened(rows: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def _roots(records: DataFrame, max_depth: int) -> DataFrame:
-    """Root rows with their ``value``; containers have been taken apart already
-    when the record was checked."""
+@shared
+def _root_value(max_depth: int) -> Column:
+    """Containers have been taken apart already when the record was checked."""
     cell = F.col("cell")
-    known = F.struct("cell", "children")
     inside = open_cell(cell, F.lit(max_depth >= 0))
-    value = F.when(is_container(cell), known).otherwise(inside)
-    rows = records.where(cell.isNotNull()).select(
+    return F.when(is_container(cell), F.struct("cell", "children")).otherwise(inside)
+
+
+def _roots(records: DataFrame, max_depth: int) -> DataFrame:
+    rows = records.where(F.col("cell").isNotNull()).select(
         "doc_id",
         "line_number",
         F.array().cast("array<int>").alias("ord"),
@@ -67,40 +70,34 @@ def _roots(records: DataFrame, max_depth: int) -> DataFrame:
         F.array().cast("array<int>").alias("layers"),
         F.lit(False).alias("member"),
         "cell",
-        value.alias("value"),
+        _root_value(max_depth).alias("value"),
     )
     return _opened(rows, "value")
 
 
-def _parse(rows: DataFrame, max_depth: int) -> DataFrame:
-    is_open = F.col("n_children").isNull()
+@shared
+def _open_value(max_depth: int) -> Column:
     may_unwrap = F.size("path") - 1 <= max_depth
-    return rows.select(
-        "*", F.when(is_open, open_cell(F.col("cell"), may_unwrap)).alias("value")
-    )
-
+    return F.when(F.col("n_children").isNull(), open_cell(F.col("cell"), may_unwrap))
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Close the open rows and open their children.
 
-    The explode and the new columns share one generated stage.
-    ``posexplode_outer`` keeps the optimizer from adding a filter on the array's
-    size, which would be pushed below the projection and parse a second time.
-    """
+@shared
+def _with_children() -> Column:
     self_entry = F.array(F.lit(None).cast("struct<key:string,cell:string>"))
     below = F.coalesce(F.col("value.children"), F.array().cast(ENTRIES))
-    spread = rows.select(
-        "*", F.posexplode_outer(F.concat(self_entry, below)).alias("pos", "entry")
-    )
+    return F.concat(self_entry, below)
 
+
+@shared
+def _spread_columns() -> list[Column]:
     own = F.col("pos") == 0
     unwrapped = F.col("cell").startswith("s") & F.col("value").isNotNull()
     key = F.coalesce(F.col("entry.key"), (F.col("pos") - 1).cast("string"))
     count = F.coalesce("n_children", F.size("value.children"), F.lit(0))
     raw = F.when(unwrapped, string_value(F.col("cell"))).otherwise(F.col("raw_string"))
-    return spread.select(
-        "doc_id",
-        "line_number",
+    return [
+        F.col("doc_id"),
+        F.col("line_number"),
         F.when(own, F.col("ord")).otherwise(F.concat("ord", F.array(F.col("pos") - 1))).alias("ord"),
         F.when(own, F.col("path")).otherwise(F.concat("path", F.array(key))).alias("path"),
         F.when(own, F.col("path_text"))
@@ -113,42 +110,58 @@ def _spread(rows: DataFrame) -> DataFrame:
         F.when(own, F.coalesce("value.cell", "cell")).otherwise(F.col("entry.cell")).alias("cell"),
         F.when(own, count).alias("n_children"),
         F.when(own, raw).alias("raw_string"),
-    )
+    ]
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Close the open rows and open their children.
+
+    The explode and the new columns share one generated stage.
+    ``posexplode_outer`` keeps the optimizer from adding a filter on the array's
+    size, which would be pushed below the projection and parse a second time.
+    """
+    spread = rows.select("*", F.posexplode_outer(_with_children()).alias("pos", "entry"))
+    return spread.select(*_spread_columns())
 
 
 def _level(rows: DataFrame, max_depth: int) -> DataFrame:
-    return _spread(_parse(rows, max_depth))
+    return _spread(rows.select("*", _open_value(max_depth).alias("value")))
 
 
 def _levels(rows: DataFrame, count: int, max_depth: int) -> DataFrame:
     return reduce(lambda frame, _: _level(frame, max_depth), range(count), rows)
 
 
-def _finish(rows: DataFrame) -> DataFrame:
-    """Node columns; those not asked for are pruned by the optimizer."""
+@shared
+def _node_columns() -> list[Column]:
     cell, path, layers = F.col("cell"), F.col("path"), F.col("layers")
     was = F.col("raw_string").isNotNull()
-    return rows.select(
-        "doc_id",
+    return [
+        F.col("doc_id"),
         F.concat(F.lit("record-"), F.col("line_number").cast("string")).alias("record_id"),
         F.col("line_number").alias("source_line"),
-        "ord",
-        "path",
-        "path_text",
+        F.col("ord"),
+        path,
+        F.col("path_text"),
         (F.size(path) - 1).alias("depth"),
         kind(cell).alias("kind"),
         string_value(cell).alias("str_value"),
         number_value(cell).alias("num_value"),
         boolean_value(cell).alias("bool_value"),
-        "n_children",
+        F.col("n_children"),
         was.alias("was_stringified"),
-        "raw_string",
+        F.col("raw_string"),
         is_container(cell).alias("expandable"),
         was.alias("restorable"),
-        "member",
-        "layers",
+        F.col("member"),
+        layers,
         stringified_chain(path, layers).alias("stringified_chain"),
-    )
+    ]
+
+
+def _finish(rows: DataFrame) -> DataFrame:
+    """Node columns; those not asked for are pruned by the optimizer."""
+    return rows.select(*_node_columns())
 
 
 def stringified_chain(path: Column, layers: Column) -> Column:

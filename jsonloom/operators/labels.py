@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jsonloom.functions.shared import shared
 from jsonloom.functions.text import js_number, json_quote
 
 
+@shared
 def key_label() -> Column:
     """Last path segment, ``$`` at the root."""
     return F.element_at("path", -1)
 
 
+@shared
 def scalar_label() -> Column:
     """JSON text of a scalar node, except that an infinite number stays a word."""
     return (
@@ -23,6 +26,7 @@ def scalar_label() -> Column:
     )
 
 
+@shared
 def value_label() -> Column:
     count = F.col("n_children").cast("string")
     return (

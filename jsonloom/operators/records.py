@@ -19,6 +19,7 @@ from jsonloom.functions.cells import (
     printed,
     string_value,
 )
+from jsonloom.functions.shared import shared
 from jsonloom.functions.text import js_slice, js_trim, json_trim, let
 from jsonloom.sources.documents import split_lines
 
@@ -37,8 +38,10 @@ RECORDS = f"array<struct<line_number:bigint,text:string,cell:string,children:{EN
 # --- formats -----------------------------------------------------------------
 
 
-def likely_jsonl(text: Column) -> Column:
-    """At least two non-blank lines, every one valid after trimming."""
+@shared
+def likely_jsonl(text: str = "text") -> Column:
+    """Whether a column's text has at least two non-blank lines, every one valid
+    after trimming."""
     lines = F.filter(
         F.transform(F.split(text, LINE_ENDS, -1), js_trim), lambda line: line != ""
     )
@@ -52,13 +55,18 @@ def likely_jsonl(text: Column) -> Column:
     )
 
 
-def detect_format(text: Column) -> Column:
+def detect_format(text: str = "text") -> Column:
     return F.when(likely_jsonl(text), "jsonl").otherwise("json")
 
 
 # --- records -----------------------------------------------------------------
 
 
+@shared
+def _text_value() -> Column:
+    return parse_text(F.col("text"))
+
+
 def _record(line_number: Column, text: Column) -> Column:
     return let(
         parse_text(text),
@@ -80,7 +88,8 @@ def _numbered_lines(text: Column) -> Column:
     return F.filter(lines, lambda e: let(e["line"], js_trim) != "")
 
 
-def _strict_lines(text: Column) -> Column:
+@shared
+def _strict_lines() -> Column:
     """Records of all lines, or NULL unless there are several and all are valid."""
 
     def strict(lines: Column) -> Column:
@@ -93,7 +102,24 @@ def _strict_lines(text: Column) -> Column:
         )
         return F.when(plausible, checked)
 
-    return let(_numbered_lines(text), strict)
+    return let(_numbered_lines(F.col("text")), strict)
+
+
+@shared
+def _tolerant_lines() -> Column:
+    """Records of all non-blank lines, failed ones with a NULL cell."""
+    lines = _numbered_lines(F.col("text"))
+    return F.transform(lines, lambda e: _record(e["number"], e["line"]))
+
+
+@shared
+def _blank() -> Column:
+    return js_trim(F.col("text")) == ""
+
+
+@shared
+def _whole() -> Column:
+    return F.array(_record(F.lit(1), F.col("text")))
 
 
 def parse_documents(docs: DataFrame, forced_format: str | None = None) -> DataFrame:
@@ -104,10 +130,7 @@ def parse_documents(docs: DataFrame, forced_format: str | None = None) -> DataFr
     """
     if forced_format not in (None, "json", "jsonl"):
         raise ValueError(f"unknown format {forced_format!r}")
-    text = F.col("text")
-    blank = js_trim(text) == ""
-    none = F.array().cast(RECORDS)
-    whole = F.array(_record(F.lit(1), text))
+    blank, none, whole = _blank(), F.array().cast(RECORDS), _whole()
 
     if forced_format == "json":
         return docs.select(
@@ -117,10 +140,11 @@ def parse_documents(docs: DataFrame, forced_format: str | None = None) -> DataFr
             F.when(blank, none).otherwise(whole).alias("found"),
         )
     if forced_format == "jsonl":
-        lines = F.transform(_numbered_lines(text), lambda e: _record(e["number"], e["line"]))
-        return docs.select("doc_id", "text", F.lit("jsonl").alias("format"), lines.alias("found"))
+        return docs.select(
+            "doc_id", "text", F.lit("jsonl").alias("format"), _tolerant_lines().alias("found")
+        )
 
-    strict = docs.select("doc_id", "text", _strict_lines(text).alias("strict"))
+    strict = docs.select("doc_id", "text", _strict_lines().alias("strict"))
     is_lines = F.col("strict").isNotNull()
     return strict.select(
         "doc_id",
@@ -158,9 +182,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """Tolerant JSON Lines: every non-blank line a record, bad lines kept."""
     # As a one-element array the value is computed once, however many filters
     # on it follow.
-    found = F.array(parse_text(F.col("text")))
+    found = F.array(_text_value())
     return _named(
-        lines.where(js_trim(F.col("text")) != "")
+        lines.where(~_blank())
         .select("doc_id", "line_number", "text", F.explode_outer(found).alias("r"))
         .select(
             "doc_id", "line_number", F.lit("jsonl").alias("format"), "text", "r.cell", "r.children"
@@ -227,8 +251,10 @@ def _object_summary(entries: Column) -> Column:
     )
 
 
-def extract_summary(cell: Column, children: Column) -> Column:
-    """One-line summary of an unexpanded value."""
+@shared
+def extract_summary() -> Column:
+    """One-line summary of a record's unexpanded value."""
+    cell, children = F.col("cell"), F.col("children")
     return F.when(cell == "{", _object_summary(children)).otherwise(
         primitive_summary(cell, children)
     )
@@ -241,7 +267,7 @@ def summaries(records: DataFrame) -> DataFrame:
     )
     return records.withColumn(
         "summary",
-        F.when(F.col("cell").isNull(), failed).otherwise(extract_summary(F.col("cell"), F.col("children"))),
+        F.when(F.col("cell").isNull(), failed).otherwise(extract_summary()),
     )
 
 
@@ -296,11 +322,10 @@ def quarantine(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def line_formats(lines: DataFrame) -> DataFrame:
     """``doc_id, format`` of line sources: detection as a mergeable aggregate."""
-    text = js_trim(F.col("text"))
-    found = lines.select("doc_id", text.alias("text")).select(
+    found = lines.select("doc_id", js_trim(F.col("text")).alias("text")).select(
         "doc_id",
         (F.col("text") != "").alias("counted"),
-        parse_value(F.col("text")).isNotNull().alias("valid"),
+        _text_value().isNotNull().alias("valid"),
     )
     return found.groupBy("doc_id").agg(
         F.when(
