@@ -52,18 +52,22 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
-def js_slice(text: Column, units: int) -> Column:
+def js_slice(text: Column, units: Column | int) -> Column:
     """``text.slice(0, units)``; a cut through a surrogate pair keeps the pair."""
+    units = F.lit(units) if isinstance(units, int) else units
+    start = F.lit(1)
 
     def cut(raw: Column) -> Column:
-        last = F.hex(F.substring(raw, 2 * units - 1, 1))
+        last = F.hex(F.substr(raw, 2 * units - 1, start))
         bytes_kept = F.when(last.between("D8", "DB"), 2 * units + 2).otherwise(2 * units)
-        return F.decode(F.substring(raw, F.lit(1), bytes_kept), "UTF-16BE")
+        return F.decode(F.substr(raw, start, bytes_kept), "UTF-16BE")
 
-    short = F.substring(text, 1, units)
     # Only texts with characters beyond the BMP among the first units differ.
-    return F.when(utf16_length(short) == F.length(short), short).otherwise(
-        let(F.encode(text, "UTF-16BE"), cut)
+    return let(
+        F.substr(text, start, units),
+        lambda short: F.when(utf16_length(short) == F.length(short), short).otherwise(
+            let(F.encode(text, "UTF-16BE"), cut)
+        ),
     )
 
 

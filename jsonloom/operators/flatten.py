@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from jsonloom.functions.cells import (
     string_value,
     unmark,
 )
+from jsonloom.functions.shared import shared
 from jsonloom.functions.text import let
 from jsonloom.operators.expand import DEFAULT_MAX_DEPTH
 
@@ -45,6 +46,38 @@ def _child_cell(value: Column, segment: str) -> Column:
     return F.when(value["cell"] == "{", by_key).when(value["cell"] == "[", by_index)
 
 
+def _settled(cell: Column, found: Column) -> Column:
+    """struct(own, value): the cell itself, unwrapped, and what lies below it."""
+    empty = F.struct(cell.alias("cell"), F.array().cast(ENTRIES).alias("children"))
+    own = F.when(is_container(cell), cell)
+    return F.struct(
+        F.coalesce(own, found["cell"], cell).alias("own"),
+        F.coalesce(found, empty.cast(VALUE)).alias("value"),
+    )
+
+
+@shared
+def _root(may_unwrap: bool) -> Column:
+    cell = F.col("cell")
+    known = F.when(is_container(cell), F.struct("cell", "children").cast(VALUE))
+    return let(
+        F.coalesce(known, open_cell(cell, F.lit(may_unwrap))), lambda v: _settled(cell, v)
+    )
+
+
+@shared
+def _opened(may_unwrap: bool) -> Column:
+    """The cells of column ``cells``, each settled; a container is only taken
+    apart where something below it is wanted."""
+
+    def settle(item: Column) -> Column:
+        cell = item["cell"]
+        needed = F.when(item["inner"] | cell.startswith("s"), cell)
+        return let(open_cell(needed, F.lit(may_unwrap)), lambda v: _settled(cell, v))
+
+    return F.transform("cells", settle)
+
+
 def flatten(
     records: DataFrame,
     columns: Mapping[str, tuple[Sequence[str], str]],
@@ -57,59 +90,33 @@ def flatten(
     each once, and a record stays one row throughout.
     """
     wanted = {name: tuple(path) for name, (path, _) in columns.items()}
-    prefixes = {p[:n] for p in wanted.values() for n in range(len(p) + 1)}
-    names = {prefix: f"at_{i}" for i, prefix in enumerate(sorted(prefixes))}
     inner = {p[:n] for p in wanted.values() for n in range(len(p))}
+    levels: list[list[Path]] = [[()]]
+    for depth in range(1, max(map(len, wanted.values()), default=0) + 1):
+        levels.append(sorted({p[:depth] for p in wanted.values() if len(p) >= depth}))
 
-    def opened(depth: int) -> Callable[[Column], Column]:
-        """struct(own, value): the cell itself and what lies one level into it."""
-
-        def both(cell: Column) -> Column:
-            empty = F.struct(cell.alias("cell"), F.array().cast(ENTRIES).alias("children"))
-            own = F.when(is_container(cell), cell)
-            return let(
-                open_cell(cell, F.lit(depth <= max_depth)),
-                lambda v: F.struct(
-                    F.coalesce(own, v["cell"], cell).alias("own"),
-                    F.coalesce(v, empty.cast(VALUE)).alias("value"),
-                ),
-            )
-
-        return both
-
-    def leaf(depth: int) -> Callable[[Column], Column]:
-        def own(cell: Column) -> Column:
-            value = open_cell(F.when(cell.startswith("s"), cell), F.lit(depth <= max_depth))
-            return F.struct(F.coalesce(value["cell"], cell).alias("own"))
-
-        return own
+    def at(path: Path) -> Column:
+        place = levels[len(path)].index(path)
+        return F.get(F.col(f"level_{len(path)}"), F.lit(place))
 
-    root_cell = F.col("cell")
-    known = F.struct("cell", "children").cast(VALUE)
-    root = let(
-        open_cell(F.when(~is_container(root_cell), root_cell), F.lit(max_depth >= 0)),
-        lambda v: F.struct(
-            F.coalesce(v["cell"], root_cell).alias("own"), F.coalesce(v, known).alias("value")
-        ),
+    frame = records.where(F.col("cell").isNotNull()).select(
+        "doc_id", "line_number", F.array(_root(max_depth >= 0)).alias("level_0")
     )
-    frame = records.select("doc_id", "line_number", root.alias(names[()]))
-    for depth in range(1, max(map(len, wanted.values()), default=0) + 1):
-        here = [p for p in sorted(prefixes) if len(p) == depth]
-        frame = frame.select(
-            "*",
-            *[
-                let(
-                    _child_cell(F.col(names[p[:-1]])["value"], p[-1]),
-                    (opened if p in inner else leaf)(depth),
-                ).alias(names[p])
-                for p in here
-            ],
+    for depth, here in enumerate(levels[1:], start=1):
+        cells = [
+            F.struct(
+                _child_cell(at(p[:-1])["value"], p[-1]).alias("cell"),
+                F.lit(p in inner).alias("inner"),
+            )
+            for p in here
+        ]
+        frame = (
+            frame.withColumn("cells", F.array(*cells))
+            .withColumn(f"level_{depth}", _opened(depth <= max_depth))
+            .drop("cells")
         )
     return frame.select(
         "doc_id",
         "line_number",
-        *[
-            TYPES[columns[name][1]](F.col(names[path])["own"]).alias(name)
-            for name, path in wanted.items()
-        ],
+        *[TYPES[columns[name][1]](at(path)["own"]).alias(name) for name, path in wanted.items()],
     )

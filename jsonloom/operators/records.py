@@ -214,41 +214,41 @@ def primitive_summary(cell: Column, children: Column) -> Column:
     )
 
 
-def _summary_part(entry: Column, units: int) -> Column:
-    """``key:value`` of a primitive field worth showing, else NULL."""
-    cell = entry["cell"]
-    text = let(
-        let(string_value(cell), js_trim),
-        lambda trimmed: F.when(trimmed != "", js_slice(trimmed, units)),
+def _is_shown(entry: Column) -> Column:
+    return kind(entry["cell"]).isin("number", "boolean") | (
+        let(string_value(entry["cell"]), js_trim) != ""
     )
-    shown = F.when(cell.startswith("s"), text).when(
-        kind(cell).isin("number", "boolean"), printed(cell)
-    )
-    return F.concat(entry["key"], F.lit(":"), shown)
 
 
 def _object_summary(entries: Column) -> Column:
-    def part(few: Column, key: str) -> Column:
-        field = F.get(F.filter(few, lambda e: e["key"] == key), F.lit(0))
-        return let(field, lambda e: _summary_part(e, SUMMARY_UNITS))
+    """The known keys in their order, else the first primitive field."""
+    keys = F.array(*map(F.lit, SUMMARY_KEYS))
+
+    def ranked(units: int):
+        return lambda e: F.struct(
+            F.array_position(keys, e["key"]).alias("rank"),
+            e["key"].alias("key"),
+            e["cell"].alias("cell"),
+            F.lit(units).alias("units"),
+        )
 
-    chosen = F.filter(entries, lambda e: e["key"].isin(*SUMMARY_KEYS))
-    named = let(
-        chosen, lambda few: F.array_compact(F.array(*[part(few, key) for key in SUMMARY_KEYS]))
-    )
-    shown = F.filter(
-        entries,
-        lambda e: kind(e["cell"]).isin("number", "boolean")
-        | (let(string_value(e["cell"]), js_trim) != ""),
-    )
-    first = let(F.get(shown, F.lit(0)), lambda e: _summary_part(e, EXCERPT_UNITS))
-    count = F.concat(F.lit("Object("), F.size(entries).cast("string"), F.lit(")"))
-    return let(
-        named,
-        lambda parts: F.when(F.size(parts) > 0, F.array_join(parts, SEPARATOR)).otherwise(
-            F.coalesce(first, count)
-        ),
-    )
+    def shown(e: Column) -> Column:
+        text = F.when(
+            e["cell"].startswith("s"),
+            let(let(string_value(e["cell"]), js_trim), lambda t: js_slice(t, e["units"])),
+        ).otherwise(printed(e["cell"]))
+        return F.concat(e["key"], F.lit(":"), text)
+
+    def summary(fields: Column) -> Column:
+        named = F.filter(fields, lambda e: e["key"].isin(*SUMMARY_KEYS))
+        chosen = F.when(
+            F.size(named) > 0, F.transform(named, ranked(SUMMARY_UNITS))
+        ).otherwise(F.transform(F.slice(fields, 1, 1), ranked(EXCERPT_UNITS)))
+        count = F.concat(F.lit("Object("), F.size(entries).cast("string"), F.lit(")"))
+        parts = F.transform(F.array_sort(chosen), shown)
+        return F.when(F.size(fields) > 0, F.array_join(parts, SEPARATOR)).otherwise(count)
+
+    return let(F.filter(entries, _is_shown), summary)
 
 
 @shared
