@@ -167,8 +167,13 @@ def string_value(cell: Column) -> Column:
     return F.when(cell.startswith("s"), F.substr(cell, F.lit(2)))
 
 
+def _number(cell: Column) -> Column:
+    # A literal beyond the double range may come as a quoted word.
+    return F.btrim(cell, F.lit('"')).try_cast("double")
+
+
 def number_value(cell: Column) -> Column:
-    return F.when(kind(cell) == "number", cell.try_cast("double"))
+    return F.when(kind(cell) == "number", _number(cell))
 
 
 def boolean_value(cell: Column) -> Column:
@@ -177,7 +182,7 @@ def boolean_value(cell: Column) -> Column:
 
 def printed(cell: Column) -> Column:
     """``String(value)`` of a number or boolean cell."""
-    return F.when(kind(cell) == "number", js_number(cell.try_cast("double"))).otherwise(cell)
+    return F.when(kind(cell) == "number", js_number(_number(cell))).otherwise(cell)
 
 
 def _last_value_first_place(entries: Column) -> Column:
