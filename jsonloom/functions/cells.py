@@ -20,6 +20,8 @@ one parse.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ NUMBER = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"
 INDEX_KEY = r"^(?:0|[1-9][0-9]{0,9})\z"
 LAST_INDEX_KEY = 4294967294
 
+Check = Callable[[Column], Column]
+
 ENTRIES = "array<struct<key:string,cell:string>>"
 VALUE = f"struct<cell:string,children:{ENTRIES}>"
 
@@ -90,16 +94,16 @@ def _no_children() -> Column:
     return F.array().cast(ENTRIES)
 
 
-def parse_value(trimmed: Column) -> Column:
-    """Value of a JSON text without outer whitespace; NULL unless strictly valid.
+def _parse_marked(text: Column) -> Column:
+    """Value of a marked text; NULL unless strictly valid.
 
     The text is parsed as the first of two array elements.  The second holds an
     unmarked string, which no part of the text can equal: if it is not found in
     second place, the text ended the array itself or held several values.
     """
 
-    def parsed(sentinel: str, schema: str, is_sentinel, value) -> Column:
-        wrapped = F.concat(F.lit("["), mark(trimmed), F.lit(f",{sentinel}]"))
+    def parsed(sentinel: str, schema: str, is_sentinel: Check, value: Check) -> Column:
+        wrapped = F.concat(F.lit("["), text, F.lit(f",{sentinel}]"))
         return let(
             F.from_json(wrapped, f"array<{schema}>", STRICT),
             lambda parts: F.when(
@@ -124,17 +128,26 @@ def parse_value(trimmed: Column) -> Column:
         '"!"',
         "string",
         lambda last: last == "!",
-        lambda text: _value(text, _no_children()),
+        lambda content: _value(content, _no_children()),
     )
     return (
-        F.when(_bounded(trimmed, "{", "}"), as_object)
-        .when(_bounded(trimmed, "[", "]"), as_array)
-        .when(_bounded(trimmed, '"', '"'), as_string)
-        .when(_is_plain(trimmed), _value(trimmed, _no_children()))
+        F.when(_bounded(text, "{", "}"), as_object)
+        .when(_bounded(text, "[", "]"), as_array)
+        .when(_bounded(text, '"', '"'), as_string)
+        .when(_is_plain(text), _value(text, _no_children()))
         .cast(VALUE)
     )
 
 
+def _mark_candidate(trimmed: Column) -> Column:
+    return F.when(could_be_json(trimmed), mark(trimmed))
+
+
+def parse_value(trimmed: Column) -> Column:
+    """Value of a JSON text without outer whitespace; NULL unless strictly valid."""
+    return let(_mark_candidate(trimmed), _parse_marked)
+
+
 def parse_text(text: Column) -> Column:
     """Value of a text in which only JSON whitespace may surround it."""
     return let(json_trim(text), parse_value)
@@ -262,35 +275,11 @@ def _array_elements(items: Column) -> Column:
     )
 
 
-def container_value(cell: Column) -> Column:
-    """Value of a container cell, which is known to be valid; else NULL."""
-    return (
-        F.when(
-            cell.startswith("{"),
-            let(
-                F.from_json(cell, "map<string,string>", STRICT),
-                lambda fields: _value(F.lit("{"), _object_entries(fields)),
-            ),
-        )
-        .when(
-            cell.startswith("["),
-            let(
-                F.from_json(cell, "array<string>", STRICT),
-                lambda items: _value(F.lit("["), _array_elements(items)),
-            ),
-        )
-        .cast(VALUE)
-    )
-
-
 def open_cell(cell: Column, may_unwrap: Column) -> Column:
     """Value one level into a cell: a container's, or that of the JSON text in a
     string if ``may_unwrap``; NULL where there is nothing to open."""
-    return (
-        F.when(is_container(cell), container_value(cell))
-        .when(
-            cell.startswith("s") & may_unwrap,
-            let(let(F.substr(cell, F.lit(2)), js_trim), parse_value),
-        )
-        .cast(VALUE)
+    content = let(F.substr(cell, F.lit(2)), js_trim)
+    text = F.when(is_container(cell), cell).when(
+        cell.startswith("s") & may_unwrap, let(content, _mark_candidate)
     )
+    return let(text, _parse_marked)

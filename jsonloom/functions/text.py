@@ -132,6 +132,23 @@ def _shortest(number: Column, digits: Column, point: Column) -> Column:
     return F.coalesce(subnormal, candidate(15), candidate(16), candidate(17), kept)
 
 
+def _shortest_text(number: Column, digits: Column, point: Column) -> Column:
+    def laid_out(parts: Column) -> Column:
+        long = (F.length(parts["digits"]) > 15) | (number < SMALL)
+        best = F.when(long, _shortest(number, parts["digits"], parts["point"])).otherwise(parts)
+        return let(best, lambda b: _layout(b["digits"], b["point"]))
+
+    return let(F.struct(digits.alias("digits"), point.cast("int").alias("point")), laid_out)
+
+
+def _large_text(number: Column) -> Column:
+    """JS text of a large integral double, from its exact digits."""
+    exact = number.try_cast("bigint").cast("string")
+    return let(
+        exact, lambda d: _shortest_text(number, F.rtrim(d, F.lit("0")), F.length(d))
+    )
+
+
 def _fraction_text(number: Column) -> Column:
     """JS text of a positive finite double from Java's ``m.mmmE±x`` or ``m.mmm``."""
 
@@ -143,17 +160,8 @@ def _fraction_text(number: Column) -> Column:
         whole = F.substring_index(mantissa, ".", 1)
         raw = F.replace(mantissa, F.lit("."), F.lit(""))
         lead = F.length(raw) - F.length(F.ltrim(raw, F.lit("0")))
-        digits = F.btrim(raw, F.lit("0"))
-        point = F.length(whole) - lead + exponent
-        return let(
-            F.struct(digits.alias("digits"), point.alias("point")),
-            lambda parts: let(
-                F.when(
-                    (F.length(parts["digits"]) > 15) | (number < SMALL),
-                    _shortest(number, parts["digits"], parts["point"]),
-                ).otherwise(parts),
-                lambda best: _layout(best["digits"], best["point"]),
-            ),
+        return _shortest_text(
+            number, F.btrim(raw, F.lit("0")), F.length(whole) - lead + exponent
         )
 
     return let(number.cast("string"), split)
@@ -165,6 +173,8 @@ def js_number(number: Column) -> Column:
     text = (
         F.when(size == float("inf"), "Infinity")
         .when((size < 1e15) & (size == F.floor(size)), size.try_cast("bigint").cast("string"))
+        # From 2^53 on doubles are integral; Java may round their digits.
+        .when((size >= 2.0**53) & (size < 2.0**63), _large_text(size))
         .otherwise(_fraction_text(size))
     )
     return F.when(number < 0, F.concat(F.lit("-"), text)).otherwise(text)

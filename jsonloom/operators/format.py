@@ -33,10 +33,17 @@ def format_records(records: DataFrame, nodes: DataFrame, indent: int = DEFAULT_I
 
 
 def format_documents(
-    docs: DataFrame, records: DataFrame, nodes: DataFrame, indent: int = DEFAULT_INDENT
+    docs: DataFrame,
+    records: DataFrame,
+    nodes: DataFrame,
+    indent: int = DEFAULT_INDENT,
+    forced_format: str | None = None,
 ) -> DataFrame:
     """``doc_id, text``: the whole result of each document as one text.
 
+    A blank document has no records and prints as ``null``, in forced JSON Lines
+    as nothing.
+
     For documents whose text was one row, so that the result fits one as well.
     Results of line sources are written record by record, see
     :func:`write_formatted`.
@@ -46,7 +53,12 @@ def format_documents(
     whole = lines.groupBy("doc_id").agg(
         F.array_join(F.transform(in_order, lambda r: r["text"]), "\n").alias("text")
     )
-    return docs.select("doc_id").join(whole, "doc_id", "left")
+    blank = "" if forced_format == "jsonl" else "null"
+    return (
+        docs.select("doc_id")
+        .join(whole, "doc_id", "left")
+        .select("doc_id", F.coalesce("text", F.lit(blank)).alias("text"))
+    )
 
 
 def write_formatted(formatted: DataFrame, path: str, partitions: int | None = None) -> None:

@@ -526,7 +526,7 @@ def format_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents, failed lines as comments, without indentation."""
     blobs = inputs.event_blobs(spark, sf_dir)
     records = parse(blobs, "jsonl")
-    return format_documents(blobs, records, expand(records, levels=4), indent=0)
+    return format_documents(blobs, records, expand(records, levels=4), 0, "jsonl")
 
 
 @register("copy_node", "SELECT event_id + 1 AS source_line, '{' || chr(10) || '  \"k\": ' || CAST(json_extract(props, '$.k') AS BIGINT) || chr(10) || '}' AS json FROM events")

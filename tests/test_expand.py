@@ -42,7 +42,7 @@ TRAPS = {
 }
 
 
-@pytest.mark.parametrize("levels", [20, None])
+@pytest.mark.parametrize("levels", [17, None])
 def test_nodes_match_brute_force(docs, levels):
     got = nodes_of(expand(parse(docs(TRAPS), "json"), levels=levels))
     for name, text in TRAPS.items():
@@ -50,8 +50,8 @@ def test_nodes_match_brute_force(docs, levels):
 
 
 def test_depth_limit(docs):
-    for limit in (-1, 0, 2):
-        got = nodes_of(expand(parse(docs(TRAPS), "json"), max_depth=limit, levels=20))
+    for limit in (-1, 2):
+        got = nodes_of(expand(parse(docs(TRAPS), "json"), max_depth=limit, levels=17))
         for name, text in TRAPS.items():
             assert got[name] == sorted(brute.walk(json.loads(text), limit)), (limit, name)
 
@@ -123,20 +123,22 @@ def test_restore_paths(spark, docs):
 def test_expand_again_and_node_values(docs):
     inner = {"k": '{"z":"1"}', "l": [1, "2"]}
     text = json.dumps({"twice": json.dumps(json.dumps(inner)), "once": json.dumps(inner), "n": "5"})
-    nodes = expand(parse(docs({"d": text}), "json"), levels=6)
-    twice = {r.path_text: r for r in expand_again(nodes, "$.twice", levels=6).collect()}
+    nodes = expand(parse(docs({"d": text}), "json"), levels=5)
+    twice = {r.path_text: r for r in expand_again(nodes, "$.twice", levels=5).collect()}
     assert twice["$.twice"].kind == "object" and twice["$.twice"].was_stringified
     assert twice["$.twice.k.z"].num_value == 1.0
-    once = {r.path_text: r for r in expand_again(nodes, "$.once", levels=6).collect()}
+    once = {r.path_text: r for r in expand_again(nodes, "$.once", levels=5).collect()}
     assert not once["$.once"].was_stringified and once["$.once.k"].was_stringified
     assert list(once["$.once.k.z"].stringified_chain) == ["$.once.k", "$.once.k.z"]
-    again = {r.path_text: r for r in expand_again(restore_all(nodes), "$.once", levels=6).collect()}
+    again = {r.path_text: r for r in expand_again(restore_all(nodes), "$.once", levels=5).collect()}
     assert again["$.once"].was_stringified and again["$.once.k"].was_stringified
-    number = expand_again(nodes, "$.n", levels=6).collect()
+    number = expand_again(nodes, "$.n", levels=5).collect()
     assert [(r.kind, r.num_value, r.was_stringified) for r in number] == [("number", 5.0, False)]
     assert json.loads(node_values(nodes, "$.once").collect()[0].json) == inner
     assert node_values(nodes, "$.once.k", 0).collect()[0].json == '{"z":"1"}'
-    assert node_values(nodes, "$", 0).collect()[0].json == text.replace('": ', '":').replace(', "', ',"')
+    assert node_values(nodes, "$", 0).collect()[0].json == json.dumps(
+        json.loads(text), separators=(",", ":")
+    )
 
 
 def test_flatten_reads_what_nodes_hold(docs):

@@ -69,7 +69,7 @@ def test_ids_of_several_columns(spark):
 def test_stream_equals_batch(spark, docs, tmp_path):
     texts = {str(i): json.dumps({"i": i, "p": json.dumps({"k": [i, "x"]})}) for i in range(40)}
     source = str(tmp_path / "source")
-    docs(texts).withColumn("ts", F.timestamp_seconds(F.col("doc_id").cast("int") * 60)).write.parquet(source)
+    docs(texts).withColumn("ts", F.timestamp_seconds(F.col("doc_id").cast("int") * 60)).coalesce(2).write.parquet(source)
     batch = spark.read.parquet(source)
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(source)
 
