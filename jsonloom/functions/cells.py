@@ -115,7 +115,7 @@ def _parse_marked(text: Column) -> Column:
     as_object = parsed(
         '{"!":""}',
         "map<string,string>",
-        lambda last: F.map_contains_key(last, "!"),
+        lambda last: last["!"] == "",
         lambda fields: _value(F.lit("{"), _object_entries(fields)),
     )
     as_array = parsed(

@@ -11,25 +11,23 @@ DEFAULT_INDENT = 2
 
 
 def format_records(records: DataFrame, nodes: DataFrame, indent: int = DEFAULT_INDENT) -> DataFrame:
-    """``doc_id, format, line_number, text`` of every record.
+    """``doc_id, line_number, text`` of every record.
 
     Failed records print as a comment in JSON Lines and as ``null`` in JSON.
     """
     texts = materialise(nodes, indent).select(
         "doc_id", F.col("source_line").alias("line_number"), F.col("json").alias("text")
     )
-    formats = records.select("doc_id", "line_number", "format", "error")
     comment = F.concat(
         F.lit("/* line "), F.col("line_number").cast("string"), F.lit(": "), F.col("error"),
         F.lit(" */"),
     )
-    failed = F.when(F.col("format") == "jsonl", comment).otherwise("null")
-    return formats.join(texts, ["doc_id", "line_number"], "left").select(
+    failed = records.where(F.col("cell").isNull()).select(
         "doc_id",
-        "format",
         "line_number",
-        F.when(F.col("error").isNotNull(), failed).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("format") == "jsonl", comment).otherwise("null").alias("text"),
     )
+    return texts.unionByName(failed)
 
 
 def format_documents(

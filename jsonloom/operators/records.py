@@ -336,3 +336,14 @@ def line_formats(lines: DataFrame) -> DataFrame:
         .otherwise("json")
         .alias("format")
     )
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """``doc_id, lines, bad``: non-blank lines and invalid ones, untrimmed."""
+    shown = ~_blank()
+    found = lines.select(
+        "doc_id", shown.alias("shown"), (shown & _text_value().isNull()).alias("bad")
+    )
+    return found.groupBy("doc_id").agg(
+        F.count_if("shown").alias("lines"), F.count_if("bad").alias("bad")
+    )

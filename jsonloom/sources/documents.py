@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jsonloom.config import scratch_path
+
+# Split counts up to this many rows (some 100 MB) go to every executor, which at
+# the default split size covers 125 TB; the lines are then not shuffled.
+BROADCAST_SPLITS = 1_000_000
 BYTE_ORDER_MARK = "\ufeff"
 
 
@@ -66,6 +71,13 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         )
         .select("doc_id", "block", "first_row", F.coalesce("before", F.lit(0)).alias("before"))
     )
+    # The counts are written once: they then stay the same for every reader, and
+    # their number is known.  Beyond the limit Spark joins them by size.
+    path = scratch_path(spark, "splits")
+    splits.write.parquet(path)
+    splits = spark.read.parquet(path)
+    if splits.count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
     number = F.col("row") - F.col("first_row") + F.col("before") + 1
     checked = F.when(
         F.col("first_row").isNull() | (F.col("row") < F.col("first_row")),

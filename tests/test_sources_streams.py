@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from jsonloom.operators.expand import expand
+from jsonloom.operators.files import parse_files
 from jsonloom.operators.format import format_documents, format_records, write_formatted, write_split
 from jsonloom.operators.records import line_formats, parse, parse_lines
 from jsonloom.plans.reports import nesting_histogram, parse_quality, path_profile
@@ -19,6 +20,28 @@ def test_documents_from_files(spark, tmp_path):
     assert parse(docs).where("cell is null").count() == 0
 
 
+def test_format_is_decided_per_file(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    texts = {
+        "log.jsonl": '{"e":1}\n\n{"e":2}\n', "pretty.json": '{\n "a": 1\n}', "one.json": '\n[1]\n',
+        "broken.jsonl": '{"e":1}\n{bad}\n', "blank.json": " \n",
+    }
+    for name, text in texts.items():
+        (folder / name).write_text(text)
+
+    def found(forced=None):
+        rows = parse_files(spark, str(folder), forced).collect()
+        return sorted((r.doc_id.rsplit("/", 1)[1], r.line_number, r.format, r.error is None) for r in rows)
+
+    assert found() == [
+        ("broken.jsonl", 1, "json", False), ("log.jsonl", 1, "jsonl", True), ("log.jsonl", 3, "jsonl", True),
+        ("one.json", 1, "json", True), ("pretty.json", 1, "json", True),
+    ]
+    assert ("broken.jsonl", 2, "jsonl", False) in found("jsonl")
+    assert ("log.jsonl", 1, "json", False) in found("json")
+
+
 def test_line_numbers_across_splits(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
