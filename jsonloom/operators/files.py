@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +40,13 @@ def parse_files(
     chosen = lines.join(F.broadcast(by_lines) if few else by_lines, "doc_id", "left_semi")
     records = parse_lines(chosen)
 
-    names = [r.doc_id for r in whole.select("doc_id").limit(FILE_LIMIT + 1).collect()]
+    # File names come percent-encoded; a plus sign stands for itself.
+    decoded = F.url_decode(F.replace("doc_id", F.lit("+"), F.lit("%2B")))
+    names = [r[0] for r in whole.select(decoded).limit(FILE_LIMIT + 1).collect()]
     if not names:
         return records
     if len(names) <= FILE_LIMIT:
-        docs = read_documents(spark, [unquote(name) for name in names])
+        docs = read_documents(spark, names)
     else:
         docs = read_documents(spark, paths).join(whole, "doc_id", "left_semi")
     return records.unionByName(parse(docs, "json"))

@@ -192,12 +192,19 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def parse(docs: DataFrame, forced_format: str | None = None) -> DataFrame:
-    """Records of documents, in automatic or forced format."""
+def parse(docs: DataFrame, forced_format: str | None = None, spread: bool = False) -> DataFrame:
+    """Records of documents, in automatic or forced format.
+
+    The records of a document stay in the task that read it.  ``spread``
+    distributes them evenly by one shuffle, for inputs in which few documents
+    hold most of the records.
+    """
     if forced_format == "jsonl":
         # Lines leave the row before they are parsed: no array of all of them.
-        return parse_lines(split_lines(docs))
-    return records_of(parse_documents(docs, forced_format))
+        lines = split_lines(docs)
+        return parse_lines(lines.hint("rebalance") if spread else lines)
+    records = records_of(parse_documents(docs, forced_format))
+    return records.hint("rebalance") if spread else records
 
 
 # --- projections -------------------------------------------------------------

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 
 # What ECMAScript's trim removes.
-JS_SPACE = "\t\n\x0b\x0c\r \xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + (
-    "    　﻿"
+JS_SPACE = (
+    "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
 

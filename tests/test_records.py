@@ -58,6 +58,9 @@ def test_forced_jsonl_keeps_bad_lines(docs):
     good, bad = quarantine(parse(d, "jsonl"))
     assert good.count() == 4
     assert {r.error for r in bad.collect()} == {"Invalid JSON"}
+    spread = parse(d, "jsonl", spread=True).select("doc_id", "line_number", "error")
+    assert spread.count() == 6 and spread.where("error is not null").count() == 2
+    assert parse(d, spread=True).count() == 3
     # The array form of the same records.
     same = records_of(parse_documents(d, "jsonl")).select("doc_id", "line_number", "cell")
     assert sorted(same.collect(), key=str) == sorted(parse(d, "jsonl").select("doc_id", "line_number", "cell").collect(), key=str)
