@@ -62,6 +62,7 @@ class PieceCodec:
         self.pieces = [x[2] for x in scored]
         self.id_of_rank = [x[1] for x in scored]
         self.order = {x: k for k, x in enumerate(self.pieces)}
+        self.raw = set(byte_ids.values())
         self.text_of_id = [str(i) for i in range(n)]
         #: Neighbours inside pieces; other neighbours are places to cut.
         self.neighbours = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
@@ -163,7 +164,7 @@ class PieceCodec:
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the mark that encoding puts in front of a text goes."""
         out = b"".join(map(self.bytes_of.__getitem__, ids))
-        if ids and out[:1] == b" ":
+        if ids and out[:1] == b" " and ids[0] not in self.raw:
             out = out[1:]
         return out.decode("utf-8", "each byte")
 
