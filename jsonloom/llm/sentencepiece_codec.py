@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from jsonloom.llm.common import arrow_map
 
 #: Parts, and stretches of parts, kept by a Python worker; beyond it a memo starts anew.
-MEMO_PARTS = 600_000
+MEMO_PARTS = 450_000
 #: New parts that are compared with the library in each Arrow batch (0: none).
 CHECKED_PARTS = 2_000
 SPACE_MARK = "▁"
