@@ -13,17 +13,18 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder; on a cluster a
-    folder of one machine would be lost with it, so there the setting is needed.
+    Where it is unset, the context's own checkpoint folder counts; a local session
+    without either gets a temporary one.  On a cluster a folder of one machine would be
+    lost with it, so there the setting is needed.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
