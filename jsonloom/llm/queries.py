@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm import quality_classifier, quality_rules, sentencepiece_codec
+from jsonloom.llm import language_id, quality_classifier, quality_rules, sentencepiece_codec
 from jsonloom.llm.common import table
 
 
@@ -33,9 +33,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_spans", F.size("spans")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
 }
 ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE}
