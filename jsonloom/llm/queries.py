@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm import language_id, nearest, packing, quality_classifier, quality_rules, sentencepiece_codec
+from jsonloom.llm import chat, language_id, nearest, packing, quality_classifier, quality_rules, sentencepiece_codec
 from jsonloom.llm.common import table
 
 
@@ -46,6 +46,14 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"  # a text full of control strings
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    file = tokenizer_file("byte_bpe_50k.json")
+    return chat.read_back(*chat.format_tree(rows.unionByName(probe), file), file)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
@@ -53,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_nearest": op8_nearest,
+    "op9_chat_tree": op9_chat_tree,
 }
 ORACLES: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE,
