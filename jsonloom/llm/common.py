@@ -20,14 +20,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The rows, written once to the shared folder: lost executors do not repeat the work."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one operator's run in the shared folder; each can go when it has been used."""
+
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes the rows; the shuffle files of the write go with its end."""
+        before = self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            path = scratch_path(self.spark, name)
+            out = stored(df, name, path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes the table behind a frame of `store`."""
+        _, path = self.paths.pop(id(df))
+        context = self.spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def arrow_map(df: DataFrame, fn: Callable[..., dict | list], schema: str | StructType) -> DataFrame:
     """fn(columns as lists) -> columns as lists or arrays, one Arrow batch at a time."""
     out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
@@ -62,14 +90,14 @@ def same(a: Column, b: Column) -> Column:
 
 def row_groups(lengths, limit: int) -> Iterator[tuple[int, int]]:
     """Cuts rows into runs of at most `limit` in total length; a longer row is a run of its own."""
-    start, total = 0, 0
-    for i, n in enumerate(lengths):
-        if i > start and total + n > limit:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if len(lengths) > start:
-        yield start, len(lengths)
+    start, end, total = 0, 0, 0
+    for n in lengths:
+        if end > start and total + n > limit:
+            yield start, end
+            start, total = end, 0
+        end, total = end + 1, total + n
+    if end > start:
+        yield start, end
 
 
-__all__ = ["F", "SPACE", "arrow_map", "row_groups", "same", "shuffle_partitions", "stored", "table", "words_of"]
+__all__ = ["F", "SPACE", "Scratch", "arrow_map", "row_groups", "same", "shuffle_partitions", "stored", "table", "words_of"]
