@@ -211,10 +211,10 @@ def by_document(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_set(F.struct(*columns)).alias("marks"))
 
 
-def with_marks(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """(doc_id, text, marks) of documents; rows with a null doc_id meet, too."""
+def with_marks(docs: DataFrame, marks: DataFrame, how: str, *more: str) -> DataFrame:
+    """(doc_id, text, more columns, marks) of documents; rows with a null doc_id meet, too."""
     found = marks.withColumnRenamed("doc_id", "marked")
-    mine = docs.select("doc_id", "text")
+    mine = docs.select("doc_id", "text", *more)
     return mine.join(found, mine["doc_id"].eqNullSafe(found["marked"]), how).drop("marked")
 
 
@@ -255,3 +255,45 @@ def lists_of(marks: pa.Array, names: list[str]) -> list[dict[str, np.ndarray]]:
         {n: c[offsets[i] : offsets[i + 1]] for n, c in columns.items()} if valid[i] else empty
         for i in range(len(marks))
     ]
+
+
+def window_rows(
+    docs: DataFrame, blocks: DataFrame, units_of: Callable[[bytes], np.ndarray], window: int
+) -> DataFrame:
+    """Two hashes of each window of the open blocks, with its document and place."""
+    marked = with_marks(docs, by_document(blocks, "place"), "inner")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(**columns):
+        counts, out = [], ([], [], [])
+        marks = lists_of(columns["marks"], ["place"])
+        for text, mark in zip(columns["text"].to_pylist(), marks, strict=True):
+            raw = text.encode("utf-8", "surrogatepass") if text else b""
+            tag = tag_of(raw)
+            _, first, last = unpack_places(mark["place"], tag)
+            size = last - first + 1
+            starts = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            counts.append(len(starts))
+            if len(starts):
+                units = units_of(raw)
+                for k in (0, 1):
+                    out[k].append(Hashes(units, k).of(starts, starts + window).view(np.int64))
+                out[2].append(pack_places(tag, starts, starts, starts))
+        ids = take(columns["doc_id"], counts)
+        return [ids, *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out)]
+
+    return arrow_map(marked, run, f"doc_id {kind}, low bigint, high bigint, place bigint")
+
+
+def covered_by(first: np.ndarray, last: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Which of n units the windows first..last of each span cover."""
+    steps = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(steps, first, 1)
+    np.add.at(steps, np.minimum(last + window, n), -1)
+    return np.cumsum(steps[:n]) > 0
+
+
+def factors(covered: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the maximal runs of covered units."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm import chat, language_id, nearest, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup
+from jsonloom.llm import chat, language_id, nearest, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup
 from jsonloom.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(*chat.format_tree(rows.unionByName(probe), file), file)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_nearest": op8_nearest,
     "op9_chat_tree": op9_chat_tree,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 ORACLES: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE,

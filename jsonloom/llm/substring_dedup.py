@@ -19,21 +19,20 @@ from __future__ import annotations
 
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jsonloom.llm.anchors import (
-    Hashes,
     Sampling,
     by_document,
+    covered_by,
+    factors,
     lists_of,
-    pack_places,
     repeats,
     tag_of,
-    take,
     unpack_places,
+    window_rows,
     windows_seen_before,
     with_marks,
 )
@@ -61,46 +60,6 @@ def word_units(raw: bytes) -> np.ndarray:
     return np.fromiter(map(_memo.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def boundary_windows(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Two hashes of each window of the open blocks, with its document and place."""
-    marked = with_marks(docs, by_document(blocks, "place"), "inner")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(**columns):
-        counts, out = [], ([], [], [])
-        marks = lists_of(columns["marks"], ["place"])
-        for text, mark in zip(columns["text"].to_pylist(), marks, strict=True):
-            raw = text.encode("utf-8", "surrogatepass") if text else b""
-            tag = tag_of(raw)
-            _, first, last = unpack_places(mark["place"], tag)
-            size = last - first + 1
-            starts = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            counts.append(len(starts))
-            if len(starts):
-                units = word_units(raw)
-                for k in (0, 1):
-                    out[k].append(Hashes(units, k).of(starts, starts + WINDOW).view(np.int64))
-                out[2].append(pack_places(tag, starts, starts, starts))
-        ids = take(columns["doc_id"], counts)
-        return [ids, *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out)]
-
-    return arrow_map(marked, run, f"doc_id {kind}, low bigint, high bigint, place bigint")
-
-
-def covered_by(first: np.ndarray, last: np.ndarray, n: int, window: int) -> np.ndarray:
-    """Which of n units the windows first..last of each span cover."""
-    steps = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(steps, first, 1)
-    np.add.at(steps, np.minimum(last + window, n), -1)
-    return np.cumsum(steps[:n]) > 0
-
-
-def factors(covered: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of the maximal runs of covered units."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-
-
 SPAN = "array<struct<start: int, end: int>>"
 
 
@@ -108,7 +67,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, kept (text of the kept words), spans (removed words)."""
     scratch = Scratch(docs.sparkSession)
     found = repeats(docs, word_units, SAMPLING, scratch)
-    ends = windows_seen_before(boundary_windows(docs, found.open), scratch)
+    ends = windows_seen_before(window_rows(docs, found.open, word_units, WINDOW), scratch)
     marks = by_document(found.settled.select("doc_id", "place").union(ends.select("doc_id", "place")), "place")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
