@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from jsonloom.llm.common import stored
+from jsonloom.llm.common import row_groups, stored
 
 CAPACITY = 2048
 END_TOKEN = 0
 #: Chunks that a Python worker keeps; beyond it the memo starts anew.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 800_000
+#: Characters whose chunks are held at a time, and new chunks given to the library at a time.
+GROUP_CHARS, FRESH = 1_000_000, 5_000
 #: Rounds of the least squares, partners tried for each first length of a triple, and the
 #: most unused places in an enumerated pattern.
 FIT_ROUNDS, PARTNERS, MOST_WASTE = 300, 10, 16
@@ -66,19 +68,18 @@ class ByteEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; chunks of a few texts at a time are held."""
         memo = self.memo
-        if len(memo) > MEMO_CHUNKS:
-            memo.clear()
-        odd = {i for i, x in enumerate(texts) if OTHER_SPACE.search(x)}
-        cut = [[] if i in odd else CHUNK.findall(x) for i, x in enumerate(texts)]
-        fresh = list(set(chain.from_iterable(cut)).difference(memo))
-        if fresh:
-            memo.update(zip(fresh, self.library(fresh), strict=True))
-        out = [b"".join(map(memo.__getitem__, x)) for x in cut]
-        for i in odd:
-            out[i] = self.library([texts[i]])[0]
-        return out
+        for a, b in row_groups(map(len, texts), GROUP_CHARS):
+            if len(memo) > MEMO_CHUNKS:
+                memo.clear()
+            cut = [None if OTHER_SPACE.search(x) else CHUNK.findall(x) for x in texts[a:b]]
+            fresh = list(set(chain.from_iterable(filter(None, cut))).difference(memo))
+            for k in range(0, len(fresh), FRESH):
+                memo.update(zip(fresh[k : k + FRESH], self.library(fresh[k : k + FRESH]), strict=True))
+            for i, x in enumerate(cut, a):
+                yield self.library([texts[i]])[0] if x is None else b"".join(map(memo.__getitem__, x))
 
 
 _encoders: dict[str, ByteEncoder] = {}
