@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm import chat, language_id, nearest, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup
+from jsonloom.llm import chat, jaccard_join, language_id, nearest, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup
 from jsonloom.llm.common import table
 
 
@@ -46,6 +46,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.with_components(table(spark, sf_dir, "documents"), jaccard_join.Join(words=3, percent=90))
+    return found.withColumnRenamed("n", "n_shingles")
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -69,11 +74,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_nearest": op8_nearest,
     "op9_chat_tree": op9_chat_tree,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 ORACLES: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE,
+    "op7_jaccard_join": jaccard_join.ORACLE,
     "op8_nearest": nearest.ORACLE,
 }
