@@ -72,7 +72,7 @@ class Join:
         return (100 + self.percent) * common >= self.percent * (n + m)
 
 
-FIRST = "doc_id {}, n bigint, name bigint, proof bigint, part int, counts binary"
+FIRST = "doc_id {}, digest bigint, n bigint, name bigint, proof bigint, part int, counts binary"
 
 
 def first_pass(docs: DataFrame, join: Join) -> DataFrame:
@@ -83,13 +83,14 @@ def first_pass(docs: DataFrame, join: Join) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
-            sets = [join.grams(x) for x in batch.column(1).to_pylist()]
+            sets = [join.grams(x) for x in batch.column("text").to_pylist()]
             for g in sets:
                 np.add.at(sketch, (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             name = [np.add.reduce(mixed(g)) if len(g) else np.uint64(0) for g in sets]
             proof = [np.add.reduce(mixed(~g)) if len(g) else np.uint64(0) for g in sets]
             columns = [
-                batch.column(0),
+                batch.column("doc_id"),
+                batch.column("digest"),
                 pa.array(list(map(len, sets)), type=pa.int64()),
                 *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (name, proof)),
                 pa.nulls(len(sets), pa.int32()),
@@ -102,10 +103,10 @@ def first_pass(docs: DataFrame, join: Join) -> DataFrame:
             zero = pa.nulls(SKETCH_PARTS, pa.int64())
             numbers = pa.array(range(SKETCH_PARTS), type=pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [none, zero, zero, zero, numbers, pa.array([x.tobytes() for x in parts])], schema=out
+                [none, zero, zero, zero, zero, numbers, pa.array([x.tobytes() for x in parts])], schema=out
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+    return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, ddl)
 
 
 class Order:
@@ -209,12 +210,15 @@ def candidate(join: Join) -> Column:
 
 
 def with_components(docs: DataFrame, join: Join) -> DataFrame:
-    """One row per document: doc_id, n (size of its set), component_id (smallest linked doc_id)."""
+    """One row per document: doc_id, n (size of its set), component_id (smallest linked doc_id).
+
+    digest (hash of the text) and root (a number of the component, null for empty sets) follow.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = scratch.store(first_pass(docs, join), "sets")
     order = Order(sketch_of(rows))
-    sets = rows.filter(F.col("part").isNull()).select("doc_id", "n", "name", "proof")
+    sets = rows.filter(F.col("part").isNull()).select("doc_id", "digest", "n", "name", "proof")
     classes = scratch.store(
         sets.filter("n > 0").groupBy("name").agg(
             F.min("doc_id").alias("doc_id"), F.min("proof").alias("proof"), F.max("proof").alias("other")
@@ -225,15 +229,14 @@ def with_components(docs: DataFrame, join: Join) -> DataFrame:
         raise ValueError("names of two sets collide")
 
     all_prefixes = scratch.store(prefixes(docs, join, order), "prefixes")
+    # aggregates that are joined back are written first: Spark then splits the hot keys of such joins
     often = all_prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram")
+    often = scratch.store(often, "common-grams")
     again = all_prefixes.join(often, "gram", "left_semi").groupBy(F.bitwise_not("gram").alias("gram"), "name")
     shared = scratch.store(again.agg(F.first("n").alias("n"), F.first("at").alias("at")), "shared-prefixes")
     scratch.drop(all_prefixes)
-    leaders = (
-        shared.groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "name", "at")).alias("leader"))
-        .filter("k > 1")
-    )
+    leaders = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "name", "at")).alias("leader"))
+    leaders = scratch.store(leaders.filter("k > 1"), "leaders")
     led = (
         shared.join(leaders, "gram")
         .select(F.col("name").alias("a"), F.col("leader.name").alias("b"), "n", "at", F.col("leader.n").alias("m"), F.col("leader.at").alias("place"))
@@ -252,9 +255,8 @@ def with_components(docs: DataFrame, join: Join) -> DataFrame:
         shared.join(near.toDF("name", "root"), "name", "left").withColumn("root", F.coalesce("root", "name")), "rooted"
     )
     sizes = here.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("k"))
-    mixed_grams = (
-        sizes.groupBy("gram").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "k").alias("major")).filter("roots > 1")
-    )
+    mixed_grams = sizes.groupBy("gram").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "k").alias("major"))
+    mixed_grams = scratch.store(mixed_grams.filter("roots > 1"), "open-grams")
     few = here.join(mixed_grams.select("gram", "major"), "gram").select(
         "gram", F.col("name").alias("a"), "n", "at", F.col("root").alias("own"), "major"
     )
@@ -280,23 +282,31 @@ def with_components(docs: DataFrame, join: Join) -> DataFrame:
         .join(over.toDF("r1", "r2"), "r1", "left").withColumn("root", F.coalesce("r2", "r1"))
     )
     final = scratch.store(final.select("name", "doc_id", "root"), "roots")
-    smallest = final.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = final.join(smallest, "root").select("name", "component_id")
+    smallest = scratch.store(final.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
+    component = final.join(smallest, "root").select("name", "component_id", "root")
     return sets.join(component, "name", "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id",
+        "n",
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "digest",
+        "root",
     )
 
 
 def keep_one(docs: DataFrame, join: Join) -> DataFrame:
-    """The documents, all columns, one of each component (the one with the smallest id)."""
+    """The documents, all columns, one of each component: the one with the smallest id.
+
+    Documents with empty sets are no duplicates; repeated rows (same id and text) count once.
+    """
     scratch = Scratch(docs.sparkSession)
     found = scratch.store(with_components(docs, join), "components")
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 and doc_id is not null")
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi")
-    if repeated.isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first")
+    grouped = found.filter("root is not null").groupBy("root").agg(smallest).select("first.doc_id", "first.digest")
+    stay = grouped.union(found.filter("root is null").select("doc_id", "digest")).distinct().toDF("stays", "as")
+    same = docs["doc_id"].eqNullSafe(stay["stays"]) & (F.xxhash64(docs["text"]) == stay["as"])
+    kept = docs.join(stay, same, "left_semi")
+    repeated = found.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 ORACLE = r"""

@@ -48,7 +48,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.with_components(table(spark, sf_dir, "documents"), jaccard_join.Join(words=3, percent=90))
-    return found.withColumnRenamed("n", "n_shingles")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
