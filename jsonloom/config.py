@@ -27,6 +27,13 @@ def scratch_root(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a scratch folder, on whichever file system it lies."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/jsonloom-{name}-{uuid.uuid4().hex}"
 

@@ -38,7 +38,11 @@ STRICT = {
     "allowComments": "false",
     "allowBackslashEscapingAnyCharacter": "false",
     "maxNumLen": "2147483647",
+    "maxStringLen": "2147483647",
 }
+# What Spark's parser refuses although the text may be valid; no option lifts these.
+LONGEST_KEY = 50_000
+DEEPEST = 1_000
 NUMBER = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"
 # Canonical array-index keys; JavaScript moves those first in an object.
 INDEX_KEY = r"^(?:0|[1-9][0-9]{0,9})\z"
@@ -159,6 +163,31 @@ def is_json(text: str) -> Column:
     return parse_text(F.col(text)).isNotNull()
 
 
+def limit_error(text: Column) -> Column:
+    """Why a refused text may be valid JSON all the same: a key or a nesting beyond
+    the parser's limits; NULL where no limit is passed."""
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("__")), F.lit('\\"'), F.lit("__"))
+    long_key = plain.rlike(f'"[^"]{{{LONGEST_KEY + 1},}}"\\s*:')
+
+    def deepest(brackets: Column) -> Column:
+        state = "struct<now:int,most:int>"
+        step = lambda a, b: F.struct(
+            (a["now"] + F.when(b.isin("[", "{"), 1).otherwise(-1)).alias("now"),
+            F.greatest(a["most"], a["now"] + 1).alias("most"),
+        ).cast(state)
+        start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")).cast(state)
+        return F.aggregate(F.split(brackets, ""), start, step, lambda a: a["most"])
+
+    brackets = F.regexp_replace(F.regexp_replace(plain, '"[^"]*"', ""), r"[^\[\]{}]", "")
+    deep = let(brackets, lambda b: F.when(F.length(b) > DEEPEST, deepest(b)).otherwise(0)) > DEEPEST
+    return F.when(
+        F.length(text) > DEEPEST,
+        F.when(long_key, f"Key longer than the parser's {LONGEST_KEY} characters").when(
+            deep, f"Nesting deeper than the parser's {DEEPEST} levels"
+        ),
+    )
+
+
 def kind(cell: Column) -> Column:
     first = F.left(cell, F.lit(1))
     return (

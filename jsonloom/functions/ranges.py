@@ -31,8 +31,27 @@ def pieces(text: Column, pattern: str) -> Column:
     unused = F.get(
         F.filter(F.array(*map(F.lit, SEPARATORS)), lambda c: ~F.contains(text, c)), F.lit(0)
     )
-    none_left = F.raise_error(F.lit("text holds every separator character"))
-    return let(F.coalesce(unused, none_left.cast("string")), cut)
+    return let(unused, lambda s: F.when(s.isNotNull(), cut(s)).otherwise(_gaps_and_matches(text, pattern)))
+
+
+def _gaps_and_matches(text: Column, pattern: str) -> Column:
+    """The same for a text that leaves no separator: one pass for gaps, one for matches."""
+
+    def merged(gaps: Column, matches: Column) -> Column:
+        # a match of nothing at the very start leaves no gap in front of it
+        whole = F.when(F.size(gaps) == F.size(matches), F.concat(F.array(F.lit("")), gaps)).otherwise(gaps)
+        pairs = F.transform(
+            whole,
+            lambda g, i: F.when(i < F.size(matches), F.array(g, F.get(matches, i))).otherwise(F.array(g)),
+        )
+        return F.flatten(pairs)
+
+    return let(
+        F.split(text, pattern, -1),
+        lambda gaps: let(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda matches: merged(gaps, matches)
+        ),
+    )
 
 
 def _totals(values: Column, start: Column) -> Column:

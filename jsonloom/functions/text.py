@@ -75,11 +75,18 @@ def json_quote(text: Column) -> Column:
     """The JSON string literal of ``text`` as JSON.stringify writes it."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     out = F.replace(out, F.lit('"'), F.lit('\\"'))
-    escaped = out
-    for code in range(0x20):
-        char = chr(code)
-        escaped = F.replace(escaped, F.lit(char), F.lit(SHORT_ESCAPES.get(char, f"\\u{code:04x}")))
-    body = F.when(text.rlike(r"[\x00-\x1f]"), escaped).otherwise(out)
+    short = out
+    for char, escape in SHORT_ESCAPES.items():
+        short = F.replace(short, F.lit(char), F.lit(escape))
+    rare = short
+    for code in set(range(0x20)) - set(map(ord, SHORT_ESCAPES)):
+        rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    # Few texts hold control characters at all, and hardly any those without a short escape.
+    body = (
+        F.when(text.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), rare)
+        .when(text.rlike(r"[\x08-\x0d]"), short)
+        .otherwise(out)
+    )
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 

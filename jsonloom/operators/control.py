@@ -1,4 +1,8 @@
-"""Small control sets - paths, record ids - tested against node rows."""
+"""Control sets - paths, records - tested against node rows.
+
+A set is a frame or a Python iterable; both take the same way, a join that Spark plans by
+size, so the rows do not depend on how many entries a set has.
+"""
 
 from __future__ import annotations
 
@@ -7,41 +11,63 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A control set up to this size becomes a literal; a larger one is joined.
-LITERAL_LIMIT = 1000
-NODE_KEY = ["doc_id", "source_line", "ord"]
-
-Control = Iterable[str] | DataFrame
+Control = Iterable | DataFrame
 
 
-def small_values(control: Control) -> list[str] | None:
-    """The set's values, or None for a frame with more than ``LITERAL_LIMIT``."""
+def control_frame(nodes: DataFrame, control: Control, schema: str) -> DataFrame | None:
+    """The distinct entries; None for an iterable without any."""
     if not isinstance(control, DataFrame):
-        return sorted(set(control))
-    rows = control.select(F.col(control.columns[0])).distinct().limit(LITERAL_LIMIT + 1).collect()
-    return None if len(rows) > LITERAL_LIMIT else sorted(r[0] for r in rows if r[0] is not None)
-
-
-def literal_set(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values)).cast("array<string>")
+        rows = [x if isinstance(x, tuple) else (x,) for x in control]
+        if not rows:
+            return None
+        control = nodes.sparkSession.createDataFrame(rows, schema)
+    return control.distinct()
 
 
 def with_hits(nodes: DataFrame, keys: Column, control: Control, name: str) -> DataFrame:
-    """``nodes`` with ``name``: those of each row's ``keys`` that are in ``control``.
+    """``nodes`` with ``name``: those of each row's ``keys`` that are in ``control``
+    (a frame's first column).
 
-    A small set is a literal in the row's own expression.  A large one is a
-    semi-join on the keys, gathered per node; Spark picks the join by size.
+    The nodes are evaluated once: their rows travel with their keys and come together
+    again by a number given to each row, so neither null nor repeated ids lose any.
     """
-    values = small_values(control)
-    if values is not None:
-        return nodes.withColumn(name, F.array_intersect(keys, literal_set(values)))
-    wanted = control.select(F.col(control.columns[0]).alias("key"))
-    found = (
-        nodes.select(*NODE_KEY, F.explode(F.array_distinct(keys)).alias("key"))
-        .join(wanted, "key", "left_semi")
-        .groupBy(*NODE_KEY)
-        .agg(F.collect_set("key").alias(name))
+    wanted = control_frame(nodes, control, "key string")
+    none = F.array().cast("array<string>")
+    if wanted is None:
+        return nodes.withColumn(name, none)
+    wanted = wanted.select(F.col(wanted.columns[0]).alias("key"), F.lit(True).alias("hit"))
+    numbered = nodes.select(
+        F.struct(*nodes.columns).alias("row"), keys.alias("keys"), F.monotonically_increasing_id().alias("at")
     )
-    return nodes.join(found, NODE_KEY, "left").withColumn(
-        name, F.coalesce(name, F.array().cast("array<string>"))
+    spread = numbered.select("row", "at", F.explode_outer(F.array_distinct("keys")).alias("key"))
+    return (
+        spread.join(wanted.distinct(), "key", "left")
+        .groupBy("at")
+        .agg(F.first("row").alias("row"), F.collect_set(F.when(F.col("hit"), F.col("key"))).alias(name))
+        .select("row.*", name)
     )
+
+
+def with_chosen(nodes: DataFrame, records: Control, name: str) -> DataFrame:
+    """``nodes`` with the flag ``name``: the row's record is in ``records``.
+
+    Records go by ``(doc_id, record_id)``: a frame with these columns or an iterable of
+    such pairs.  A frame or iterable of record ids alone means them in every document.
+    """
+    if not isinstance(records, DataFrame):
+        records = list(records)
+    pairs = isinstance(records, list) and any(isinstance(x, tuple) for x in records)
+    kind = nodes.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, record_id string" if pairs else "record_id string"
+    wanted = control_frame(nodes, records, schema)
+    if wanted is None:
+        return nodes.withColumn(name, F.lit(False))
+    if "record_id" not in wanted.columns:
+        raise ValueError("a frame of records needs a column record_id")
+    keys = [c for c in ("doc_id", "record_id") if c in wanted.columns]
+    wanted = wanted.select(*(F.col(c).alias(f"wanted_{c}") for c in keys)).distinct().withColumn(name, F.lit(True))
+    condition = F.lit(True)
+    for c in keys:
+        condition = condition & nodes[c].eqNullSafe(wanted[f"wanted_{c}"])
+    joined = nodes.join(wanted, condition, "left")
+    return joined.select(*nodes.columns, F.coalesce(name, F.lit(False)).alias(name))

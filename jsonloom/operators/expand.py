@@ -182,15 +182,25 @@ def _guard(rows: DataFrame, count: int) -> DataFrame:
     )
 
 
-def _closed(rows: DataFrame, done: int, max_depth: int, levels: int | None) -> DataFrame:
+def _closed(
+    rows: DataFrame,
+    done: int,
+    max_depth: int,
+    levels: int | None,
+    keep_deep: bool = False,
+    scratch: list[str] | None = None,
+) -> DataFrame:
     """All rows closed, given rows to which ``done`` levels were applied."""
     if levels is not None:
-        return _guard(_levels(rows, levels - done, max_depth), levels)
+        reached = _levels(rows, levels - done, max_depth)
+        return reached if keep_deep else _guard(reached, levels)
 
     spark = rows.sparkSession
     closed = []
     while True:
         path = scratch_path(spark, "nodes")
+        if scratch is not None:
+            scratch.append(path)
         reached = _levels(rows, PASS_LEVELS, max_depth).withColumn(
             "open", F.col("n_children").isNull()
         )
@@ -208,7 +218,22 @@ def expand_cells(rows: DataFrame, max_depth: int, levels: int | None) -> DataFra
 
 
 def expand(
-    records: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH, levels: int | None = None
+    records: DataFrame,
+    max_depth: int = DEFAULT_MAX_DEPTH,
+    levels: int | None = None,
+    keep_deep: bool = False,
+    scratch: list[str] | None = None,
 ) -> DataFrame:
-    """The node table of all successful records."""
-    return _finish(_closed(_spread(_roots(records, max_depth)), 1, max_depth, levels))
+    """The node table of all successful records.
+
+    With ``levels`` and ``keep_deep`` a record that needs more levels does not fail the
+    job: its unopened nodes stay as they are (:func:`unopened`).  Without ``levels``
+    the folders of the passes are added to ``scratch``, for the caller to drop.
+    """
+    rows = _closed(_spread(_roots(records, max_depth)), 1, max_depth, levels, keep_deep, scratch)
+    return _finish(rows)
+
+
+def unopened(nodes: DataFrame) -> DataFrame:
+    """Nodes that ``keep_deep`` left closed, a quarantine of records that are too deep."""
+    return nodes.where(F.col("n_children").isNull())

@@ -5,12 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.config import scratch_path
-from jsonloom.operators.records import line_counts, parse, parse_lines
-from jsonloom.sources.documents import read_documents, read_lines
+from jsonloom.functions.cells import ENTRIES, parse_text
+from jsonloom.functions.text import js_trim
+from jsonloom.operators.records import parse, parse_lines, record_stats
+from jsonloom.sources.documents import (
+    count_splits,
+    read_documents,
+    read_lines,
+    without_mark,
+    without_return,
+)
 
-# A file list up to this many rows is broadcast or handed to the reader.
-FILE_LIMIT = 10_000
+# A text of more bytes than this cannot be one row.
+LARGEST_ROW = 2_000_000_000
+TOO_LARGE = "JSON document too large for one row"
+
+
+def _counted(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Splits with their non-blank lines, invalid ones among them, and bytes."""
+    line = without_return(F.col("text"))
+    shown = js_trim(line) != ""
+    bad = shown & parse_text(line)["cell"].isNull()
+    # A byte order mark makes the first line of a file invalid only until it is taken off.
+    first_is_fine = bad & line.startswith("\ufeff") & parse_text(without_mark(line))["cell"].isNotNull()
+    return count_splits(
+        spark,
+        paths,
+        F.count_if(shown).alias("shown"),
+        F.count_if(bad).alias("bad"),
+        F.min_by(first_is_fine, "row").alias("marked"),
+        F.sum(F.octet_length("text") + 1).alias("bytes"),
+    )
 
 
 def parse_files(
@@ -18,35 +43,55 @@ def parse_files(
 ) -> DataFrame:
     """Records of files, in automatic or forced format.
 
-    In automatic format each file is first read as lines, in splits.  Files with
-    several records and no bad line stay lines, however large; only the others
-    are read again as one text each, which is what a JSON document is.
+    In automatic format one pass over the lines, in splits, tells which files hold
+    several records and no bad line; those stay lines, however large.  The lines of the
+    others come together as one text each, which is what a JSON document is.  A document
+    that is too large for one row becomes a failed record that says so.
     """
     if forced_format == "jsonl":
         return parse_lines(read_lines(spark, paths))
     if forced_format == "json":
         return parse(read_documents(spark, paths), "json")
 
-    lines = read_lines(spark, paths)
-    path = scratch_path(spark, "formats")
-    counts = line_counts(lines)
-    counts.select(
-        "doc_id", ((F.col("lines") > 1) & (F.col("bad") == 0)).alias("is_jsonl")
-    ).write.parquet(path)
-    formats = spark.read.parquet(path)
-    by_lines, whole = formats.where("is_jsonl"), formats.where(~F.col("is_jsonl"))
-
-    few = by_lines.limit(FILE_LIMIT + 1).count() <= FILE_LIMIT
-    chosen = lines.join(F.broadcast(by_lines) if few else by_lines, "doc_id", "left_semi")
-    records = parse_lines(chosen)
-
-    # File names come percent-encoded; a plus sign stands for itself.
-    decoded = F.url_decode(F.replace("doc_id", F.lit("+"), F.lit("%2B")))
-    names = [r[0] for r in whole.select(decoded).limit(FILE_LIMIT + 1).collect()]
-    if not names:
-        return records
-    if len(names) <= FILE_LIMIT:
-        docs = read_documents(spark, names)
-    else:
-        docs = read_documents(spark, paths).join(whole, "doc_id", "left_semi")
-    return records.unionByName(parse(docs, "json"))
+    splits = _counted(spark, paths)
+    marked = F.coalesce(F.max((F.col("block") == 0) & F.col("marked")).cast("int"), F.lit(0))
+    formats = splits.groupBy("doc_id").agg(
+        ((F.sum("shown") > 1) & (F.sum("bad") - marked == 0)).alias("is_jsonl"),
+        F.sum("bytes").alias("bytes"),
+    )
+    lines = read_lines(spark, paths, splits)
+    fits = F.col("bytes") <= LARGEST_ROW
+    records = parse_lines(lines.join(formats.where("is_jsonl").select("doc_id"), "doc_id", "left_semi"))
+    whole = formats.where(~F.col("is_jsonl"))
+    ordered = F.array_sort(F.collect_list(F.struct("line_number", "text")))
+    docs = (
+        lines.join(whole.where(fits).select("doc_id"), "doc_id", "left_semi")
+        .groupBy("doc_id")
+        .agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("text"))
+    )
+    none = F.lit(None).cast("string")
+    large = whole.where(~fits).select(
+        "doc_id",
+        F.lit(1).cast("bigint").alias("line_number"),
+        F.lit("record-1").alias("record_id"),
+        F.lit("json").alias("format"),
+        none.alias("text"),
+        none.alias("cell"),
+        F.lit(None).cast(ENTRIES).alias("children"),
+        F.lit(TOO_LARGE).alias("error"),
+    )
+    return records.unionByName(parse(docs, "json")).unionByName(large)
+
+
+def file_stats(
+    spark: SparkSession, paths: str | list[str], forced_format: str | None = None
+) -> DataFrame:
+    """``doc_id, total, success, failed`` of every file, zeros for blank ones.
+
+    Files of no bytes have no row: Spark's readers pass over them.
+    """
+    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("doc_id"))
+    stats = record_stats(parse_files(spark, paths, forced_format))
+    return files.join(stats, "doc_id", "left").select(
+        "doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "success", "failed"))
+    )

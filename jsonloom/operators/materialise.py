@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from jsonloom.functions.cells import mark
 from jsonloom.functions.paths import ancestor, path_text
 from jsonloom.functions.shared import shared
 from jsonloom.functions.text import json_quote
+from jsonloom.operators.control import Control
 from jsonloom.operators.expand import DEFAULT_MAX_DEPTH, expand_cells
 from jsonloom.operators.labels import scalar_label
 from jsonloom.operators.restore import restore_below, restore_records, strict_layers
@@ -85,15 +84,19 @@ def materialise(
         "doc_id", "record_id", "source_line", root.alias("root"), F.explode(parts).alias("token")
     )
     in_order = F.array_sort(F.collect_list("token"))
-    return tokens.groupBy("doc_id", "record_id", "source_line", "root").agg(
-        F.array_join(F.transform(in_order, lambda t: t["text"]), "").alias("json")
-    )
+    places = F.transform(in_order, lambda t: t["at"])
+    repeated = F.raise_error(F.lit("several documents have the same doc_id; see from_column(numbered=True)"))
+    joined = F.when(
+        F.size(F.array_distinct(places)) == F.size(places),
+        F.array_join(F.transform(in_order, lambda t: t["text"]), ""),
+    ).otherwise(repeated.cast("string"))
+    return tokens.groupBy("doc_id", "record_id", "source_line", "root").agg(joined.alias("json"))
 
 
 def materialise_records(
     records: DataFrame,
     nodes: DataFrame,
-    restored: Iterable[str] | DataFrame = (),
+    restored: Control = (),
     indent: int = 0,
 ) -> DataFrame:
     """``doc_id, record_id, json`` of every record, NULL for failed ones, with

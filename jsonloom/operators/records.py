@@ -14,6 +14,7 @@ from jsonloom.functions.cells import (
     ENTRIES,
     could_be_json,
     kind,
+    limit_error,
     parse_text,
     parse_value,
     printed,
@@ -163,7 +164,7 @@ def _named(records: DataFrame) -> DataFrame:
         "text",
         "cell",
         "children",
-        F.when(F.col("cell").isNull(), INVALID).alias("error"),
+        F.when(F.col("cell").isNull(), F.coalesce(limit_error(F.col("text")), F.lit(INVALID))).alias("error"),
     )
 
 

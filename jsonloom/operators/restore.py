@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jsonloom.functions.paths import ancestor, dotted
-from jsonloom.operators.control import with_hits
+from jsonloom.operators.control import Control, with_chosen, with_hits
 
 
 def strict_layers(layers: Column, was_stringified: Column) -> Column:
@@ -77,10 +77,13 @@ def restore_paths(nodes: DataFrame, paths: Iterable[list[str]] | DataFrame) -> D
     return as_string(marked.where(~inside), target).drop("keys", "hits")
 
 
-def restore_records(nodes: DataFrame, record_ids: Iterable[str] | DataFrame) -> DataFrame:
-    """Restore all strings of the chosen records, leave the others expanded."""
-    chosen = with_hits(nodes, F.array("record_id"), record_ids, "chosen")
-    picked = F.size("chosen") > 0
+def restore_records(nodes: DataFrame, records: Control) -> DataFrame:
+    """Restore all strings of the chosen records, leave the others expanded.
+
+    A record is a ``(doc_id, record_id)``; see :func:`with_chosen`.
+    """
+    chosen = with_chosen(nodes, records, "chosen")
+    picked = F.col("chosen")
     was = F.col("was_stringified")
     nested = F.size("layers") - was.cast("int") > 0
     return as_string(chosen.where(~(picked & nested)), picked & was).drop("chosen")

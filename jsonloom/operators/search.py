@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 
 from jsonloom.functions.ranges import find_ranges, segments
+from jsonloom.functions.regex import Invalid, to_java
 from jsonloom.operators.control import Control
 from jsonloom.operators.labels import key_label, value_label
 
@@ -26,7 +27,10 @@ def _any_case(char: str) -> str:
 def build_pattern(
     spark: SparkSession, query: str, regex: bool = False, case_sensitive: bool = False
 ) -> str | None:
-    """Java pattern of a query; None for an empty query or an invalid regex."""
+    """Java pattern of a query; None for an empty query or an invalid regex.
+
+    A valid regex that Java cannot express raises ``functions.regex.Unsupported``.
+    """
     if not query:
         return None
     if not regex:
@@ -34,7 +38,11 @@ def build_pattern(
             "\\" + c if c in META_CHARACTERS else c if case_sensitive else _any_case(c)
             for c in query
         )
-    pattern = query if case_sensitive else f"(?iu){query}"
+    try:
+        java = to_java(query)
+    except Invalid:
+        return None
+    pattern = java if case_sensitive else f"(?iu){java}"
     try:
         # Folded on the driver; no job runs.
         spark.range(1).select(F.lit("").rlike(pattern)).collect()

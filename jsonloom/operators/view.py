@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from jsonloom.operators.restore import restore_records, strict_layers
 
 
 def visible_nodes(
-    nodes: DataFrame, expanded: Control = (), restored: Iterable[str] | DataFrame = ()
+    nodes: DataFrame, expanded: Control = (), restored: Control = ()
 ) -> DataFrame:
     """Nodes on view, with ``open_paths``: those of their stringified path texts
     that are in ``expanded``.
@@ -29,7 +27,7 @@ def visible_nodes(
 
 
 def visible_rows(
-    nodes: DataFrame, expanded: Control = (), restored: Iterable[str] | DataFrame = ()
+    nodes: DataFrame, expanded: Control = (), restored: Control = ()
 ) -> DataFrame:
     """Rows as displayed; sort by ``doc_id, source_line, ord`` for their order."""
     shown = visible_nodes(nodes, expanded, restored)
@@ -57,7 +55,7 @@ def row_counts(rows: DataFrame) -> DataFrame:
 
 
 def stringified_paths(
-    nodes: DataFrame, expanded: Control = (), restored: Iterable[str] | DataFrame = ()
+    nodes: DataFrame, expanded: Control = (), restored: Control = ()
 ) -> DataFrame:
     """Distinct ``path_text`` of the stringified nodes on view."""
     shown = visible_nodes(nodes, expanded, restored)
@@ -67,7 +65,7 @@ def stringified_paths(
 def expand_all(
     nodes: DataFrame,
     expanded: Control = (),
-    restored: Iterable[str] | DataFrame = (),
+    restored: Control = (),
     fixpoint: bool = False,
 ) -> DataFrame:
     """The next expanded set; the restored set is empty afterwards.

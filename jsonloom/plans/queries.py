@@ -150,10 +150,10 @@ def expand_events_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "strict_validity",
-    """SELECT 'documents' AS source, count(*) AS texts, CAST(0 AS BIGINT) AS valid FROM documents
-       UNION ALL SELECT 'conversations', count(*), 0 FROM conversations
-       UNION ALL SELECT 'pages', count(*), 0 FROM pages
-       UNION ALL SELECT 'events', count(*), count(*) FROM events""",
+    """SELECT 'documents' AS source, count(*) AS texts, count(*) FILTER (json_valid(text)) AS valid FROM documents
+       UNION ALL SELECT 'conversations', count(*), count(*) FILTER (json_valid(text)) FROM conversations
+       UNION ALL SELECT 'pages', count(*), count(*) FILTER (json_valid(html)) FROM pages
+       UNION ALL SELECT 'events', count(*), count(*) FILTER (json_valid(props)) FROM events""",
 )
 def strict_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many texts of each table are JSON."""
@@ -409,8 +409,7 @@ def depth_limit_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "key_order",
     """SELECT p_partkey AS doc_id,
-              CASE WHEN p_size < 10 AND FALSE THEN '' ELSE
-              p_size || ',' || (p_size + 100) || ',name,0' || p_size END AS keys,
+              p_size || ',' || (p_size + 100) || ',name,0' || p_size AS keys,
               '"' || p_partkey || '"' AS name_label
        FROM part""",
 )
@@ -462,6 +461,106 @@ def restore_paths_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "restore_all_view",
+    f"""WITH {BLOB}, fmt AS (SELECT doc_id, bool_or(bad) AS broken FROM bl GROUP BY doc_id),
+    ok AS (SELECT bl.* FROM bl JOIN fmt USING (doc_id) WHERE NOT broken)
+    SELECT doc_id, 'record-' || line_number AS record_id, CAST(5 AS BIGINT) AS rows,
+           '{{"event":"' || event_type || '","user_id":' || user_id || ',"value":' || value_text
+             || ',"props":' || CAST(to_json(props) AS VARCHAR) || '}}' AS json
+    FROM ok""",
+)
+def restore_all_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restore-all set as it is, in the row view and in rebuilt records."""
+    records = parse(inputs.event_blobs(spark, sf_dir))
+    nodes = expand(records, levels=4)
+    chosen = restore_all_set(records)
+    rows = row_counts(visible_rows(nodes, restored=chosen))
+    texts = materialise_records(records, nodes, chosen).where(F.col("json").isNotNull())
+    return rows.join(texts, ["doc_id", "record_id"])
+
+
+@register(
+    "restore_one_record",
+    f"""WITH {BLOB}, fmt AS (SELECT doc_id, bool_or(bad) AS broken FROM bl GROUP BY doc_id)
+    SELECT bl.doc_id, 'record-' || line_number AS record_id,
+           '{{"event":"' || event_type || '","user_id":' || user_id || ',"value":' || value_text
+             || ',"props":' || CASE WHEN bl.doc_id = 3 AND line_number = 1
+                  THEN CAST(to_json(props) AS VARCHAR) ELSE '{{"k":' || json_extract(props, '$.k') || '}}' END
+             || '}}' AS json
+    FROM bl JOIN fmt USING (doc_id) WHERE NOT broken""",
+)
+def restore_one_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restoring a record of one document leaves the same record of the others open."""
+    records = parse(inputs.event_blobs(spark, sf_dir))
+    texts = materialise_records(records, expand(records, levels=4), [(3, "record-1")])
+    return texts.where(F.col("json").isNotNull()).select("doc_id", "record_id", "json")
+
+
+@register(
+    "many_open_paths",
+    f"""WITH {EVENT}
+    SELECT line AS source_line, count(*) AS rows FROM ev_nodes GROUP BY line""",
+)
+def many_open_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set of open paths as large as the event table, taken from it."""
+    events = inputs.table(spark, sf_dir, "events", "event_id")
+    paths = events.select(F.concat(F.lit("$.path"), F.col("event_id").cast("string")).alias("path"))
+    nodes = event_nodes(spark, sf_dir)
+    rows = visible_rows(nodes, paths.union(nodes.where("was_stringified").select("path_text")))
+    return rows.groupBy("source_line").agg(F.count("*").alias("rows"))
+
+
+@register(
+    "repeated_ids",
+    """SELECT conv_id, count(*) AS turns, sum(length(text)) AS chars FROM conversations GROUP BY conv_id""",
+)
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as documents under their conversation's id, rebuilt one by one."""
+    turns = inputs.table(spark, sf_dir, "conversations", "conv_id", "text")
+    texts = turns.select("conv_id", F.to_json(F.struct("text")).alias("json"))
+    nodes = expand(parse(from_column(texts, "conv_id", "json", numbered=True), "json"), levels=3)
+    rebuilt = materialise(nodes).select(
+        F.col("doc_id.conv_id").alias("conv_id"), F.get_json_object("json", "$.text").alias("text")
+    )
+    return rebuilt.groupBy("conv_id").agg(
+        F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars")
+    )
+
+
+@register(
+    "blank_documents",
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS total,
+              CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS failed FROM documents""",
+)
+def blank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document blanked: blank texts have no records."""
+    docs = inputs.table(spark, sf_dir, "documents", "doc_id", "text")
+    text = F.when(F.col("doc_id") % 3 == 0, " \n\t").otherwise(F.col("text"))
+    stats = document_stats(docs.select("doc_id", text.alias("text")), "json")
+    return stats.select("doc_id", F.col("total").cast("int").alias("total"), F.col("failed").cast("int").alias("failed"))
+
+
+@register(
+    "primitive_summaries",
+    """SELECT p_partkey AS doc_id, CASE p_partkey % 4
+           WHEN 0 THEN 'Array(' || (p_partkey % 3 + 1) || ')' WHEN 1 THEN p_name
+           WHEN 2 THEN CAST(p_size AS VARCHAR) ELSE 'true' END AS summary FROM part""",
+)
+def primitive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of records that are arrays, strings, numbers and booleans."""
+    parts = inputs.table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
+    key = F.col("p_partkey")
+    text = (
+        F.when(key % 4 == 0, F.to_json(F.array_repeat("p_size", (key % 3 + 1).cast("int"))))
+        .when(key % 4 == 1, F.concat(F.lit('"'), "p_name", F.lit('"')))
+        .when(key % 4 == 2, F.col("p_size").cast("string"))
+        .otherwise("true")
+    )
+    docs = parts.select(key.alias("doc_id"), text.alias("text"))
+    return summaries(parse(docs, "json")).select("doc_id", "summary")
+
+
 @register(
     "materialise_expanded",
     f"""WITH {EVENT}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from jsonloom.config import drop_path
 from jsonloom.functions.cells import is_json
 from jsonloom.operators.expand import DEFAULT_MAX_DEPTH, expand
 from jsonloom.operators.records import parse
@@ -23,12 +24,23 @@ def stream_nodes(
     forced_format: str | None = None,
     max_depth: int = DEFAULT_MAX_DEPTH,
 ) -> DataFrame:
-    """Nodes of a stream of documents, stateless and in append mode."""
-    return expand(parse(docs, forced_format), max_depth, levels)
+    """Nodes of a stream of documents, stateless and in append mode.
+
+    A record deeper than ``levels`` does not stop the stream: its nodes below stay
+    unopened (``n_children`` NULL, see ``operators.expand.unopened``).
+    """
+    return expand(parse(docs, forced_format), max_depth, levels, keep_deep=True)
 
 
-def stream_matches(docs: DataFrame, levels: int, query: str, **options: bool) -> DataFrame | None:
-    return search(stream_nodes(docs, levels), query, **options)
+def stream_matches(
+    docs: DataFrame,
+    levels: int,
+    query: str,
+    forced_format: str | None = None,
+    max_depth: int = DEFAULT_MAX_DEPTH,
+    **options: bool,
+) -> DataFrame | None:
+    return search(stream_nodes(docs, levels, forced_format, max_depth), query, **options)
 
 
 def stream_quality(docs: DataFrame, time_col: str, window: str, watermark: str) -> DataFrame:
@@ -61,8 +73,11 @@ def write_nodes(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        nodes = expand(parse(batch, forced_format), max_depth)
+        scratch: list[str] = []
+        nodes = expand(parse(batch, forced_format), max_depth, scratch=scratch)
         nodes.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        for folder in scratch:
+            drop_path(batch.sparkSession, folder)
 
     writer = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -68,11 +68,11 @@ def test_line_numbers_across_splits(spark, tmp_path):
 
 
 def test_formatted_output_and_quarantine(spark, docs, tmp_path):
-    d = docs({"j": '{"payload":"{\\"ok\\":true}"}', "l": '{"a":1}\n{bad}\n[]', "f": "nope", "b": " "})
+    d = docs({"j": '{"call":"{\\"args\\":[7]}"}', "l": '{"a":1}\n{a=1}\n[]', "f": "nope", "b": " "})
     records = parse(d, None)
     jsonl = parse(d.where("doc_id = 'l'"), "jsonl")
     text = {r.doc_id: r.text for r in format_documents(d, records, expand(records, levels=4)).collect()}
-    assert text["j"] == '{\n  "payload": {\n    "ok": true\n  }\n}'
+    assert text["j"] == '{\n  "call": {\n    "args": [\n      7\n    ]\n  }\n}'
     assert (text["f"], text["b"], text["l"]) == ("null", "null", "null")
     lines = format_records(jsonl, expand(jsonl, levels=4))
     write_formatted(lines, str(tmp_path / "out"))
@@ -80,7 +80,7 @@ def test_formatted_output_and_quarantine(spark, docs, tmp_path):
     assert written == ["{", '  "a": 1', "}", "/* line 2: Invalid JSON */", "[]"]
     write_split(jsonl, str(tmp_path / "good"), str(tmp_path / "bad"))
     assert spark.read.parquet(str(tmp_path / "good")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "bad")).collect()[0].excerpt == "{bad}"
+    assert spark.read.parquet(str(tmp_path / "bad")).collect()[0].excerpt == "{a=1}"
 
 
 def test_ids_of_several_columns(spark):

@@ -68,7 +68,7 @@ def test_restore_all_set_leaves_nothing_to_expand(parsed):
     records, nodes = parsed
     ids = restore_all_set(records)
     assert sorted(r.record_id for r in ids.collect()) == ["record-1", "record-2"]
-    assert stringified_paths(nodes, (), ids.select("record_id")).collect() == []
+    assert stringified_paths(nodes, (), ids).collect() == []
 
 
 def test_materialised_records_keep_failed_ones(parsed):
