@@ -2,9 +2,10 @@
 
 A turn becomes `### role: text</turn>` and a line end.  A backslash goes in front of
 backslashes and control strings inside texts, so the format can be read back.
-Conversations that share initial turns share nodes of one tree: a node is a chain of
-turns, named by a hash chained over them, so the tree is built by grouping on names.
-Nodes come out once, depth first (a node's path is a prefix of its children's), as
+Conversations that share initial turns share nodes of one tree: a prefix of turns is named
+by a hash chained over it, and a node is a run of turns up to the next prefix where
+conversations part or end, so the tree is built by grouping on names and a long
+conversation of its own is one node.  Nodes come out once, depth first (a node's path is a prefix of its children's), as
 tokens with a place in one global stream, position ids that count from the root, and
 the intervals of the stream that hold its ancestors, which with the node itself are all
 that it may attend to.  The loss mask covers the text of assistant turns.
@@ -97,7 +98,8 @@ def conversations(rows: DataFrame) -> DataFrame:
     )
 
 
-NODE = "name string, path string, task int, place bigint, tokens array<int>, loss_from int, loss_to int"
+LOSS = "array<struct<start: int, end: int>>"
+NODE = f"name string, path string, task int, place bigint, tokens array<int>, loss {LOSS}"
 
 
 def emit(nodes: DataFrame, tokenizer: str) -> DataFrame:
@@ -108,43 +110,71 @@ def emit(nodes: DataFrame, tokenizer: str) -> DataFrame:
         task, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = batch.to_pylist()
-            parts = [OPEN + mark(r["role"], IN_ROLE) + MIDDLE for r in rows]
-            parts += [mark(r["text"], IN_TEXT) for r in rows] + [CLOSE]
+            turns = [t for r in rows for t in r["turns"]]
+            parts = [OPEN + mark(t["role"], IN_ROLE) + MIDDLE for t in turns]
+            parts += [mark(t["text"], IN_TEXT) for t in turns] + [CLOSE]
             ids = [memoryview(x).cast("I").tolist() for x in encoder(tokenizer).encode(parts)]
+            heads, bodies, end = iter(ids), iter(ids[len(turns) :]), ids[-1]
             result = []
-            for i, r in enumerate(rows):
-                head, body, end = ids[i], ids[len(rows) + i], ids[-1]
-                tokens = head + body + end
-                learned = len(body) if r["role"] == LEARNED_ROLE else 0
-                result.append((r["name"], r["path"], task, place, tokens, len(head), len(head) + learned))
+            for r in rows:
+                tokens, loss = [], []
+                for t in r["turns"]:
+                    tokens += next(heads)
+                    body = next(bodies)
+                    if t["role"] == LEARNED_ROLE:
+                        loss.append({"start": len(tokens), "end": len(tokens) + len(body)})
+                    tokens += body + end
+                result.append((r["name"], r["path"], task, place, tokens, loss))
                 place += len(tokens)
             columns = zip(*result, strict=True) if result else [()] * len(out)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, type=f.type) for x, f in zip(columns, out, strict=True)], schema=out
             )
 
-    return nodes.select("name", "path", "role", "text").mapInArrow(run, NODE)
+    return nodes.select("name", "path", "turns").mapInArrow(run, NODE)
+
+
+def runs_of_turns(talks: DataFrame) -> DataFrame:
+    """The nodes of the tree: name (of the last prefix), path (names from the root), turns."""
+    last = F.element_at("names", -1).alias("last")
+    once = stored(
+        talks.groupBy(last).agg(F.first("names").alias("names"), F.first("turns").alias("turns")), "chat-distinct"
+    )
+    steps = once.select("last", F.posexplode("names").alias("i", "name"), "names").select(
+        "last", "i", "name", F.try_element_at("names", F.greatest("i", F.lit(1))).alias("parent")
+    )
+    inner = steps.filter("i > 0").select("parent", "name").distinct()
+    parting = inner.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("parent")
+    cuts = parting.union(once.select("last")).distinct().toDF("name")
+    ends = steps.join(cuts, "name", "left_semi").groupBy("last").agg(F.sort_array(F.collect_list("i")).alias("ends"))
+    k = F.col("k")
+    nodes = once.join(ends, "last").select("names", "turns", "ends", F.posexplode("ends").alias("k", "end"))
+    start = F.coalesce(F.try_element_at("ends", F.greatest(k, F.lit(1))), F.lit(-1)) + 1
+    start = F.when(k > 0, start).otherwise(0)
+    return (
+        nodes.select(
+            F.element_at("names", F.col("end") + 1).alias("name"),
+            F.array_join(
+                F.transform(F.slice("ends", F.lit(1), k + 1), lambda e: F.element_at(F.col("names"), e + 1)), ""
+            ).alias("path"),
+            F.slice("turns", start + 1, F.col("end") - start + 1).alias("turns"),
+        )
+        .groupBy("name")
+        .agg(F.first("path").alias("path"), F.first("turns").alias("turns"))
+    )
 
 
 def format_tree(rows: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, leaves).
 
     nodes: start, end (places in the stream), position (position id of the first token),
-    attends (ancestors' intervals in the stream), tokens, loss_from and loss_to (places in
-    tokens under the loss mask).  leaves: conv_id, n_turns, leaf (start of its last node).
+    attends (ancestors' intervals in the stream), tokens, loss (intervals of tokens under
+    the loss mask).  leaves: conv_id, n_turns, leaf (start of its last node).
     """
     talks = stored(conversations(rows), "chat-conversations")
-    turns = talks.select("names", F.posexplode("turns").alias("i", "t")).select(
-        F.element_at("names", F.col("i") + 1).alias("name"),
-        F.array_join(F.slice("names", 1, F.col("i") + 1), "").alias("path"),
-        "t.role",
-        "t.text",
-    )
-    distinct = turns.groupBy("name").agg(
-        F.first("path").alias("path"), F.first("role").alias("role"), F.first("text").alias("text")
-    )
+    ordered = runs_of_turns(talks)
     n = shuffle_partitions(rows.sparkSession)
-    ordered = distinct.repartitionByRange(n, "path").sortWithinPartitions("path")
+    ordered = ordered.repartitionByRange(n, "path").sortWithinPartitions("path")
     placed = stored(emit(ordered, tokenizer), "chat-nodes")
     totals = placed.groupBy("task").agg(F.sum(F.size("tokens")).alias("total"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
@@ -167,10 +197,10 @@ def format_tree(rows: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
     attends = F.coalesce("attends", F.array().cast("array<struct<start: bigint, end: bigint>>"))
     position = F.aggregate(attends, F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
     nodes = stored(
-        placed.select("name", "tokens", "loss_from", "loss_to")
+        placed.select("name", "tokens", "loss")
         .join(spans.select("name", "start", "end"), "name")
         .join(above, "name", "left")
-        .select("name", "start", "end", position.alias("position"), attends.alias("attends"), "tokens", "loss_from", "loss_to"),
+        .select("name", "start", "end", position.alias("position"), attends.alias("attends"), "tokens", "loss"),
         "chat-output",
     )
     last = talks.select("conv_id", F.size("names").cast("bigint").alias("n_turns"), F.element_at("names", -1).alias("name"))
@@ -189,9 +219,9 @@ def read_back(nodes: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFrame:
     seen = ends.select(F.col("start").alias("leaf"), F.explode(F.concat("attends", own)).alias("seen"))
     parts = (
         seen.select("leaf", F.col("seen.start").alias("start"))
-        .join(nodes.select("start", "position", "tokens", "loss_from", "loss_to"), "start")
+        .join(nodes.select("start", "position", "tokens", "loss"), "start")
         .groupBy("leaf")
-        .agg(F.sort_array(F.collect_list(F.struct("position", "tokens", "loss_from", "loss_to"))).alias("parts"))
+        .agg(F.sort_array(F.collect_list(F.struct("position", "tokens", "loss"))).alias("parts"))
     )
 
     schema = to_arrow_schema(StructType.fromDDL(DIGEST))
@@ -206,9 +236,8 @@ def read_back(nodes: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFrame:
                 for role, said in read_turns(text):
                     turns.update(f"{role}\n{said}\n".encode())
                 learned = 0
-                for p in parts:
-                    masked = p["tokens"][p["loss_from"] : p["loss_to"]]
-                    said = unmark(library.decode(masked, skip_special_tokens=False)) if masked else ""
+                for tokens, x in ((p["tokens"], x) for p in parts for x in p["loss"]):
+                    said = unmark(library.decode(tokens[x["start"] : x["end"]], skip_special_tokens=False))
                     learned += len(said)
                     loss.update(said.encode())
                 out.append((leaf, turns.hexdigest(), learned, loss.hexdigest(), len(text)))

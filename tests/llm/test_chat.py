@@ -44,6 +44,7 @@ def rows():
             role = "user" if turn % 2 == 0 else "assistant"
             rows.append((conv, turn, role, "hello" if turn < 2 else rng.choice(texts), "p", 5))
     rows += [(900 + k, t, "user" if t % 2 == 0 else "assistant", f"same {t}", "p", 5) for k in range(40) for t in range(4)]
+    rows += [(950, t, "user" if t % 2 == 0 else "assistant", f"turn {t}", "p", 5) for t in range(300)]
     rows += [(None, 0, "user", "a", "p", 5), (77, None, None, "b", "p", 5), (77, 1, "assistant", "c", "p", 5), (77, 1, "assistant", "c", "p", 5)]
     return rows
 
@@ -63,13 +64,16 @@ def test_against_brute_force(spark, rows):
         at = r.end
         assert r.position == sum(x.end - x.start for x in r.attends)
         assert all(x.end <= r.start for x in r.attends)
-    prefixes = set()
     talks = {}
     for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         talks.setdefault(r[0], []).append((r[2] or "", r[3] or ""))
-    for turns in talks.values():
-        prefixes |= {tuple(turns[: i + 1]) for i in range(len(turns))}
-    assert len(out) == len(prefixes)
+    prefixes = {tuple(t[: i + 1]) for t in talks.values() for i in range(len(t))}
+    children = {}
+    for p in prefixes:
+        children.setdefault(p[:-1], set()).add(p)
+    ends = {tuple(t) for t in talks.values()}
+    assert len(out) == sum(p in ends or len(children[p]) > 1 for p in prefixes)
+    assert sum(len(x.loss) for x in out) == sum(p[-1][0] == "assistant" for p in prefixes)
 
 
 def test_empty_table(spark):
