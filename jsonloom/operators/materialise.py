@@ -38,9 +38,10 @@ def _break(level: Column, indent: int) -> Column:
 
 
 def materialise(
-    nodes: DataFrame, indent: int = 0, root_depth: Column | None = None
+    nodes: DataFrame, indent: int = 0, root_depth: Column | None = None, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``doc_id, record_id, source_line, root, json``: one text per root node.
+    """``doc_id, record_id, source_line, root, json``: one text per root node, with
+    the ``carry`` columns of that node.
 
     Every node emits its opening text and, with children, a closing bracket;
     sorted by position these concatenate to the JSON.  This is one shuffle on
@@ -80,8 +81,14 @@ def materialise(
         F.concat(_break(depth, indent), by_kind(lambda b: F.lit(b[1]))).alias("text"),
     )
     parts = F.when(filled, F.array(opening, closing)).otherwise(F.array(opening))
+    own = F.when(depth == 0, F.struct(*carry)) if carry else F.lit(None)
     tokens = nodes.select(
-        "doc_id", "record_id", "source_line", root.alias("root"), F.explode(parts).alias("token")
+        "doc_id",
+        "record_id",
+        "source_line",
+        root.alias("root"),
+        own.alias("own"),
+        F.explode(parts).alias("token"),
     )
     in_order = F.array_sort(F.collect_list("token"))
     places = F.transform(in_order, lambda t: t["at"])
@@ -90,7 +97,10 @@ def materialise(
         F.size(F.array_distinct(places)) == F.size(places),
         F.array_join(F.transform(in_order, lambda t: t["text"]), ""),
     ).otherwise(repeated.cast("string"))
-    return tokens.groupBy("doc_id", "record_id", "source_line", "root").agg(joined.alias("json"))
+    # An opening and a closing token both carry the root's columns: either will do.
+    carried = [F.first("own", ignorenulls=True).alias("own")] if carry else []
+    out = tokens.groupBy("doc_id", "record_id", "source_line", "root").agg(joined.alias("json"), *carried)
+    return out.select("doc_id", "record_id", "source_line", "root", "json", *(f"own.{c}" for c in carry))
 
 
 def materialise_records(
@@ -141,31 +151,26 @@ def expand_again(
     and a container drops its own stringified flag.
     """
     was = F.col("was_stringified")
-    chosen = nodes.where(F.col("path_text") == wanted).select(
-        "doc_id",
-        F.col("source_line").alias("line_number"),
-        "ord",
-        "path",
-        "path_text",
-        strict_layers(F.col("layers"), was).alias("layers"),
-        "member",
-        "expandable",
+    scalar = (
         F.when(F.col("kind") == "string", F.concat(F.lit("s"), F.col("str_value")))
         .when(F.col("kind") == "number", F.col("num_value").cast("string"))
         .otherwise(scalar_label())
-        .alias("cell"),
     )
-    scalars = chosen.where(~F.col("expandable"))
-    texts = node_values(nodes, wanted, 0).select(
+    # The subtrees' texts and what their roots hold come from one grouped pass.
+    inner = restore_below(_subtrees(nodes, wanted), F.col("at"))
+    inner = inner.withColumns(
+        {"scalar": scalar, "outer_layers": strict_layers(F.col("layers"), was)}
+    )
+    carry = ("ord", "path", "path_text", "outer_layers", "member", "expandable", "scalar")
+    roots = materialise(inner, 0, F.col("at"), carry)
+    start = roots.select(
         "doc_id",
         F.col("source_line").alias("line_number"),
-        F.col("root").alias("ord"),
-        mark(F.col("json")).alias("text"),
-    )
-    containers = (
-        chosen.where(F.col("expandable"))
-        .join(texts, ["doc_id", "line_number", "ord"])
-        .withColumn("cell", F.col("text"))
+        "ord",
+        "path",
+        "path_text",
+        F.col("outer_layers").alias("layers"),
+        "member",
+        F.when(F.col("expandable"), mark(F.col("json"))).otherwise(F.col("scalar")).alias("cell"),
     )
-    start = scalars.unionByName(containers.select(*scalars.columns))
-    return expand_cells(start.drop("expandable"), max_depth, levels)
+    return expand_cells(start, max_depth, levels)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 
+from jsonloom.config import scratch_path
 from jsonloom.functions.ranges import find_ranges, segments
 from jsonloom.functions.regex import Invalid, to_java
 from jsonloom.operators.control import Control
@@ -113,8 +114,11 @@ def kth_match(matches: DataFrame, k: int) -> DataFrame:
 
     Numbering all matches of a document in one window would put them into one
     task.  Counts per block of lines say which block holds the match; only that
-    block is numbered.
+    block is numbered.  The matches are written once and serve both.
     """
+    path = scratch_path(matches.sparkSession, "matches")
+    matches.write.parquet(path)
+    matches = matches.sparkSession.read.schema(matches.schema).parquet(path)
     block = F.floor(F.col("source_line") / LINE_BUCKET).alias("block")
     by_line = Window.partitionBy("doc_id").orderBy("block")
     document = Window.partitionBy("doc_id")
