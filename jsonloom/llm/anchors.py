@@ -161,6 +161,9 @@ class Repeats:
     open: DataFrame
 
 
+BLOCK = "doc_id {}, place bigint, anchor bigint, block bigint"
+
+
 def repeats(docs: DataFrame, units: Callable[[bytes], np.ndarray], sampling: Sampling, scratch: Scratch) -> Repeats:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -176,11 +179,19 @@ def repeats(docs: DataFrame, units: Callable[[bytes], np.ndarray], sampling: Sam
         ids = take(columns["doc_id"], counts)
         return [ids, *(pa.array(np.concatenate(x)) for x in (places, anchors, blocks))]
 
-    schema = f"doc_id {kind}, place bigint, anchor bigint, block bigint"
+    schema = BLOCK.format(kind)
     rows = scratch.store(arrow_map(docs.select("doc_id", "text"), run, schema), "anchors")
+    return settle(rows, scratch)
+
+
+def settle(rows: DataFrame, scratch: Scratch) -> Repeats:
+    """What is repeated among blocks (doc_id, place, anchor, block), a table of `scratch` that goes."""
+    # aggregates that are joined back are written first: Spark then splits the hot keys of such joins
     often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    often = scratch.store(often, "often")
     again = scratch.store(rows.join(often, "anchor", "left_semi"), "repeated-anchors")
     scratch.drop(rows)
+    scratch.drop(often)
     # another name for the anchor, by which Spark pre-aggregates anew instead of keeping hot anchors together
     key = F.bitwise_not("anchor").alias("key")
     firsts = scratch.store(
@@ -198,7 +209,9 @@ def repeats(docs: DataFrame, units: Callable[[bytes], np.ndarray], sampling: Sam
         "settled-blocks",
     )
     scratch.drop(again)
-    several = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1")
+    several = scratch.store(
+        firsts.groupBy("key").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1"), "open-anchors"
+    )
     left = scratch.store(
         firsts.join(several, "key").select("first.doc_id", "first.place", "key", "blocks"), "open-blocks"
     )
@@ -230,6 +243,7 @@ def windows_seen_before(windows: DataFrame, scratch: Scratch) -> DataFrame:
         .filter("n > 1")
         .select("key", "high", "first")
     )
+    first = scratch.store(first, "first-windows")
     here = F.struct("doc_id", "place")
     found = (
         rows.withColumn("key", F.bitwise_not("low"))
@@ -239,6 +253,7 @@ def windows_seen_before(windows: DataFrame, scratch: Scratch) -> DataFrame:
     )
     found = scratch.store(found, "repeated-windows")
     scratch.drop(rows)
+    scratch.drop(first)
     return found
 
 

@@ -10,8 +10,11 @@ window's end; prefix hashes tell which agree from the window's start to the anch
 agrees in both is one window: all but its earliest occurrence are removed.  Bytes are
 then compared; if a hash has collided, the task repeats with another multiplier.
 
-An anchor in more than GROUP_BLOCKS different blocks is not gathered: its windows go one
-by one through an aggregate keyed by two hashes, which is as exact (128 bits).
+An anchor in more than GROUP_BLOCKS different blocks is not gathered.  Its blocks are cut
+into parts of STEP distances; the windows of a part share some bytes on both sides of the
+anchor, which make a longer, rarer anchor, and parts are settled like blocks.  What is
+still above the bound then goes window by window through an aggregate keyed by two hashes,
+which is as exact (128 bits).
 
 The result is exact: a byte goes if a WINDOW-byte string that covers it starts earlier,
 too (smaller doc_id, or same document, earlier start), on the input; null doc_ids come
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jsonloom.llm.anchors import (
+    BLOCK,
     Hashes,
     Sampling,
     by_document,
@@ -36,6 +40,7 @@ from jsonloom.llm.anchors import (
     mixed,
     pack_places,
     repeats,
+    settle,
     tag_of,
     take,
     unpack_places,
@@ -49,6 +54,8 @@ WINDOW, SEED = 100, 16
 SAMPLING = Sampling(window=WINDOW, seed=SEED)
 #: Most different blocks of an anchor that one task sorts, and open blocks in a bucket.
 GROUP_BLOCKS, BUCKET_BLOCKS = 512, 20_000
+#: Distances from window to anchor in a part of a block.
+STEP = 11
 BYTE_HASHES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -177,6 +184,39 @@ def equal_bytes(buffer: np.ndarray, anchor: np.ndarray, row: np.ndarray, source:
     return True
 
 
+def parts_of_blocks(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Open blocks cut into parts, each with a longer anchor: rows like those of sampled blocks."""
+    marked = with_marks(docs, by_document(blocks, "place", "key"), "inner")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(**columns):
+        counts, places, anchors, found = [], [], [], []
+        for text, mark in zip(columns["text"].to_pylist(), lists_of(columns["marks"], ["place", "key"]), strict=True):
+            raw = text.encode("utf-8", "surrogatepass") if text else b""
+            tag = tag_of(raw)
+            key = mark["key"][mark["place"] >> 48 == tag].view(np.uint64)
+            at, first, last = unpack_places(mark["place"], tag)
+            before = len(places)
+            if len(at):
+                units = byte_units(raw)
+                hashes = [Hashes(units, k) for k in (0, 1)]
+                for part in range(-(-SAMPLING.width // STEP)):
+                    near, far = part * STEP, min(part * STEP + STEP, SAMPLING.width) - 1
+                    low, high = np.maximum(at - last, near), np.minimum(at - first, far)
+                    own = low <= high
+                    if own.any():
+                        x, low, high = at[own], low[own], high[own]
+                        shared = hashes[0].of(x - near, x + WINDOW - far)
+                        places.append(pack_places(tag, x, x - high, x - low))
+                        anchors.append(mixed(shared + mixed(key[own] + np.uint64(part))).view(np.int64))
+                        found.append(mixed(hashes[1].of(x - high, x - low + WINDOW)).view(np.int64))
+            counts.append(sum(map(len, places[before:])))
+        ids = take(columns["doc_id"], counts)
+        return [ids, *(pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (places, anchors, found))]
+
+    return arrow_map(marked, run, BLOCK.format(kind))
+
+
 def contexts(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     """The bytes of open blocks with their anchors' keys, documents and places."""
     marked = with_marks(docs, by_document(blocks, "place", "key"), "inner")
@@ -241,12 +281,14 @@ def duplicate_places(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     found = repeats(docs, byte_units, SAMPLING, scratch)
     few, many = (F.col("blocks") <= GROUP_BLOCKS), (F.col("blocks") > GROUP_BLOCKS)
-    rows = scratch.store(contexts(docs, found.open.filter(few)), "contexts")
+    cut = settle(scratch.store(parts_of_blocks(docs, found.open.filter(many)), "parts"), scratch)
+    gathered = found.open.filter(few).union(cut.open.filter(few))
+    rows = scratch.store(contexts(docs, gathered), "contexts")
     buckets = max(shuffle_partitions(docs.sparkSession), -(-rows.count() // BUCKET_BLOCKS))
     ends = scratch.store(sorted_out(rows, buckets), "sorted-windows")
     scratch.drop(rows)
-    single = windows_seen_before(window_rows(docs, found.open.filter(many), byte_units, WINDOW), scratch)
-    settled = found.settled.select("doc_id", "place")
+    single = windows_seen_before(window_rows(docs, cut.open.filter(many), byte_units, WINDOW), scratch)
+    settled = found.settled.select("doc_id", "place").union(cut.settled.select("doc_id", "place"))
     return by_document(settled.union(ends).union(single.select("doc_id", "place")), "place")
 
 
