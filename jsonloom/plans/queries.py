@@ -87,7 +87,7 @@ def event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_nodes(spark: SparkSession, sf_dir: str, max_depth: int = 10) -> DataFrame:
-    return expand(parse(inputs.order_calls(spark, sf_dir), "json"), max_depth, levels=6)
+    return expand(parse(inputs.order_calls(spark, sf_dir), "json"), max_depth, levels=5)
 
 
 def ranges_text(ranges: str) -> Column:
