@@ -674,13 +674,15 @@ def visible_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "stringified_paths",
-    "SELECT '$.items' AS path_text UNION ALL SELECT '$.items[' || unnest(range(5)) || '].note'",
+    f"""WITH {CALLS}
+    SELECT DISTINCT '$.items[' || (i - 1) || '].note' AS path_text FROM calls
+    UNION SELECT '$.items' FROM calls""",
 )
 def stringified_paths_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stringified_paths(call_nodes(spark, sf_dir), ["$.items"])
 
 
-@register("expand_all_step", "SELECT '$.items' AS path_text")
+@register("expand_all_step", f"WITH {CALLS} SELECT DISTINCT '$.items' AS path_text FROM calls")
 def expand_all_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand_all(call_nodes(spark, sf_dir))
 
@@ -794,7 +796,13 @@ def kth_match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kth_match(found, -3).select("source_line", "path_text", "k")
 
 
-@register("paths_to_expand", "SELECT '$.props' AS path_text UNION ALL SELECT '$.other'")
+@register(
+    "paths_to_expand",
+    f"""WITH {EVENT}
+    SELECT DISTINCT '$.props' AS path_text FROM ev_nodes
+    WHERE path_text LIKE '$.props%' AND (contains(lower(key_label), 'k') OR contains(lower(label), 'k'))
+    UNION SELECT '$.other' FROM events UNION SELECT '$.props' FROM events""",
+)
 def paths_to_expand_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths_to_expand(search(event_nodes(spark, sf_dir), "k"), ["$.other", "$.props"])
 
@@ -810,6 +818,23 @@ def record_matches_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_matches(found).select("record_id", "path_text", "value_label")
 
 
+@register(
+    "last_match_wins",
+    """SELECT o_orderkey AS doc_id, '$.a.b' AS path_text, '"' || o_orderstatus || '-late"' AS value_label
+       FROM orders""",
+)
+def last_match_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two nodes of a record with the same path text: the later match counts."""
+    orders = inputs.table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")
+    status = F.col("o_orderstatus")
+    text = F.concat(
+        F.lit('{"a.b":"'), status, F.lit('-early","a":{"b":"'), status, F.lit('-late"}}')
+    )
+    docs = orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    found = search(expand(parse(docs, "json"), levels=3), "-", case_sensitive=True)
+    return record_matches(found).select("doc_id", "path_text", "value_label")
+
+
 @register(
     "highlight",
     f"""WITH {EVENT}
