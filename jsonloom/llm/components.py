@@ -18,7 +18,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.store(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges"
     )
-    mark = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -29,10 +28,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
         now = scratch.store(small.filter("u <> v").distinct(), "small-star")
         scratch.drop(large)
-        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v") % 1000003)).first()
-        if seen == mark:
-            break
-        mark = seen
+        leaves = now.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("root"))
+        roots = now.select("v").distinct().select(F.col("v").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("root"))
+        roles = leaves.union(roots).groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root"))
+        if roles.filter("leaf > 1 or (leaf > 0 and root > 0)").isEmpty():
+            break  # every node hangs on one root
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     )

@@ -8,10 +8,10 @@ so documents that share prefix n-grams are candidates, under length and position
 The order is cut into fragments of equal weight.  A candidate pair's overlap is counted
 in each fragment by itself, and the partial counts are summed per pair.
 
-Equal sets are one class from the start.  Candidates come in two rounds: first each
-class with the smallest class of each of its n-grams; then, with the components of those
-links known, only pairs that lie in different components, so a group of near copies
-costs its size and not its square.  No link between components is lost.
+Equal sets are one class from the start.  Candidates come in rounds: first each class
+with one leader of each of its n-grams, the most central class and then others; at last,
+with the components of those links known, only pairs that lie in different components,
+so a group of near copies costs its size and not its square.  No link between components is lost.
 
 Sets are named by a 64-bit sum of hashes; a second sum tells collisions, which stop the
 job.  Null texts and texts without words have empty sets and link with nothing; repeated
@@ -39,6 +39,9 @@ from jsonloom.llm.substring_dedup import word_units
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: Fragments that the global order is cut into.
 FRAGMENTS = 4
+#: Rounds in which each group's sets are compared with one leader of the group, before
+#: the sets of different components are compared with each other.
+LED_ROUNDS = 3
 LEVEL_BITS = 8
 
 
@@ -177,7 +180,10 @@ def segments(docs: DataFrame, wanted: DataFrame, join: Join, order: Order) -> Da
     def run(**columns):
         names, fragments, out = [], [], []
         for name, text in zip(columns["name"].to_pylist(), columns["text"].to_pylist(), strict=True):
-            ranks = order.ranks(join.grams(text))
+            grams = join.grams(text)
+            if np.add.reduce(mixed(grams)).view(np.int64) != name:
+                continue  # another text under the same id
+            ranks = order.ranks(grams)
             for k, part in enumerate(np.split(ranks, np.searchsorted(ranks, order.cuts))):
                 if len(part):
                     names.append(name)
@@ -187,7 +193,8 @@ def segments(docs: DataFrame, wanted: DataFrame, join: Join, order: Order) -> Da
         values = pa.array(np.concatenate([np.zeros(0, np.int64), *out]))
         return [names, fragments, pa.ListArray.from_arrays(pa.array(offsets), values)]
 
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id")
+    wanted = wanted.withColumnRenamed("doc_id", "holder")
+    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("holder")))
     return arrow_map(rows.select("name", "text"), run, "name bigint, fragment int, grams array<bigint>")
 
 
@@ -196,11 +203,14 @@ def linked(pairs: DataFrame, parts: DataFrame, join: Join) -> DataFrame:
     mine = parts.select(F.col("name").alias("a"), "fragment", F.col("grams").alias("mine"))
     other = parts.select(F.col("name").alias("b"), "fragment", F.col("grams").alias("other"))
     partial = pairs.join(mine, "a").join(other, ["b", "fragment"])
-    counted = partial.select("a", "b", "n", "m", F.size(F.array_intersect("mine", "other")).alias("common"))
+    common = F.size(F.array_intersect("mine", "other")).alias("common")
+    counted = partial.select("a", "b", "n", "m", "fragment", common)
     return (
-        counted.groupBy("a", "b", "n", "m").agg(F.sum("common").alias("common"))
+        counted.dropDuplicates(["a", "b", "fragment"])  # repeated rows bring a set twice
+        .groupBy("a", "b", "n", "m")
+        .agg(F.sum("common").alias("common"))
         .filter(join.enough(F.col("common"), F.col("n"), F.col("m")))
-    )
+    )
 
 
 def candidate(join: Join) -> Column:
@@ -235,40 +245,68 @@ def with_components(docs: DataFrame, join: Join) -> DataFrame:
     again = all_prefixes.join(often, "gram", "left_semi").groupBy(F.bitwise_not("gram").alias("gram"), "name")
     shared = scratch.store(again.agg(F.first("n").alias("n"), F.first("at").alias("at")), "shared-prefixes")
     scratch.drop(all_prefixes)
-    leaders = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "name", "at")).alias("leader"))
-    leaders = scratch.store(leaders.filter("k > 1"), "leaders")
-    led = (
-        shared.join(leaders, "gram")
-        .select(F.col("name").alias("a"), F.col("leader.name").alias("b"), "n", "at", F.col("leader.n").alias("m"), F.col("leader.at").alias("place"))
-        .filter(F.col("a") != F.col("b"))
-    )
-    first = scratch.store(led.filter(candidate(join)).select("a", "b", "n", "m").distinct(), "first-pairs")
-    grouped = shared.join(leaders.select("gram"), "gram", "left_semi").select("name").distinct()
-    parts = scratch.store(
-        segments(docs, grouped.join(classes, "name").select("name", "doc_id").filter("doc_id is not null"), join, order), "segments"
-    )
-    links = scratch.store(linked(first, parts, join), "first-links")
-    near = scratch.store(components(links, scratch), "first-components")
+    # The most central set of a group leads it: the one with the largest share of common prefix n-grams.
+    weight = shared.groupBy("name").agg((1000 * F.count(F.lit(1)) / F.first("n")).cast("int").alias("weight"))
+    weight = scratch.store(weight, "weights")
+    shared = scratch.store(shared.join(weight, "name"), "weighted-prefixes")
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+        wanted = scratch.store(names.join(classes, "name").select("name", "doc_id"), "wanted")
+        parts = scratch.store(segments(docs, wanted, join, order), "segments")
+        links = scratch.store(linked(pairs, parts, join), name)
+        scratch.drop(parts)
+        return links
+
+    def rooted(roots: DataFrame | None) -> DataFrame:
+        """The prefix rows with the component of each set, of n-grams that still lie in several."""
+        if roots is None:
+            rows = shared.withColumn("root", F.col("name"))
+        else:
+            rows = shared.join(roots.toDF("name", "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+        rows = scratch.store(rows, "rooted")
+        sizes = rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("k"))
+        open_grams = sizes.groupBy("gram").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "k").alias("major"))
+        open_grams = scratch.store(open_grams.filter("roots > 1").select("gram", "major"), "open-grams")
+        return scratch.store(rows.join(open_grams, "gram"), "open-prefixes")
+
+    def fresh(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+        pairs = pairs.filter(candidate(join)).select("a", "b", "n", "m").distinct()
+        if tried is None:
+            return pairs
+        done = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
+        same = (F.least("a", "b") == F.least("x", "y")) & (F.greatest("a", "b") == F.greatest("x", "y"))
+        return pairs.join(done, same, "left_anti")
+
+    links, tried, near = None, None, None
+    for turn in range(LED_ROUNDS):
+        here = rooted(near)
+        rank = F.struct(F.col("weight") if turn == 0 else F.xxhash64("name", F.lit(turn)), "name")
+        leaders = here.groupBy("gram").agg(F.max_by(F.struct("n", "name", "at", "root"), rank).alias("leader"))
+        leaders = scratch.store(leaders, "leaders")
+        led = (
+            here.join(leaders, "gram")
+            .filter(F.col("root") != F.col("leader.root"))
+            .select(
+                F.col("name").alias("a"), F.col("leader.name").alias("b"), "n", "at",
+                F.col("leader.n").alias("m"), F.col("leader.at").alias("place"),
+            )
+        )
+        pairs = scratch.store(fresh(led, tried), "led-pairs")
+        found = checked(pairs, "led-links").select("a", "b")
+        links = found if links is None else links.union(found)
+        tried = pairs if tried is None else tried.union(pairs)
+        near = scratch.store(components(links, scratch), "led-components")
 
     # what is left: pairs of different components that share a prefix n-gram
-    here = scratch.store(
-        shared.join(near.toDF("name", "root"), "name", "left").withColumn("root", F.coalesce("root", "name")), "rooted"
-    )
-    sizes = here.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("k"))
-    mixed_grams = sizes.groupBy("gram").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "k").alias("major"))
-    mixed_grams = scratch.store(mixed_grams.filter("roots > 1"), "open-grams")
-    few = here.join(mixed_grams.select("gram", "major"), "gram").select(
-        "gram", F.col("name").alias("a"), "n", "at", F.col("root").alias("own"), "major"
-    )
+    here = rooted(near)
+    few = here.select("gram", F.col("name").alias("a"), "n", "at", F.col("root").alias("own"), "major")
     few = few.filter("own <> major")
     rest = here.select("gram", F.col("name").alias("b"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("root").alias("far"))
     twice = (F.col("far") != F.col("major")) & (F.col("b") < F.col("a"))  # both in `few`: once is enough
     met = few.join(rest, "gram").filter((F.col("own") != F.col("far")) & ~twice & candidate(join))
-    done = first.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    tried = (F.least("a", "b") == F.least("x", "y")) & (F.greatest("a", "b") == F.greatest("x", "y"))
-    second = met.select("a", "b", "n", "m").distinct().join(done, tried, "left_anti")
-    second = scratch.store(second, "second-pairs")
-    more = scratch.store(linked(second, parts, join), "second-links")
+    second = scratch.store(fresh(met, tried), "second-pairs")
+    more = checked(second, "second-links")
     root = near.toDF("node", "root")
     bridges = (
         more.select("a", "b")
