@@ -76,6 +76,14 @@ def arrow_map(df: DataFrame, fn: Callable[..., dict | list], schema: str | Struc
     return df.mapInArrow(run, schema)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """The documents under column names c0, c1, ..., and the new names of `text` and `source`."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = docs.columns.index
+    source = names[place("source")] if "source" in docs.columns else ""
+    return docs.toDF(*names), names[place("text")], source
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
@@ -100,4 +108,4 @@ def row_groups(lengths, limit: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-__all__ = ["F", "SPACE", "Scratch", "arrow_map", "row_groups", "same", "shuffle_partitions", "stored", "table", "words_of"]
+__all__ = ["F", "SPACE", "Scratch", "arrow_map", "numbered", "row_groups", "same", "shuffle_partitions", "stored", "table", "words_of"]

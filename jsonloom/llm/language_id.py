@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import arrow_map, row_groups
+from jsonloom.llm.common import arrow_map, numbered, row_groups
 
 #: Most labelled documents that are learned from.
 TRAIN_DOCS = 4_000
@@ -221,11 +221,13 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
 SPANS = "array<struct<first: int, end: int, lang: string>>"
 
 
-def with_language(docs: DataFrame, model: Model | None, spans: bool = True) -> DataFrame:
+def with_language(
+    docs: DataFrame, model: Model | None, spans: bool = True, text_col: str = "text"
+) -> DataFrame:
     """The rows and `found`: struct(lang_pred, score, spans); spans count words from 0."""
 
     def run(**columns):
-        texts = [x or "" for x in columns["text"].to_pylist()]
+        texts = [x or "" for x in columns[text_col].to_pylist()]
         rows = model.label(texts) if model else [(UNKNOWN, 0.0, [])] * len(texts)
         found = [
             {
@@ -249,8 +251,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents, all columns, whose language is clear: known and holding most letters."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = with_language(rows, learn(docs), spans=False)
-    return found.filter(
-        (F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= KEEP_FROM)
-    ).select("row.*")
+    own, text, _ = numbered(docs)
+    found = with_language(own, learn(docs), spans=False, text_col=text)
+    clear = (F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= KEEP_FROM)
+    return found.filter(clear).select(*own.columns).toDF(*docs.columns)

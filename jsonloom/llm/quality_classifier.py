@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import arrow_map, stored
+from jsonloom.llm.common import arrow_map, numbered, stored
 from jsonloom.llm.quality_rules import BetaPrior, beta_prior
 
 #: Most labelled rows that the classifier is trained on.
@@ -126,17 +126,19 @@ def site(source: Column) -> tuple[Column, Column]:
     return parts[0], F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
 
 
-def with_evidence(docs: DataFrame, model: Model | None) -> DataFrame:
+def with_evidence(
+    docs: DataFrame, model: Model | None, text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
     """The documents and `evidence` struct(host, path, odds): the classifier's log-odds."""
 
     def run(**columns):
-        texts = columns["text"].to_pylist()
+        texts = columns[text_col].to_pylist()
         odds = [model(x) if model else 0.0 for x in texts]
         return [*columns.values(), odds]
 
     schema = docs.select("*", F.lit(0.0).alias("odds")).schema
     out = arrow_map(docs, run, schema)
-    host, path = site(F.col("source"))
+    host, path = site(F.col(source_col))
     return out.select(
         *(F.col(c) for c in docs.columns),
         F.struct(host.alias("host"), path.alias("path"), F.col("odds").alias("odds")).alias("evidence"),
@@ -199,8 +201,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, without those that the classifier rejects."""
-    own = docs.select(F.struct(*docs.columns).alias("row"), "source", "text")
     model = fit(docs, labels)
     evidence = with_evidence(docs.select("source", "text"), model).select("evidence")
-    judged = judge(with_evidence(own, model).select("row", "evidence"), *site_sums(evidence))
-    return judged.filter("verdict.kept").select("row.*")
+    # numbered columns cannot clash with the verdict's, and texts travel once
+    own, text, source = numbered(docs)
+    judged = judge(with_evidence(own, model, text, source), *site_sums(evidence))
+    return judged.filter("verdict.kept").select(*own.columns).toDF(*docs.columns)
