@@ -41,7 +41,7 @@ from jsonloom.llm.common import Scratch, arrow_map
 WINDOW = 20
 SAMPLING = Sampling(window=WINDOW, seed=5)
 #: Word hashes that a Python worker keeps; beyond it the memo starts anew.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 
 
 class WordHashes(dict):
