@@ -6,7 +6,7 @@ places, and neighbouring windows mostly share one.  An anchor's block is the str
 units of all windows that it is the anchor of; blocks follow each other through a text.
 
 Only anchors that occur twice matter.  A block that occurred earlier (smaller doc_id,
-then place) settles all its windows at once.  What is left are blocks that are the first
+then text_id, then place) settles all its windows at once.  What is left are blocks that are the first
 of their kind although their anchor occurs in other blocks, too: the ends of repeated
 stretches, whose windows are looked at one by one by the operators.
 
@@ -15,9 +15,9 @@ make a block's identity 128 bits together with its anchor.  Counts and first pla
 aggregates with partial sums, and joins on anchors are left to Spark's skew handling, so
 no group of copies is gathered.
 
-A place is one number: 15 bits of the text's hash (so that different texts under one
-doc_id stay apart), 32 bits of position, 8 bits from the position to the first window,
-8 bits number of windows.
+A text is known by its doc_id and text_id, 64 bits of its hash: different texts under one
+doc_id (or under null ids) stay apart in marks, groups and joins.  A place in a text is one
+number: the position, 8 bits from the position to the first window, 8 bits number of windows.
 """
 
 from __future__ import annotations
@@ -27,8 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jsonloom.llm.common import Scratch, arrow_map
@@ -128,18 +127,22 @@ class Sampling:
         return [at, first, last, seeds[at].view(np.int64), mixed(block).view(np.int64)]
 
 
-def tag_of(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw) & 0x7FFF
+#: What tells texts apart.
+TEXT = ("doc_id", "text_id")
 
 
-def pack_places(tag: int, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return (tag << 48) | (at << 16) | ((at - first) << 8) | (last - first + 1)
+def identified(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text_id, text, more columns) of documents."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text", *more)
 
 
-def unpack_places(places: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, first windows and last windows of the places that belong to a text."""
-    places = places[(places >> 48) == tag]
-    at = (places >> 16) & 0xFFFFFFFF
+def pack_places(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (at << 16) | ((at - first) << 8) | (last - first + 1)
+
+
+def unpack_places(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, first windows and last windows of a text's places."""
+    at = places >> 16
     first = at - ((places >> 8) & 0xFF)
     return at, first, first + (places & 0xFF) - 1
 
@@ -153,15 +156,15 @@ def take(column: pa.Array, counts: list[int]) -> pa.Array:
 class Repeats:
     """Settled blocks, and first blocks whose windows are to be looked at.
 
-    settled: doc_id, place, source_id, source_place.  open: doc_id, place, key, blocks
-    (how many different blocks the anchor has).
+    settled: doc_id, text_id, place, source_id, source_text, source_place.  open: doc_id,
+    text_id, place, key, blocks (how many different blocks the anchor has).
     """
 
     settled: DataFrame
     open: DataFrame
 
 
-BLOCK = "doc_id {}, place bigint, anchor bigint, block bigint"
+BLOCK = "doc_id {}, text_id bigint, place bigint, anchor bigint, block bigint"
 
 
 def repeats(docs: DataFrame, units: Callable[[bytes], np.ndarray], sampling: Sampling, scratch: Scratch) -> Repeats:
@@ -173,19 +176,29 @@ def repeats(docs: DataFrame, units: Callable[[bytes], np.ndarray], sampling: Sam
             raw = text.encode("utf-8", "surrogatepass") if text else b""
             at, first, last, anchor, block = sampling(units(raw))
             counts.append(len(at))
-            places.append(pack_places(tag_of(raw), at, first, last))
+            places.append(pack_places(at, first, last))
             anchors.append(anchor)
             blocks.append(block)
-        ids = take(columns["doc_id"], counts)
-        return [ids, *(pa.array(np.concatenate(x)) for x in (places, anchors, blocks))]
+        ids = [take(columns[n], counts) for n in TEXT]
+        return [*ids, *(pa.array(np.concatenate(x)) for x in (places, anchors, blocks))]
 
     schema = BLOCK.format(kind)
-    rows = scratch.store(arrow_map(docs.select("doc_id", "text"), run, schema), "anchors")
+    rows = scratch.store(arrow_map(identified(docs), run, schema), "anchors")
     return settle(rows, scratch)
 
 
+def here() -> Column:
+    return F.struct(*TEXT, "place")
+
+
+def source() -> list[Column]:
+    """The columns of the first occurrence `first`."""
+    names = {"doc_id": "source_id", "text_id": "source_text", "place": "source_place"}
+    return [F.col(f"first.{a}").alias(b) for a, b in names.items()]
+
+
 def settle(rows: DataFrame, scratch: Scratch) -> Repeats:
-    """What is repeated among blocks (doc_id, place, anchor, block), a table of `scratch` that goes."""
+    """What is repeated among blocks (doc_id, text_id, place, anchor, block), a table of `scratch` that goes."""
     # aggregates that are joined back are written first: Spark then splits the hot keys of such joins
     often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     often = scratch.store(often, "often")
@@ -196,16 +209,15 @@ def settle(rows: DataFrame, scratch: Scratch) -> Repeats:
     key = F.bitwise_not("anchor").alias("key")
     firsts = scratch.store(
         again.groupBy(key, "block").agg(
-            F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")
+            F.min(here()).alias("first"), F.count(F.lit(1)).alias("n")
         ),
         "first-blocks",
     )
-    here = F.struct("doc_id", "place")
     settled = scratch.store(
-        again.select("doc_id", "place", key, "block")
+        again.select(*TEXT, "place", key, "block")
         .join(firsts.filter("n > 1").select("key", "block", "first"), ["key", "block"])
-        .filter(~here.eqNullSafe(F.col("first")))
-        .select("doc_id", "place", F.col("first.doc_id").alias("source_id"), F.col("first.place").alias("source_place")),
+        .filter(~here().eqNullSafe(F.col("first")))
+        .select(*TEXT, "place", *source()),
         "settled-blocks",
     )
     scratch.drop(again)
@@ -213,43 +225,43 @@ def settle(rows: DataFrame, scratch: Scratch) -> Repeats:
         firsts.groupBy("key").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1"), "open-anchors"
     )
     left = scratch.store(
-        firsts.join(several, "key").select("first.doc_id", "first.place", "key", "blocks"), "open-blocks"
+        firsts.join(several, "key").select("first.*", "key", "blocks"), "open-blocks"
     )
     scratch.drop(firsts)
     return Repeats(settled, left)
 
 
 def by_document(rows: DataFrame, *columns: str) -> DataFrame:
-    """The rows of each document as an array; a document's own length bounds it."""
-    return rows.groupBy("doc_id").agg(F.collect_set(F.struct(*columns)).alias("marks"))
+    """The rows of each text as an array; the text's own length bounds it."""
+    return rows.groupBy(*TEXT).agg(F.collect_set(F.struct(*columns)).alias("marks"))
 
 
 def with_marks(docs: DataFrame, marks: DataFrame, how: str, *more: str) -> DataFrame:
-    """(doc_id, text, more columns, marks) of documents; rows with a null doc_id meet, too."""
-    found = marks.withColumnRenamed("doc_id", "marked")
-    mine = docs.select("doc_id", "text", *more)
-    return mine.join(found, mine["doc_id"].eqNullSafe(found["marked"]), how).drop("marked")
+    """(doc_id, text_id, text, more columns, marks) of documents; rows with a null doc_id meet, too."""
+    found = marks.withColumnsRenamed({"doc_id": "marked", "text_id": "marked_text"})
+    mine = identified(docs, *more)
+    both = mine["doc_id"].eqNullSafe(found["marked"]) & (mine["text_id"] == found["marked_text"])
+    return mine.join(found, both, how).drop("marked", "marked_text")
 
 
 def windows_seen_before(windows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of rows (low, high, doc_id, place), one for each window, those whose window starts earlier, too.
+    """Of rows (low, high, doc_id, text_id, place), one for each window, those whose window starts earlier, too.
 
-    low and high are two hashes of the window.  Returns doc_id, place, source_id, source_place.
+    low and high are two hashes of the window.  Returns the columns of `Repeats.settled`.
     """
     rows = scratch.store(windows, "windows")
     first = (
         rows.groupBy(F.bitwise_not("low").alias("key"), "high")
-        .agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(here()).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
         .select("key", "high", "first")
     )
     first = scratch.store(first, "first-windows")
-    here = F.struct("doc_id", "place")
     found = (
         rows.withColumn("key", F.bitwise_not("low"))
         .join(first, ["key", "high"])
-        .filter(~here.eqNullSafe(F.col("first")))
-        .select("doc_id", "place", F.col("first.doc_id").alias("source_id"), F.col("first.place").alias("source_place"))
+        .filter(~here().eqNullSafe(F.col("first")))
+        .select(*TEXT, "place", *source())
     )
     found = scratch.store(found, "repeated-windows")
     scratch.drop(rows)
@@ -275,7 +287,7 @@ def lists_of(marks: pa.Array, names: list[str]) -> list[dict[str, np.ndarray]]:
 def window_rows(
     docs: DataFrame, blocks: DataFrame, units_of: Callable[[bytes], np.ndarray], window: int
 ) -> DataFrame:
-    """Two hashes of each window of the open blocks, with its document and place."""
+    """Two hashes of each window of the open blocks, with its text and place."""
     marked = with_marks(docs, by_document(blocks, "place"), "inner")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -284,8 +296,7 @@ def window_rows(
         marks = lists_of(columns["marks"], ["place"])
         for text, mark in zip(columns["text"].to_pylist(), marks, strict=True):
             raw = text.encode("utf-8", "surrogatepass") if text else b""
-            tag = tag_of(raw)
-            _, first, last = unpack_places(mark["place"], tag)
+            _, first, last = unpack_places(mark["place"])
             size = last - first + 1
             starts = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
             counts.append(len(starts))
@@ -293,11 +304,11 @@ def window_rows(
                 units = units_of(raw)
                 for k in (0, 1):
                     out[k].append(Hashes(units, k).of(starts, starts + window).view(np.int64))
-                out[2].append(pack_places(tag, starts, starts, starts))
-        ids = take(columns["doc_id"], counts)
-        return [ids, *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out)]
+                out[2].append(pack_places(starts, starts, starts))
+        ids = [take(columns[n], counts) for n in TEXT]
+        return [*ids, *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out)]
 
-    return arrow_map(marked, run, f"doc_id {kind}, low bigint, high bigint, place bigint")
+    return arrow_map(marked, run, f"doc_id {kind}, text_id bigint, low bigint, high bigint, place bigint")
 
 
 def covered_by(first: np.ndarray, last: np.ndarray, n: int, window: int) -> np.ndarray:

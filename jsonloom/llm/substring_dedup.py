@@ -12,7 +12,8 @@ each other.  Factors of WINDOW words or more are duplicate spans.
 The result is exact: a word goes if a window of WINDOW consecutive words that covers it
 starts earlier, too (smaller doc_id, or same document, earlier start), on the input.
 Null doc_ids come first.  Rows that share a doc_id are one document: equal rows have the
-same result, different texts are ordered by a hash.  Null texts have no words.
+same result, different texts are ordered and told apart by 64 bits of their hash.  Null
+texts have no words.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from jsonloom.llm.anchors import (
     factors,
     lists_of,
     repeats,
-    tag_of,
     unpack_places,
     window_rows,
     windows_seen_before,
@@ -68,7 +68,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     found = repeats(docs, word_units, SAMPLING, scratch)
     ends = windows_seen_before(window_rows(docs, found.open, word_units, WINDOW), scratch)
-    marks = by_document(found.settled.select("doc_id", "place").union(ends.select("doc_id", "place")), "place")
+    marks = by_document(found.settled.unionByName(ends), "place")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(**columns):
@@ -77,7 +77,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         for text, mark in zip(columns["text"].to_pylist(), marks, strict=True):
             raw = text.encode("utf-8", "surrogatepass") if text else b""
             words = raw.split()
-            _, first, last = unpack_places(mark["place"], tag_of(raw)) if len(mark["place"]) else (None, (), ())
+            _, first, last = unpack_places(mark["place"])
             cut = factors(covered_by(first, last, len(words), WINDOW)) if len(first) else []
             n.append(len(words))
             spans.append([{"start": a, "end": b} for a, b in cut])

@@ -18,12 +18,14 @@ which is as exact (128 bits).
 
 The result is exact: a byte goes if a WINDOW-byte string that covers it starts earlier,
 too (smaller doc_id, or same document, earlier start), on the input; null doc_ids come
-first, and rows that share a doc_id are one document, different texts of it ordered by a
-hash.  Null texts have no bytes.
+first, and rows that share a doc_id are one document, different texts of it ordered and
+told apart by 64 bits of their hash.  Null texts have no bytes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from jsonloom.llm.anchors import (
     BLOCK,
+    TEXT,
     Hashes,
     Sampling,
     by_document,
@@ -41,7 +44,6 @@ from jsonloom.llm.anchors import (
     pack_places,
     repeats,
     settle,
-    tag_of,
     take,
     unpack_places,
     window_rows,
@@ -193,9 +195,8 @@ def parts_of_blocks(docs: DataFrame, blocks: DataFrame) -> DataFrame:
         counts, places, anchors, found = [], [], [], []
         for text, mark in zip(columns["text"].to_pylist(), lists_of(columns["marks"], ["place", "key"]), strict=True):
             raw = text.encode("utf-8", "surrogatepass") if text else b""
-            tag = tag_of(raw)
-            key = mark["key"][mark["place"] >> 48 == tag].view(np.uint64)
-            at, first, last = unpack_places(mark["place"], tag)
+            key = mark["key"].view(np.uint64)
+            at, first, last = unpack_places(mark["place"])
             before = len(places)
             if len(at):
                 units = byte_units(raw)
@@ -207,18 +208,18 @@ def parts_of_blocks(docs: DataFrame, blocks: DataFrame) -> DataFrame:
                     if own.any():
                         x, low, high = at[own], low[own], high[own]
                         shared = hashes[0].of(x - near, x + WINDOW - far)
-                        places.append(pack_places(tag, x, x - high, x - low))
+                        places.append(pack_places(x, x - high, x - low))
                         anchors.append(mixed(shared + mixed(key[own] + np.uint64(part))).view(np.int64))
                         found.append(mixed(hashes[1].of(x - high, x - low + WINDOW)).view(np.int64))
             counts.append(sum(map(len, places[before:])))
-        ids = take(columns["doc_id"], counts)
-        return [ids, *(pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (places, anchors, found))]
+        ids = [take(columns[n], counts) for n in TEXT]
+        return [*ids, *(pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (places, anchors, found))]
 
     return arrow_map(marked, run, BLOCK.format(kind))
 
 
 def contexts(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The bytes of open blocks with their anchors' keys, documents and places."""
+    """The bytes of open blocks with their anchors' keys, texts and places."""
     marked = with_marks(docs, by_document(blocks, "place", "key"), "inner")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -226,17 +227,15 @@ def contexts(docs: DataFrame, blocks: DataFrame) -> DataFrame:
         counts, keys, places, parts = [], [], [], []
         for text, mark in zip(columns["text"].to_pylist(), lists_of(columns["marks"], ["place", "key"]), strict=True):
             raw = text.encode("utf-8", "surrogatepass") if text else b""
-            tag = tag_of(raw)
-            mine = mark["place"] >> 48 == tag
-            _, first, last = unpack_places(mark["place"], tag)
+            _, first, last = unpack_places(mark["place"])
             counts.append(len(first))
-            keys.append(mark["key"][mine])
-            places.append(mark["place"][mine])
+            keys.append(mark["key"])
+            places.append(mark["place"])
             parts.extend(raw[a : b + WINDOW] for a, b in zip(first.tolist(), last.tolist(), strict=True))
-        ids = take(columns["doc_id"], counts)
-        return [ids, *(pa.array(np.concatenate(x)) for x in (places, keys)), parts]
+        ids = [take(columns[n], counts) for n in TEXT]
+        return [*ids, *(pa.array(np.concatenate(x)) for x in (places, keys)), parts]
 
-    return arrow_map(marked, run, f"doc_id {kind}, place bigint, key bigint, context binary")
+    return arrow_map(marked, run, f"doc_id {kind}, text_id bigint, place bigint, key bigint, context binary")
 
 
 def sorted_out(rows: DataFrame, buckets: int) -> DataFrame:
@@ -249,9 +248,8 @@ def sorted_out(rows: DataFrame, buckets: int) -> DataFrame:
         by = np.argsort(key, kind="stable")
         table = table.take(pa.array(by))
         key, place = key[by], place[by]
-        ids = table["doc_id"].combine_chunks()
         order = pa.compute.sort_indices(
-            pa.table({"d": ids, "p": place}), sort_keys=[("d", "ascending"), ("p", "ascending")], null_placement="at_start"
+            table, sort_keys=[(n, "ascending") for n in (*TEXT, "place")], null_placement="at_start"
         ).to_numpy()
         rank = np.empty(len(key), dtype=np.int64)
         rank[order] = np.arange(len(key))
@@ -265,19 +263,18 @@ def sorted_out(rows: DataFrame, buckets: int) -> DataFrame:
         start[1:] = (row[1:] != row[:-1]) | (d[1:] != d[:-1] - 1)
         begin = np.flatnonzero(start)
         last = np.concatenate([begin[1:], [len(row)]]) - 1 if len(row) else begin
-        at = (place[row[begin]] >> 16) & 0xFFFFFFFF
-        tag = place[row[begin]] >> 48
-        out = (tag << 48) | (at << 16) | (d[begin] << 8) | (d[begin] - d[last] + 1)
-        return pa.table({"doc_id": ids.take(pa.array(row[begin])), "place": pa.array(out, type=pa.int64())})
+        at = place[row[begin]] >> 16
+        found = table.select(TEXT).take(pa.array(row[begin]))
+        return found.append_column("place", pa.array(pack_places(at, at - d[begin], at - d[last]), type=pa.int64()))
 
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
     return dealt.groupBy("bucket").applyInArrow(
-        lambda table: run(table), f"doc_id {kind.simpleString()}, place bigint"
+        lambda table: run(table), f"doc_id {kind.simpleString()}, text_id bigint, place bigint"
     )
 
 
 def duplicate_places(docs: DataFrame) -> DataFrame:
-    """(doc_id, marks): places of all repeated windows of each document."""
+    """(doc_id, text_id, marks): places of all repeated windows of each text."""
     scratch = Scratch(docs.sparkSession)
     found = repeats(docs, byte_units, SAMPLING, scratch)
     few, many = (F.col("blocks") <= GROUP_BLOCKS), (F.col("blocks") > GROUP_BLOCKS)
@@ -288,8 +285,8 @@ def duplicate_places(docs: DataFrame) -> DataFrame:
     ends = scratch.store(sorted_out(rows, buckets), "sorted-windows")
     scratch.drop(rows)
     single = windows_seen_before(window_rows(docs, cut.open.filter(many), byte_units, WINDOW), scratch)
-    settled = found.settled.select("doc_id", "place").union(cut.settled.select("doc_id", "place"))
-    return by_document(settled.union(ends).union(single.select("doc_id", "place")), "place")
+    places = [x.select(*TEXT, "place") for x in (found.settled, cut.settled, ends, single)]
+    return by_document(reduce(DataFrame.union, places), "place")
 
 
 SPAN = "array<struct<start: bigint, end: bigint>>"
@@ -297,7 +294,7 @@ SPAN = "array<struct<start: bigint, end: bigint>>"
 
 def spans_of(raw: bytes, places: np.ndarray) -> list[tuple[int, int]]:
     """Maximal removed runs of bytes."""
-    _, first, last = unpack_places(places, tag_of(raw))
+    _, first, last = unpack_places(places)
     return factors(covered_by(first, last, len(raw), WINDOW)) if len(first) else []
 
 

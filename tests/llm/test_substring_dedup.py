@@ -62,3 +62,17 @@ def test_repeated_rows_and_empty_table(spark, frame):
     got = sorted((r.doc_id, len(r.kept.split())) for r in dedup(df).collect())
     assert got == [(1, 50), (1, 50), (1, 50), (2, 0), (2, 1)]
     assert dedup(df.limit(0)).count() == 0
+
+
+def test_different_texts_under_null_ids(spark, frame):
+    # some thousand texts share the null id: each keeps its own words, whatever was repeated in the others
+    copy = " ".join(f"c{k}" for k in range(40))
+    texts = [f"{copy} " + " ".join(f"t{i}.{k}" for k in range(30)) for i in range(1500)]
+    texts += [" ".join(f"u{i}.{k}" for k in range(25 + i % 40)) for i in range(1500)]
+    df = frame([(None, t, None, None, None) for t in texts]).repartition(4)
+    got = sorted(r.kept for r in dedup(df).collect())
+    own = [t.removeprefix(f"{copy} ") for t in texts]
+    whole = [t for t in texts[:1500] if t in set(got)]
+    assert len(whole) == 1  # the first of the copies
+    own[texts.index(whole[0])] = whole[0]
+    assert got == sorted(own)

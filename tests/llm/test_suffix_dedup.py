@@ -100,3 +100,20 @@ def test_cut_texts(spark, frame):
     assert got[1].text == text and got[1].lang == "en" and got[1].kept == "z" and got[1].n_chars == len(text)
     assert got[2].text == "qtail" and got[2].n_chars == 5 and got[3].text is None
     assert cut_texts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [512, 3])
+def test_different_texts_under_null_ids(spark, frame, monkeypatch, most):
+    # some thousand texts share the null id: each keeps its own bytes, whatever was repeated in the others
+    monkeypatch.setattr(suffix_dedup, "GROUP_BLOCKS", most)
+    copy = "".join(f"{k * k:x}/" for k in range(500, 560))
+    own = ["".join(f"<{i}.{k}>" for k in range(20)) for i in range(1000, 2500)]  # numbers of one length
+    clean = ["".join(f"[{i}.{k}]" for k in range(20 + i % 30)) for i in range(1500)]
+    texts = [copy + x for x in own] + clean
+    df = frame([(None, t, None, None, None) for t in texts]).repartition(4)
+    got = [bytes(r.kept).decode() for r in dedup(df).collect()]
+    assert sorted(x for x in got if x[0] == "[") == sorted(clean)
+    cut = [x for x in got if x[0] != "["]
+    assert sum(x.startswith(copy) for x in cut) == 1  # the first of the copies
+    # the first bytes of a number may go with the copy, as they are the same elsewhere
+    assert sorted(x[-len(own[0]) :].split(">", 1)[1] for x in cut) == sorted(x.split(">", 1)[1] for x in own)
