@@ -59,11 +59,14 @@ def search(
     case_sensitive: bool = False,
     jq: bool = False,
     ordered: bool = False,
+    keep_unopened: bool = False,
 ) -> DataFrame | None:
     """Matching nodes with their ranges; None when there is no pattern.
 
     All nodes are searched, whether on view or not.  Ranges are computed only for
     rows that matched.  ``jq`` also matches the pattern against the path text.
+    ``keep_unopened`` also returns the nodes that were left unopened, marked in a column
+    ``unopened``: what is below them has not been searched.
     """
     pattern = build_pattern(nodes.sparkSession, query, regex, case_sensitive)
     if pattern is None:
@@ -82,11 +85,14 @@ def search(
         "stringified_chain",
         key_label().alias("key_label"),
         value_label().alias("value_label"),
+        *([F.col("n_children").isNull().alias("unopened")] if keep_unopened else []),
     )
     key, value, path = F.col("key_label"), F.col("value_label"), F.col("path_text")
     condition = hit(key) | hit(value)
     if jq:
         condition = condition | hit(path)
+    if keep_unopened:
+        condition = condition | F.col("unopened")
     # One expression over the three labels, so it is built and planned once.
     texts = F.array(key, value, path if jq else F.lit(None).cast("string"))
     ranges = F.transform(texts, lambda text: find_ranges(text, pattern))
@@ -101,6 +107,7 @@ def search(
         "value_label",
         *[F.get("ranges", F.lit(i)).alias(f"{name}_ranges") for i, name in enumerate(NAMES)],
         "stringified_chain",
+        *(["unopened"] if keep_unopened else []),
     )
     return matches.orderBy("doc_id", "source_line", "ord") if ordered else matches
 

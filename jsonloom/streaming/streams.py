@@ -7,6 +7,8 @@ jobs of its own and runs per micro-batch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,7 +17,7 @@ from jsonloom.config import drop_path
 from jsonloom.functions.cells import is_json
 from jsonloom.operators.expand import DEFAULT_MAX_DEPTH, expand
 from jsonloom.operators.records import parse
-from jsonloom.operators.search import search
+from jsonloom.operators.search import build_pattern, search
 
 
 def stream_nodes(
@@ -40,7 +42,14 @@ def stream_matches(
     max_depth: int = DEFAULT_MAX_DEPTH,
     **options: bool,
 ) -> DataFrame | None:
-    return search(stream_nodes(docs, levels, forced_format, max_depth), query, **options)
+    """Matches of a stream of documents, with an ``unopened`` column.
+
+    What ``levels`` leaves unopened cannot be searched below; such nodes are rows of the
+    result, too, with ``unopened`` true, whether they match or not.  ``write_matches``
+    searches records of any depth.
+    """
+    nodes = stream_nodes(docs, levels, forced_format, max_depth)
+    return search(nodes, query, keep_unopened=True, **options)
 
 
 def stream_quality(docs: DataFrame, time_col: str, window: str, watermark: str) -> DataFrame:
@@ -71,11 +80,41 @@ def write_nodes(
     A batch that is run again replaces its own folder, so no node is written
     twice.
     """
+    return _write(docs, path, checkpoint, lambda nodes: nodes, forced_format, max_depth, available_now)
 
+
+def write_matches(
+    docs: DataFrame,
+    path: str,
+    checkpoint: str,
+    query: str,
+    forced_format: str | None = None,
+    max_depth: int = DEFAULT_MAX_DEPTH,
+    available_now: bool = False,
+    **options: bool,
+) -> StreamingQuery | None:
+    """Matches in records of any depth, written like ``write_nodes``; None when there is no pattern."""
+    pattern = {k: v for k, v in options.items() if k in ("regex", "case_sensitive")}
+    if build_pattern(docs.sparkSession, query, **pattern) is None:
+        return None
+    return _write(
+        docs, path, checkpoint, lambda nodes: search(nodes, query, **options), forced_format, max_depth, available_now
+    )
+
+
+def _write(
+    docs: DataFrame,
+    path: str,
+    checkpoint: str,
+    result: Callable[[DataFrame], DataFrame],
+    forced_format: str | None,
+    max_depth: int,
+    available_now: bool,
+) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
         scratch: list[str] = []
         nodes = expand(parse(batch, forced_format), max_depth, scratch=scratch)
-        nodes.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        result(nodes).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         for folder in scratch:
             drop_path(batch.sparkSession, folder)
 

@@ -8,7 +8,7 @@ from jsonloom.operators.format import format_documents, format_records, write_fo
 from jsonloom.operators.records import line_formats, parse, parse_lines
 from jsonloom.plans.reports import nesting_histogram, parse_quality, path_profile
 from jsonloom.sources.documents import from_column, read_documents, read_lines
-from jsonloom.streaming.streams import stream_matches, stream_nodes, stream_quality, write_nodes
+from jsonloom.streaming.streams import stream_matches, stream_nodes, stream_quality, write_matches, write_nodes
 
 
 def test_documents_from_files(spark, tmp_path):
@@ -119,6 +119,25 @@ def test_stream_equals_batch(spark, docs, tmp_path):
     assert sorted(spark.read.parquet(out).select(*columns).collect(), key=str) == want
 
 
+def test_stream_search_of_deep_records(spark, docs, tmp_path):
+    deep = {"needle": [1]}
+    for _ in range(8):
+        deep = {"a": json.dumps(deep)} if "b" in deep else {"b": deep}
+    source = str(tmp_path / "source")
+    docs({"deep": json.dumps(deep), "flat": '{"needle": 2}'}).write.parquet(source)
+    stream = spark.readStream.schema("doc_id string, text string").parquet(source)
+    query = stream_matches(stream, 3, "needle").writeStream.format("memory").queryName("deep_hits").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert {(r.doc_id, r.unopened) for r in spark.table("deep_hits").collect()} == {("deep", True), ("flat", False)}
+    out = str(tmp_path / "matches")
+    write_matches(stream, out, str(tmp_path / "cp"), "needle", available_now=True).awaitTermination(120)
+    assert sorted((r.doc_id, r.key_label) for r in spark.read.parquet(out).collect()) == [("deep", "needle"), ("flat", "needle")]
+    assert write_matches(stream, out, str(tmp_path / "cp2"), "") is None
+
+
 def test_reports(docs):
     d = docs({"a": '{"p":"{\\"q\\":[1,\\"2\\"]}"}', "b": "[1]", "c": "x"})
     records = parse(d)
