@@ -1,7 +1,8 @@
 """Operator 5: language identification with spans.
 
-Per-language log-probabilities of character triples are learned from labelled texts (at
-most TRAIN_DOCS of them, the ones with the smallest hash of their id).  The script of a
+Per-language log-probabilities of character triples are learned from labelled texts: the
+TRAIN_DOCS with the smallest hash of their id, and the TRAIN_EACH such of each language,
+so that rare languages are learned, too.  The script of a
 word's first letter narrows its candidate languages to those that use the script; a
 word's score in a language is the sum over its letters.  A Viterbi pass with a
 SWITCH_PENALTY labels the words of a text, so mixed texts come apart into spans.  The
@@ -22,13 +23,15 @@ import unicodedata
 from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jsonloom.llm.common import arrow_map, numbered, row_groups
 
-#: Most labelled documents that are learned from.
+#: Most labelled documents that are learned from whatever their language.
 TRAIN_DOCS = 4_000
+#: Labelled documents of each language that are learned from beside them, and the parts in which they are ranked first.
+TRAIN_EACH, RANK_PARTS = 50, 64
 BUCKETS = 1 << 15
 SMOOTHING = 0.05
 #: Log-probability that a change of language between two words costs.
@@ -142,7 +145,7 @@ class Model:
     def viterbi(self, words: Words) -> np.ndarray:
         """A language for each word; texts step side by side, each on its own."""
         n, langs = len(words.lengths), len(self.langs)
-        labels = np.zeros(n, dtype=np.uint8)
+        labels = np.zeros(n, dtype=np.uint16)
         if not n:
             return labels
         emit = np.add.reduceat(self.scores[words.grams], words.first, axis=0)
@@ -154,7 +157,7 @@ class Model:
         counts, first = counts[order], words.bounds[:-1][order]
         active = np.searchsorted(-counts, -np.arange(counts[0]), side="left")  # texts with over t words
         switched = np.zeros((n, langs), dtype=bool)
-        origin = np.zeros(n, dtype=np.uint8)
+        origin = np.zeros(n, dtype=np.uint16)
         value = np.zeros((len(counts), langs), dtype=np.float32)
         for t in range(counts[0]):
             k = active[t]
@@ -168,7 +171,7 @@ class Model:
                 v = np.maximum(v, moved)
                 v -= v.max(axis=1, keepdims=True)  # keeps single precision exact enough on long texts
             value[:k] = v + emit[at]
-        state = value.argmax(axis=1).astype(np.uint8)
+        state = value.argmax(axis=1).astype(np.uint16)
         for t in range(counts[0] - 1, -1, -1):
             k = active[t]
             at = first[:k] + t
@@ -183,13 +186,16 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     usable = docs.filter(
         F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     ).select("doc_id", "lang", "text")
-    chosen = (
-        usable.select(F.col("doc_id").alias("chosen"))
-        .orderBy(F.xxhash64("chosen"), "chosen")
-        .limit(train_docs)
-        .distinct()
-    )
-    sample = usable.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"))  # at most train_docs rows
+    ids = usable.select(F.col("doc_id").alias("chosen"), "lang")
+    order = (F.xxhash64("chosen"), F.col("chosen"))
+    ranked = ids.withColumn("part", F.pmod(F.xxhash64("chosen", F.lit(1)), F.lit(RANK_PARTS)))
+    for keys in (("lang", "part"), ("lang",)):  # no task ranks all of a common language
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        ranked = ranked.withColumn("rank", rank).filter(F.col("rank") <= TRAIN_EACH).drop("rank")
+    first = ids.select("chosen").orderBy(*order).limit(train_docs)
+    chosen = first.union(ranked.select("chosen")).distinct()
+    # at most train_docs rows and TRAIN_EACH for each language
+    sample = usable.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"))
 
     def count(**columns):
         out: tuple[list, list, list] = ([], [], [])
@@ -250,8 +256,14 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, whose language is clear: known and holding most letters."""
+    """The documents, all columns, whose language is clear: known and holding most letters.
+
+    Where no language can be learned, all documents stay.
+    """
+    model = learn(docs)
+    if model is None:
+        return docs
     own, text, _ = numbered(docs)
-    found = with_language(own, learn(docs), spans=False, text_col=text)
+    found = with_language(own, model, spans=False, text_col=text)
     clear = (F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= KEEP_FROM)
     return found.filter(clear).select(*own.columns).toDF(*docs.columns)

@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
+from jsonloom.llm import language_id
 from jsonloom.llm.language_id import SWITCH_PENALTY, UNKNOWN, Words, identify, keep_known, learn
 
 SF = "/root/testdata/sf0.01"
@@ -60,3 +61,13 @@ def test_edges(frame):
     assert keep_known(df).filter(F.col("doc_id").isin(90, 91, 92)).count() == 0
     assert identify(df.limit(0)).count() == 0
     assert {r.lang_pred for r in identify(df.filter("lang is null")).collect()} == {UNKNOWN}
+
+
+def test_rare_languages_are_learned(frame, monkeypatch):
+    monkeypatch.setattr(language_id.learn, "__defaults__", (40,))  # a sample that misses the rare language
+    rows = [(i, ENGLISH, "en", None, None) for i in range(3000)] + [(5000 + i, "한국어 문서 입니다", "ko", None, None) for i in range(4)]
+    df = frame(rows).repartition(3)
+    assert {r.lang_pred for r in identify(df).filter("doc_id >= 5000").collect()} == {"ko"}
+    assert keep_known(df).count() == len(rows)
+    blank = df.withColumn("lang", F.lit(None).cast("string"))
+    assert keep_known(blank).count() == len(rows)
