@@ -96,6 +96,12 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def site(source: Column) -> tuple[Column, Column]:
+    """Host and first path segment of a source."""
+    parts = F.split(F.regexp_replace(F.coalesce(source, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), "[/?#]")
+    return parts[0], F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
+
+
 def row_groups(lengths, limit: int) -> Iterator[tuple[int, int]]:
     """Cuts rows into runs of at most `limit` in total length; a longer row is a run of its own."""
     start, end, total = 0, 0, 0
@@ -108,4 +114,4 @@ def row_groups(lengths, limit: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-__all__ = ["F", "SPACE", "Scratch", "arrow_map", "numbered", "row_groups", "same", "shuffle_partitions", "stored", "table", "words_of"]
+__all__ = ["F", "SPACE", "Scratch", "arrow_map", "numbered", "row_groups", "same", "site", "shuffle_partitions", "stored", "table", "words_of"]

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import arrow_map, numbered, stored
+from jsonloom.llm.common import arrow_map, numbered, site, stored
 from jsonloom.llm.quality_rules import BetaPrior, beta_prior
 
 #: Most labelled rows that the classifier is trained on.
@@ -120,12 +120,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
     return Model(x, (good[order] > 0).astype(np.float32))
 
 
-def site(source: Column) -> tuple[Column, Column]:
-    """Host and first path segment of a source."""
-    parts = F.split(F.regexp_replace(F.coalesce(source, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), "[/?#]")
-    return parts[0], F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
-
-
 def with_evidence(
     docs: DataFrame, model: Model | None, text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:

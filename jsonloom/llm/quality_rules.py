@@ -1,7 +1,7 @@
 """Operator 4: quality rules with host verdicts.
 
 Every document gets its base figures in one narrow pass over whole texts.  Failures of
-the base rule are summed by host (`source`); the rates of hosts are shrunk towards the
+the base rule are summed by host (the host part of `source`); the rates of hosts are shrunk towards the
 corpus rate with a beta prior whose strength comes from the spread between hosts
 (method of moments), and a host whose shrunk rate passes HOST_LIMIT rejects its
 documents.  The per-document figures are written once, so texts are read once and are
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import arrow_map, stored
+from jsonloom.llm.common import arrow_map, site, stored
 
 #: White space between words, and the symbols that are counted.
 WHITE = " \t\n\x0b\x0c\r"
@@ -118,10 +118,10 @@ def beta_prior(groups: DataFrame, n: str = "n", hits: str = "hits") -> BetaPrior
 
 
 def host_verdicts(measured: DataFrame) -> DataFrame:
-    """(source, n, hits, rate, host_rejected) of hosts; rate is the shrunk one."""
+    """(host, n, hits, rate, host_rejected) of hosts; rate is the shrunk one."""
     hosts = stored(
         measured.filter(F.col("source").isNotNull())
-        .groupBy("source")
+        .groupBy(site(F.col("source"))[0].alias("host"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("hits")),
         "rule-hosts",
     )
@@ -133,13 +133,14 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
 def apply_rules(docs: DataFrame) -> DataFrame:
     """One row per document: figures, base_failed, host_rejected, kept."""
     measured = stored(measure(docs), "rule-figures")
-    verdicts = host_verdicts(measured).select("source", "host_rejected")
+    verdicts = host_verdicts(measured).select("host", "host_rejected")
     rejected = F.coalesce("host_rejected", F.lit(False))
     return (
-        measured.join(verdicts, "source", "left")
+        measured.withColumn("host", F.when(F.col("source").isNotNull(), site(F.col("source"))[0]))
+        .join(verdicts, "host", "left")
         .withColumn("host_rejected", rejected)
         .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
-        .drop("source")
+        .drop("source", "host")
     )
 
 

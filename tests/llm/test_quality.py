@@ -40,6 +40,15 @@ def test_host_verdicts(frame):
     assert apply_rules(df.limit(0)).count() == 0
 
 
+def test_paths_of_a_host_are_pooled(frame):
+    good, bad = " ".join(f"u{k}" for k in range(60)), "short"
+    rows = [(i, good, None, f"https://fine.org/{i}", None) for i in range(40)]
+    rows += [(100 + i, bad if i < 38 else good, None, f"http://poor.org/{i}?q", None) for i in range(40)]
+    got = {r.doc_id: r for r in apply_rules(frame(rows)).collect()}
+    assert all(got[i].kept for i in range(40)) and len(got) == len(rows)
+    assert all(got[100 + i].host_rejected for i in range(40)) and not got[138].base_failed
+
+
 def test_shrinkage(spark):
     rows = [("a", 1000, 900.0), ("b", 1000, 100.0), ("c", 1, 1.0)]
     groups = spark.createDataFrame(rows, "source string, n bigint, hits double")
