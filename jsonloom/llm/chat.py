@@ -113,7 +113,7 @@ def emit(nodes: DataFrame, tokenizer: str) -> DataFrame:
             turns = [t for r in rows for t in r["turns"]]
             parts = [OPEN + mark(t["role"], IN_ROLE) + MIDDLE for t in turns]
             parts += [mark(t["text"], IN_TEXT) for t in turns] + [CLOSE]
-            ids = [memoryview(x).cast("I").tolist() for x in encoder(tokenizer).encode(parts)]
+            ids = [memoryview(x).cast("I").tolist() for x in encoder(tokenizer, plain=True).encode(parts)]
             heads, bodies, end = iter(ids), iter(ids[len(turns) :]), ids[-1]
             result = []
             for r in rows:
@@ -227,7 +227,7 @@ def read_back(nodes: DataFrame, leaves: DataFrame, tokenizer: str) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(DIGEST))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = encoder(tokenizer).tokenizer
+        library = encoder(tokenizer, plain=True).tokenizer
         for batch in batches:
             out = []
             for leaf, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -15,7 +15,7 @@ tasks wrote of that length.  The rank names the sequence and the place in it, so
 documents are never gathered or sorted.
 
 A null or empty text is the end token alone.  Repeated rows are packed each; null ids
-are kept.  Special tokens' strings in texts are ordinary text.
+are kept.  Special tokens' strings in texts become the special tokens, as the library has it.
 """
 
 from __future__ import annotations
@@ -54,27 +54,36 @@ OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
 class ByteEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str):
+    With `plain`, special tokens' strings are ordinary text.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [x.content for x in tokens if not (plain and x.special)]
         self.memo: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def whole(self, text: str) -> bool:
+        """Is a text encoded whole?  Added tokens are found before chunks are cut."""
+        return bool(OTHER_SPACE.search(text)) or any(x in text for x in self.added)
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text; chunks of a few texts at a time are held."""
         memo = self.memo
         for a, b in row_groups(map(len, texts), GROUP_CHARS):
             if len(memo) > MEMO_CHUNKS:
                 memo.clear()
-            cut = [None if OTHER_SPACE.search(x) else CHUNK.findall(x) for x in texts[a:b]]
+            cut = [None if self.whole(x) else CHUNK.findall(x) for x in texts[a:b]]
             fresh = list(set(chain.from_iterable(filter(None, cut))).difference(memo))
             for k in range(0, len(fresh), FRESH):
                 memo.update(zip(fresh[k : k + FRESH], self.library(fresh[k : k + FRESH]), strict=True))
@@ -82,14 +91,14 @@ class ByteEncoder:
                 yield self.library([texts[i]])[0] if x is None else b"".join(map(memo.__getitem__, x))
 
 
-_encoders: dict[str, ByteEncoder] = {}
+_encoders: dict[tuple[str, bool], ByteEncoder] = {}
 
 
-def encoder(path: str) -> ByteEncoder:
-    """One encoder for each vocabulary and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = ByteEncoder(path)
-    return _encoders[path]
+def encoder(path: str, plain: bool = False) -> ByteEncoder:
+    """One encoder for each vocabulary, way with special tokens and Python worker."""
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = ByteEncoder(path, plain)
+    return _encoders[path, plain]
 
 
 def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:

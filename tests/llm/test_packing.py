@@ -76,3 +76,17 @@ def test_rows(frame):
     want = ordered.groupby("sequence_id").length.cumsum() - ordered.length
     assert (want == ordered.offset).all() and ordered.groupby("sequence_id").length.sum().max() <= CAPACITY
     assert pack(frame([(1, "x", None, None, None)]).limit(0), FILE).count() == 0
+
+
+def test_special_tokens_strings_encode_like_the_library(frame):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(FILE)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n<|endoftext|> y"]
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    assert all(50256 in ids for ids in want.values())
+    for r in pack(frame([(i, x, None, None, None) for i, x in enumerate(texts)]), FILE).collect():
+        ids = np.array(want[r.doc_id], dtype="<u4")
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    plain = encoder(FILE, plain=True)
+    assert list(plain.encode(texts)) == plain.library(texts) and 50256 not in np.frombuffer(b"".join(plain.encode(texts)), "<u4")
