@@ -1,13 +1,11 @@
-"""Operator 3: substring dedup by relative Lempel-Ziv parsing.
-
-The reference is the corpus itself, cut into blocks around sampled anchors (`anchors`);
-their index is keyed by anchor and block.  A document is factored greedily from left to
-right: a factor starts at the first anchor whose block occurs earlier, and goes on while
-the next anchor's block does.  Where a factor ends, the block of the next anchor is not
-indexed although the anchor is: the windows there are looked up one by one in the index
-of such boundary windows, which stretches the factor to its last word.  The first place
-of any window is never inside a factor, so boundary windows need only be compared with
-each other.  Factors of WINDOW words or more are duplicate spans.
+"""Operator 3: substring dedup by blocks around sampled anchors and by windows.
+
+This takes the place of relative Lempel-Ziv parsing: no text is parsed, and no factor
+with a source is made.  The corpus is cut into blocks around sampled anchors (`anchors`).
+A block that occurs earlier, by anchor and hash, settles its windows at once; the windows
+of first blocks whose anchor occurs in other blocks are compared with each other by hash,
+one by one.  Spans are the maximal runs of words that repeated windows cover; a span may
+join copies from different places.
 
 The result is exact: a word goes if a window of WINDOW consecutive words that covers it
 starts earlier, too (smaller doc_id, or same document, earlier start), on the input.
