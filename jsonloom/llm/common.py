@@ -55,6 +55,12 @@ class Scratch:
         folder = context._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
+    def drop_all(self, *keep: DataFrame) -> None:
+        """Deletes all tables but those of `keep`."""
+        for df, _ in list(self.paths.values()):
+            if not any(df is x for x in keep):
+                self.drop(df)
+
 
 def arrow_map(df: DataFrame, fn: Callable[..., dict | list], schema: str | StructType) -> DataFrame:
     """fn(columns as lists) -> columns as lists or arrays, one Arrow batch at a time."""
