@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.llm import chat, jaccard_join, language_id, nearest, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup
+from jsonloom.llm import (
+    chat,
+    jaccard_join,
+    language_id,
+    lexical_search,
+    nearest,
+    packing,
+    prefix_trie,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_codec,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+)
 from jsonloom.llm.common import table
 
 
@@ -67,6 +81,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), prefix_trie.Sharing()).drop("name", "parent")
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
@@ -78,9 +104,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_chat_tree": op9_chat_tree,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_sharding": op12_sharding,
+    "op13_lexical_search": op13_lexical_search,
 }
 ORACLES: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE,
     "op7_jaccard_join": jaccard_join.ORACLE,
     "op8_nearest": nearest.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
