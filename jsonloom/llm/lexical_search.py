@@ -14,8 +14,8 @@ more than doubles can be off, so no document is lost.  A subtree whose bound is
 item's k-th score so far is pruned, and leaves are scored in 64-bit integers.  The k-th
 scores carry over from tree to tree of a task; the tasks' best are ranked per item.
 
-Items come in blocks of bounded size, each a job over the document vectors; only a block
-is sent to the tasks.
+Items come in blocks of even size, each a job over the document vectors; only a block is
+sent to the tasks.
 
 Every row of the items is an item of its own, with its own ranking, and every row of the
 documents a document.  Null texts have no terms; documents without terms are not counted;
@@ -33,7 +33,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,7 +43,7 @@ from jsonloom.llm.common import Scratch, arrow_map
 BEST = 10
 #: Documents and vector entries of a tree, documents of a leaf.
 TREE, TREE_ENTRIES, LEAF = 4096, 1 << 20, 32
-#: Items of a block, and terms of its items; a longer item is a block of its own.
+#: Items of a block, and terms of its items, on average.
 BLOCK_ITEMS, BLOCK_TERMS = 512, 1 << 18
 #: Bits of the bitmap of item terms, and those of one bitmap of Spark's aggregate.
 BITMAP_BITS, BUCKET = 1 << 22, 1 << 15
@@ -136,23 +135,11 @@ def vectors(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def blocks_of(items: DataFrame, most: int = BLOCK_ITEMS) -> DataFrame:
-    """The items with a block number: bounded numbers of items and terms each."""
-    names = items.columns
-    schema = StructType(list(items.schema.fields)).add("block", "long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, block, held, terms = TaskContext.get().partitionId() << 32, 0, 0, 0
-        for batch in batches:
-            found = []
-            for size in pc.list_value_length(batch.column(names.index("terms"))).to_pylist():
-                if held and (held == most or terms + size > BLOCK_TERMS):
-                    block, held, terms = block + 1, 0, 0
-                held, terms = held + 1, terms + size
-                found.append(base + block)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, type=pa.int64())], names=[*names, "block"])
-
-    return items.mapInArrow(run, schema)
+def blocks_of(items: DataFrame, most: int = BLOCK_ITEMS) -> tuple[DataFrame, int]:
+    """The written items with a block number by hash, and how many blocks their number and terms ask for."""
+    total = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("terms")).first()
+    blocks = max(-(-total.n // most), -(-(total.terms or 0) // BLOCK_TERMS))
+    return items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(max(blocks, 1)))), blocks
 
 
 class Rows:
@@ -334,10 +321,10 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST, items_in_block:
     pairs = F.sort_array(F.collect_list(F.struct("term", "df"))).alias("pairs")
     weighted = known.groupBy("item").agg(F.first("item_id").alias("item_id"), pairs)  # an item's own terms
     weighted = weighted.select("item", "item_id", F.col("pairs.term").alias("terms"), F.col("pairs.df").alias("dfs"))
-    weighted = scratch.store(blocks_of(weighted, items_in_block), "search-blocks")
+    weighted, blocks = blocks_of(scratch.store(weighted, "search-weights"), items_in_block)
     tops = spark.createDataFrame([], FOUND.format(*ids))
-    for r in weighted.select("block").distinct().orderBy("block").collect():
-        block = weighted.filter(F.col("block") == r.block).collect()  # BLOCK_ITEMS and BLOCK_TERMS at most
+    for number in range(blocks):
+        block = weighted.filter(F.col("block") == number).collect()  # some BLOCK_ITEMS and BLOCK_TERMS
         tops = tops.union(scratch.store(best_of_tasks(found, block, total.n, total.l, best, ids), "search-best"))
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = tops.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
