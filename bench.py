@@ -30,6 +30,9 @@ HEADLINE = [
     "format_pretty",
     "visible_rows_collapsed",
     "search_literal",
+    "restore_paths",
+    "many_open_paths",
+    "copy_container",
     "search_ranges",
     "search_documents",
     "kth_match",

@@ -1,7 +1,7 @@
 """Control sets - paths, records - tested against node rows.
 
-A set is a frame or a Python iterable; both take the same way, a join that Spark plans by
-size, so the rows do not depend on how many entries a set has.
+A set is a frame or a Python iterable.  The rows do not depend on how it is given or on
+how many entries it has, only the plan does.
 """
 
 from __future__ import annotations
@@ -11,7 +11,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jsonloom.config import scratch_path
+
 Control = Iterable | DataFrame
+#: Entries and characters up to which an iterable is tested in the row.
+LITERALS, LITERAL_CHARS = 1_000, 100_000
+#: Characters up to which a dictionary of chains is broadcast.
+DICTIONARY_BYTES = 8 << 20
 
 
 def control_frame(nodes: DataFrame, control: Control, schema: str) -> DataFrame | None:
@@ -24,28 +30,55 @@ def control_frame(nodes: DataFrame, control: Control, schema: str) -> DataFrame
     return control.distinct()
 
 
+def _literals(control: Control) -> list[str] | None:
+    """The entries of a small iterable; None for frames and for larger ones."""
+    if isinstance(control, DataFrame):
+        return None
+    entries = list(dict.fromkeys(x[0] if isinstance(x, tuple) else x for x in control))
+    small = len(entries) <= LITERALS and sum(len(x) for x in entries if x is not None) <= LITERAL_CHARS
+    return [x for x in entries if x is not None] if small else None
+
+
+def chain_hits(nodes: DataFrame, keys: Column, wanted: DataFrame) -> DataFrame:
+    """``chain, hits``: the distinct arrays of keys that have any key in ``wanted``, with those keys.
+
+    Keys are structure, not data, so there are few; what is exchanged are arrays of keys
+    after a partial aggregate, never rows.
+    """
+    chains = nodes.select(keys.alias("chain")).where(F.size("chain") > 0).distinct()
+    spread = chains.select("chain", F.explode(F.array_distinct("chain")).alias("key"))
+    met = spread.join(wanted.select(F.col(wanted.columns[0]).alias("key")).distinct(), "key")
+    return met.groupBy("chain").agg(F.collect_list("key").alias("hits"))
+
+
 def with_hits(nodes: DataFrame, keys: Column, control: Control, name: str) -> DataFrame:
     """``nodes`` with ``name``: those of each row's ``keys`` that are in ``control``
     (a frame's first column).
 
-    The nodes are evaluated once: their rows travel with their keys and come together
-    again by a number given to each row, so neither null nor repeated ids lose any.
+    A small iterable is tested in the row itself.  Anything else meets the distinct key
+    chains first; the dictionary that this gives is written, and rows look their chain up
+    in it: from a broadcast if its measured size allows, by a join on the chain if not.
+    Rows without keys take no part in that join, and hot chains are left to Spark's skew
+    handling, as each has one row on the other side.
     """
-    wanted = control_frame(nodes, control, "key string")
     none = F.array().cast("array<string>")
-    if wanted is None:
-        return nodes.withColumn(name, none)
-    wanted = wanted.select(F.col(wanted.columns[0]).alias("key"), F.lit(True).alias("hit"))
-    numbered = nodes.select(
-        F.struct(*nodes.columns).alias("row"), keys.alias("keys"), F.monotonically_increasing_id().alias("at")
-    )
-    spread = numbered.select("row", "at", F.explode_outer(F.array_distinct("keys")).alias("key"))
-    return (
-        spread.join(wanted.distinct(), "key", "left")
-        .groupBy("at")
-        .agg(F.first("row").alias("row"), F.collect_set(F.when(F.col("hit"), F.col("key"))).alias(name))
-        .select("row.*", name)
+    entries = _literals(control)
+    if entries is not None:
+        found = F.filter(keys, lambda k: k.isin(entries)) if entries else none
+        return nodes.withColumn(name, F.coalesce(F.array_distinct(found), none))
+    spark = nodes.sparkSession
+    path = scratch_path(spark, "chains")
+    hits = chain_hits(nodes, keys, control_frame(nodes, control, "key string"))
+    hits.write.parquet(path)
+    found = spark.read.schema(hits.schema).parquet(path)
+    size = found.select(F.sum(F.length(F.to_json("chain")) + F.length(F.to_json("hits")))).first()[0] or 0
+    found = found.select(F.col("chain").alias("_chain"), F.lit(-1).cast("bigint").alias("_spread"), F.col("hits").alias(name))
+    alone = F.size("_chain") == 0
+    rows = nodes.withColumn("_chain", F.coalesce(keys, none)).withColumn(
+        "_spread", F.when(alone, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("bigint"))
     )
+    joined = rows.join(F.broadcast(found) if size <= DICTIONARY_BYTES else found, ["_chain", "_spread"], "left")
+    return joined.select(*nodes.columns, F.coalesce(name, none).alias(name))
 
 
 def with_chosen(nodes: DataFrame, records: Control, name: str) -> DataFrame:

@@ -12,10 +12,15 @@ How many levels there are depends on the data.  Two ways end the chain:
 * ``levels=None`` – passes of ``PASS_LEVELS`` levels.  Each pass writes its rows
   to the shared folder, split by ``open``; open rows start the next pass.  The
   result reads the closed rows back, as columnar, prunable Parquet.
+
+Where only some paths are wanted, rows also carry their state in the automaton of these
+paths (:mod:`jsonloom.operators.wanted`): a child that leads to none of them is dropped
+before it becomes a row, so containers beside the way stay shut.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +38,7 @@ from jsonloom.functions.cells import (
 )
 from jsonloom.functions.paths import ancestor, path_text, segment_text
 from jsonloom.functions.shared import shared
+from jsonloom.operators.wanted import NOWHERE, UNDER, Wanted
 
 # Fixed value: strings deeper than this stay strings.
 DEFAULT_MAX_DEPTH = 10
@@ -46,6 +52,7 @@ _STATE = ("doc_id", "line_number", "ord", "path", "path_text", "layers", "member
 def _opened(rows: DataFrame, *extra: str) -> DataFrame:
     return rows.select(
         *_STATE,
+        *[c for c in ("at",) if c in rows.columns],
         F.lit(None).cast("int").alias("n_children"),
         F.lit(None).cast("string").alias("raw_string"),
         *extra,
@@ -53,14 +60,14 @@ def _opened(rows: DataFrame, *extra: str) -> DataFrame:
 
 
 @shared
-def _root_value(max_depth: int) -> Column:
+def root_value(max_depth: int) -> Column:
     """Containers have been taken apart already when the record was checked."""
     cell = F.col("cell")
     inside = open_cell(cell, F.lit(max_depth >= 0))
     return F.when(is_container(cell), F.struct("cell", "children")).otherwise(inside)
 
 
-def _roots(records: DataFrame, max_depth: int) -> DataFrame:
+def _roots(records: DataFrame, max_depth: int, only: Wanted | None = None) -> DataFrame:
     rows = records.where(F.col("cell").isNotNull()).select(
         "doc_id",
         "line_number",
@@ -70,7 +77,8 @@ def _roots(records: DataFrame, max_depth: int) -> DataFrame:
         F.array().cast("array<int>").alias("layers"),
         F.lit(False).alias("member"),
         "cell",
-        _root_value(max_depth).alias("value"),
+        root_value(max_depth).alias("value"),
+        *([F.lit(only.start).alias("at")] if only else []),
     )
     return _opened(rows, "value")
 
@@ -88,6 +96,21 @@ def _with_children() -> Column:
     return F.concat(self_entry, below)
 
 
+def _wanted_children(only: Wanted) -> Column:
+    """As above, entries that lead to a wanted path and their states."""
+    none = F.lit(None).cast("string")
+    itself = F.array(F.struct(F.lit(0).alias("pos"), none.alias("key"), none.alias("cell"), F.col("at").alias("at")))
+
+    def child(e: Column, i: Column) -> Column:
+        segment = F.coalesce(e["key"], i.cast("string"))
+        return F.struct(
+            (i + 1).alias("pos"), e["key"].alias("key"), e["cell"].alias("cell"), only.after(F.col("at"), segment).alias("at")
+        )
+
+    below = F.transform(F.coalesce(F.col("value.children"), F.array().cast(ENTRIES)), child)
+    return F.concat(itself, F.filter(below, lambda e: e["at"] != NOWHERE))
+
+
 @shared
 def _spread_columns() -> list[Column]:
     own = F.col("pos") == 0
@@ -113,23 +136,26 @@ def _spread_columns() -> list[Column]:
     ]
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Close the open rows and open their children.
+def _spread(rows: DataFrame, only: Wanted | None = None) -> DataFrame:
+    """Close the open rows and open their children, those of ``only`` if given.
 
     The explode and the new columns share one generated stage.
     ``posexplode_outer`` keeps the optimizer from adding a filter on the array's
     size, which would be pushed below the projection and parse a second time.
     """
+    if only:
+        spread = rows.select("*", F.explode_outer(_wanted_children(only)).alias("entry")).withColumn("pos", F.col("entry.pos"))
+        return spread.select(*_spread_columns(), F.col("entry.at").alias("at"))
     spread = rows.select("*", F.posexplode_outer(_with_children()).alias("pos", "entry"))
     return spread.select(*_spread_columns())
 
 
-def _level(rows: DataFrame, max_depth: int) -> DataFrame:
-    return _spread(rows.select("*", _open_value(max_depth).alias("value")))
+def _level(rows: DataFrame, max_depth: int, only: Wanted | None = None) -> DataFrame:
+    return _spread(rows.select("*", _open_value(max_depth).alias("value")), only)
 
 
-def _levels(rows: DataFrame, count: int, max_depth: int) -> DataFrame:
-    return reduce(lambda frame, _: _level(frame, max_depth), range(count), rows)
+def _levels(rows: DataFrame, count: int, max_depth: int, only: Wanted | None = None) -> DataFrame:
+    return reduce(lambda frame, _: _level(frame, max_depth, only), range(count), rows)
 
 
 @shared
@@ -189,10 +215,11 @@ def _closed(
     levels: int | None,
     keep_deep: bool = False,
     scratch: list[str] | None = None,
+    only: Wanted | None = None,
 ) -> DataFrame:
     """All rows closed, given rows to which ``done`` levels were applied."""
     if levels is not None:
-        reached = _levels(rows, levels - done, max_depth)
+        reached = _levels(rows, levels - done, max_depth, only)
         return reached if keep_deep else _guard(reached, levels)
 
     spark = rows.sparkSession
@@ -201,7 +228,7 @@ def _closed(
         path = scratch_path(spark, "nodes")
         if scratch is not None:
             scratch.append(path)
-        reached = _levels(rows, PASS_LEVELS, max_depth).withColumn(
+        reached = _levels(rows, PASS_LEVELS, max_depth, only).withColumn(
             "open", F.col("n_children").isNull()
         )
         reached.write.partitionBy("open").parquet(path)
@@ -223,15 +250,86 @@ def expand(
     levels: int | None = None,
     keep_deep: bool = False,
     scratch: list[str] | None = None,
+    only: Iterable[Sequence[str]] | None = None,
 ) -> DataFrame:
     """The node table of all successful records.
 
+    ``only`` names wanted paths by their segments below the root, ``*`` for any segment
+    (``["items", "*", "note"]``): the nodes there and all below them, and nothing beside
+    the way to them is opened.  A path that strings of JSON lie on needs no more.
+
     With ``levels`` and ``keep_deep`` a record that needs more levels does not fail the
     job: its unopened nodes stay as they are (:func:`unopened`).  Without ``levels``
     the folders of the passes are added to ``scratch``, for the caller to drop.
     """
-    rows = _closed(_spread(_roots(records, max_depth)), 1, max_depth, levels, keep_deep, scratch)
-    return _finish(rows)
+    wanted = None if only is None else Wanted(only)
+    rows = _spread(_roots(records, max_depth, wanted), wanted)
+    rows = _closed(rows, 1, max_depth, levels, keep_deep, scratch, wanted)
+    return _finish(rows.where(F.col("at") == UNDER) if wanted else rows)
+
+
+def _on_the_way(path: Column, wanted: str) -> Column:
+    """Does a path text end where ``wanted`` does, or before one of its segments?"""
+    rest = F.substr(F.lit(wanted), F.length(path) + 1)
+    return F.startswith(F.lit(wanted), path) & (rest.startswith(".") | rest.startswith("[") | (rest == ""))
+
+
+def records_at(records: DataFrame, wanted: str, max_depth: int = DEFAULT_MAX_DEPTH) -> DataFrame:
+    """The nodes with path text ``wanted`` as unexpanded rows: ``_STATE`` and ``value``,
+    what their cells hold with one string layer taken off.
+
+    One projection per segment, each of which keeps only the children on the way; a text
+    may name several nodes, since keys can look like segments.
+    """
+    rows = _roots(records, max_depth).select(*_STATE, "value")
+    there = F.col("path_text") == wanted
+
+    def child(e: Column, i: Column) -> Column:
+        key = F.coalesce(e["key"], i.cast("string"))
+        return F.struct(
+            i.alias("pos"),
+            key.alias("key"),
+            F.concat(F.col("path_text"), segment_text(key)).alias("text"),
+            e["key"].isNotNull().alias("member"),
+            e["cell"].alias("cell"),
+        )
+
+    children = F.transform(F.coalesce(F.col("value.children"), F.array().cast(ENTRIES)), child)
+    itself = F.array(F.lit(None).cast("struct<pos:int,key:string,text:string,member:boolean,cell:string>"))
+    kept = F.when(there, itself).otherwise(F.filter(children, lambda e: _on_the_way(e["text"], wanted)))
+    stays, was = F.col("entry").isNull(), F.col("cell").startswith("s") & F.col("value").isNotNull()
+    # explodes keep what they unfold from being computed again by what follows
+    for _ in range(wanted.count(".") + wanted.count("[")):
+        rows = rows.where(there | (F.size("value.children") > 0)).select("*", F.explode(kept).alias("entry"))
+        rows = rows.select(
+            "doc_id",
+            "line_number",
+            F.when(stays, F.col("ord")).otherwise(F.concat("ord", F.array("entry.pos"))).alias("ord"),
+            F.when(stays, F.col("path")).otherwise(F.concat("path", F.array("entry.key"))).alias("path"),
+            F.when(stays, F.col("path_text")).otherwise(F.col("entry.text")).alias("path_text"),
+            F.when(~stays & was, F.concat("layers", F.array(F.size("path") - 1))).otherwise(F.col("layers")).alias("layers"),
+            F.when(stays, F.col("member")).otherwise(F.col("entry.member")).alias("member"),
+            F.when(stays, F.col("cell")).otherwise(F.col("entry.cell")).alias("cell"),
+            F.when(stays, F.col("value")).alias("known"),
+        )
+        value = F.coalesce("known", open_cell(F.col("cell"), F.size("path") - 1 <= max_depth))
+        rows = rows.select(*_STATE, F.explode_outer(F.array(value)).alias("value"))
+    return rows.where(there)
+
+
+def expand_at(
+    records: DataFrame, wanted: str, max_depth: int = DEFAULT_MAX_DEPTH, levels: int | None = None, scratch: list[str] | None = None
+) -> DataFrame:
+    """New nodes of the subtrees at ``wanted``, from the nodes' own values.
+
+    As :func:`jsonloom.operators.materialise.expand_again`, but out of the records: the way
+    is opened and the values are expanded where they lie, with no text rebuilt.
+    """
+    own = F.coalesce("value.cell", "cell")
+    again = F.when(own.startswith("s"), open_cell(own, F.size("path") - 1 <= max_depth)).otherwise(F.col("value"))
+    rows = records_at(records, wanted, max_depth).withColumn("again", F.explode_outer(F.array(again)))
+    rows = rows.withColumn("cell", own).drop("value").withColumnRenamed("again", "value")
+    return _finish(_closed(_spread(_opened(rows, "value")), 1, max_depth, levels, scratch=scratch))
 
 
 def unopened(nodes: DataFrame) -> DataFrame:

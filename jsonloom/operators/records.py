@@ -109,13 +109,14 @@ def _strict_lines() -> Column:
 @shared
 def _tolerant_lines() -> Column:
     """Records of all non-blank lines, failed ones with a NULL cell."""
-    lines = _numbered_lines(F.col("text"))
+    lines = _numbered_lines(F.coalesce("text", F.lit("")))
     return F.transform(lines, lambda e: _record(e["number"], e["line"]))
 
 
 @shared
 def _blank() -> Column:
-    return js_trim(F.col("text")) == ""
+    """A null text is blank, too."""
+    return F.coalesce(js_trim(F.col("text")), F.lit("")) == ""
 
 
 @shared
@@ -280,7 +281,7 @@ def summaries(records: DataFrame) -> DataFrame:
 
 
 def document_stats(docs: DataFrame, forced_format: str | None = None) -> DataFrame:
-    """``doc_id, format, total, success, failed`` with zeros for blank documents.
+    """``doc_id, format, total, success, failed`` with zeros for blank and null texts.
 
     Counted inside each document's row, without a shuffle.
     """

@@ -12,16 +12,10 @@ from pyspark.sql import functions as F
 
 from jsonloom.functions.cells import is_json
 from jsonloom.functions.text import js_number, utf16_length
-from jsonloom.operators.expand import expand
+from jsonloom.operators.expand import expand, expand_at
 from jsonloom.operators.flatten import flatten
-from jsonloom.operators.format import format_documents, format_records
 from jsonloom.operators.labels import key_label, value_label
-from jsonloom.operators.materialise import (
-    expand_again,
-    materialise,
-    materialise_records,
-    node_values,
-)
+from jsonloom.operators.materialise import materialise, materialise_records
 from jsonloom.operators.records import (
     detect_format,
     document_stats,
@@ -33,6 +27,7 @@ from jsonloom.operators.records import (
     summaries,
     table_of_contents,
 )
+from jsonloom.operators.render import document_texts, format_record_texts, record_texts, value_texts
 from jsonloom.operators.restore import restore_all, restore_paths
 from jsonloom.operators.search import (
     build_pattern,
@@ -331,8 +326,9 @@ def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
            CAST(i * 10 AS DOUBLE) AS num_value, 2 AS string_layers FROM calls""",
 )
 def nested_array_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = call_nodes(spark, sf_dir)
-    return nodes.where(F.endswith("path_text", F.lit(".rank"))).select(
+    records = parse(inputs.order_calls(spark, sf_dir), "json")
+    nodes = expand(records, levels=5, only=[["items", "*", "note", "rank"]])
+    return nodes.select(
         "doc_id", "path_text", "num_value", F.size("layers").alias("string_layers")
     )
 
@@ -374,8 +370,8 @@ def double_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def peel_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expanding the node again opens the second layer."""
-    nodes = expand(parse_lines(inputs.double_log(spark, sf_dir)), levels=4)
-    return expand_again(nodes, "$.props", levels=4).select(
+    records = parse_lines(inputs.double_log(spark, sf_dir))
+    return expand_at(records, "$.props", levels=4).select(
         "source_line", "path_text", "kind", "num_value"
     )
 
@@ -493,8 +489,7 @@ def restore_all_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def restore_one_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restoring a record of one document leaves the same record of the others open."""
     records = parse(inputs.event_blobs(spark, sf_dir))
-    texts = materialise_records(records, expand(records, levels=4), [(3, "record-1")])
-    return texts.where(F.col("json").isNotNull()).select("doc_id", "record_id", "json")
+    return record_texts(records, [(3, "record-1")], levels=4).select("doc_id", "record_id", "json")
 
 
 @register(
@@ -530,15 +525,23 @@ def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "blank_documents",
-    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS total,
-              CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS failed FROM documents""",
+    r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    l AS (SELECT doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279)) <> '' AS shown,
+            len(list_filter(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279)) <> '')) AS lines
+          FROM t)
+    SELECT doc_id, mode, CASE WHEN mode = 'jsonl' THEN lines ELSE shown::INT END AS total,
+           CASE WHEN mode = 'jsonl' THEN lines ELSE shown::INT END AS failed
+    FROM l, (SELECT unnest(['auto', 'json', 'jsonl']) AS mode)""",
 )
 def blank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third document blanked: blank texts have no records."""
+    """Records of all texts in each format: a blank or null text has none."""
     docs = inputs.table(spark, sf_dir, "documents", "doc_id", "text")
-    text = F.when(F.col("doc_id") % 3 == 0, " \n\t").otherwise(F.col("text"))
-    stats = document_stats(docs.select("doc_id", text.alias("text")), "json")
-    return stats.select("doc_id", F.col("total").cast("int").alias("total"), F.col("failed").cast("int").alias("failed"))
+    modes = {"auto": None, "json": "json", "jsonl": "jsonl"}
+    parts = [
+        document_stats(docs, forced).select("doc_id", F.lit(mode).alias("mode"), "total", "failed")
+        for mode, forced in modes.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register(
@@ -567,7 +570,7 @@ def primitive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT line AS source_line, {EVENT_TEXT} || '{{"k":' || k || '}}}}' AS json FROM ev""",
 )
 def materialise_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(event_nodes(spark, sf_dir)).select("source_line", "json")
+    return record_texts(event_records(spark, sf_dir), levels=4).select("source_line", "json")
 
 
 @register(
@@ -579,10 +582,8 @@ def materialise_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def materialise_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three records restored, the others expanded."""
-    records = event_records(spark, sf_dir)
     chosen = [f"record-{n}" for n in (1, 2, 3)]
-    texts = materialise_records(records, expand(records, levels=4), chosen)
-    return texts.select("record_id", "json")
+    return record_texts(event_records(spark, sf_dir), chosen, levels=4).select("record_id", "json")
 
 
 @register(
@@ -607,8 +608,7 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ev""",
 )
 def format_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = event_records(spark, sf_dir)
-    return format_records(records, expand(records, levels=4)).select("line_number", "text")
+    return format_record_texts(event_records(spark, sf_dir), levels=4).select("line_number", "text")
 
 
 @register(
@@ -623,15 +623,13 @@ def format_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def format_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents, failed lines as comments, without indentation."""
-    blobs = inputs.event_blobs(spark, sf_dir)
-    records = parse(blobs, "jsonl")
-    return format_documents(blobs, records, expand(records, levels=4), 0, "jsonl")
+    return document_texts(inputs.event_blobs(spark, sf_dir), "jsonl", 0, levels=4)
 
 
 @register("copy_node", "SELECT event_id + 1 AS source_line, '{' || chr(10) || '  \"k\": ' || CAST(json_extract(props, '$.k') AS BIGINT) || chr(10) || '}' AS json FROM events")
 def copy_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unexpanded value of one node, pretty-printed."""
-    return node_values(event_nodes(spark, sf_dir), "$.props").select("source_line", "json")
+    return value_texts(event_records(spark, sf_dir), "$.props", levels=3).select("source_line", "json")
 
 
 @register(
@@ -643,7 +641,8 @@ def copy_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def copy_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A container's value keeps the strings inside it closed."""
-    return node_values(call_nodes(spark, sf_dir), "$.items", indent=0).select("doc_id", "json")
+    records = parse(inputs.order_calls(spark, sf_dir), "json")
+    return value_texts(records, "$.items", 0, levels=3).select("doc_id", "json")
 
 
 # --- rows --------------------------------------------------------------------------
