@@ -44,9 +44,9 @@ def parse_files(
     """Records of files, in automatic or forced format.
 
     In automatic format one pass over the lines, in splits, tells which files hold
-    several records and no bad line; those stay lines, however large.  The lines of the
-    others come together as one text each, which is what a JSON document is.  A document
-    that is too large for one row becomes a failed record that says so.
+    several records and no bad line; those stay lines, however large.  The others are read
+    again as whole files, byte for byte.  A document that is too large for one row becomes
+    a failed record that says so.
     """
     if forced_format == "jsonl":
         return parse_lines(read_lines(spark, paths))
@@ -63,12 +63,9 @@ def parse_files(
     fits = F.col("bytes") <= LARGEST_ROW
     records = parse_lines(lines.join(formats.where("is_jsonl").select("doc_id"), "doc_id", "left_semi"))
     whole = formats.where(~F.col("is_jsonl"))
-    ordered = F.array_sort(F.collect_list(F.struct("line_number", "text")))
-    docs = (
-        lines.join(whole.where(fits).select("doc_id"), "doc_id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("text"))
-    )
+    # Names of files, which the driver has listed already; as a filter they prune the files that are read.
+    names = [r.doc_id for r in whole.where(fits).select("doc_id").collect()]
+    docs = read_documents(spark, paths).where(F.col("doc_id").isin(names) if names else F.lit(False))
     none = F.lit(None).cast("string")
     large = whole.where(~fits).select(
         "doc_id",
