@@ -20,12 +20,11 @@ are kept.  Special tokens' strings in texts become the special tokens, as the li
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,28 +34,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from jsonloom.llm.common import row_groups, stored
+from jsonloom.llm.common import stored
 
 CAPACITY = 2048
 END_TOKEN = 0
-#: Chunks that a Python worker keeps; beyond it the memo starts anew.
-MEMO_CHUNKS = 800_000
-#: Characters whose chunks are held at a time, and new chunks given to the library at a time.
-GROUP_CHARS, FRESH = 1_000_000, 5_000
 #: Rounds of the least squares, partners tried for each first length of a triple, and the
 #: most unused places in an enumerated pattern.
 FIT_ROUNDS, PARTNERS, MOST_WASTE = 300, 10, 16
 
-#: A chunk: white space and what follows it; the tokenizer never joins over a chunk's start.
-CHUNK = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-#: Texts with other white space are encoded whole: runs of it could span chunks.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: Fixed value: how byte-level vocabularies cut a text into the parts that are merged.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of the texts that are encoded by the library as well, in each call.
+CHECKED_CHARS = 2_000
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies.
+
+    Printable ones of Latin-1 stand for themselves, the others in turn for those from U+0100 on.
+    """
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [x for x in range(0x100) if x not in own]
+    return {chr(x): x for x in own} | {chr(0x100 + i): x for i, x in enumerate(rest)}
 
 
 class ByteEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, as the tokenizers library gives them.
 
-    With `plain`, special tokens' strings are ordinary text.
+    Where the vocabulary's ids are its merges' ranks, tiktoken does the merging, several
+    times as fast; texts with added tokens' strings, and other vocabularies, go to the
+    library.  Some texts of each call go both ways; a difference fails the job.  With
+    `plain`, special tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str, plain: bool = False):
@@ -67,28 +75,46 @@ class ByteEncoder:
         self.tokenizer.encode_special_tokens = plain
         tokens = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [x.content for x in tokens if not (plain and x.special)]
-        self.memo: dict[str, bytes] = {}
+        self.fast = self.ranked()
+
+    def ranked(self):
+        """The vocabulary as byte strings with ranks, None if its ids are not in the order of its merges."""
+        import tiktoken
+
+        model = json.loads(self.tokenizer.to_str())
+        cut, model = model["pre_tokenizer"], model["model"]
+        plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        if model["type"] != "BPE" or not plain or any((cut or {}).get(k) != v for k, v in level.items()):
+            return None
+        alphabet = byte_alphabet()
+        added = self.tokenizer.get_added_tokens_decoder()
+        words = {w: i for w, i in model["vocab"].items() if i not in added}
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        in_order = all(words.get(w) == 256 + i for i, w in enumerate(merges)) and len(words) == 256 + len(merges)
+        if not in_order or any(c not in alphabet for w in words for c in w):
+            return None
+        ranks = {bytes(alphabet[c] for c in w): i for w, i in words.items()}
+        return tiktoken.Encoding("ranked", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
 
     def library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def whole(self, text: str) -> bool:
-        """Is a text encoded whole?  Added tokens are found before chunks are cut."""
-        return bool(OTHER_SPACE.search(text)) or any(x in text for x in self.added)
+    def one(self, text: str) -> bytes:
+        if self.fast is None or any(x in text for x in self.added):
+            return self.library([text])[0]
+        return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text; chunks of a few texts at a time are held."""
-        memo = self.memo
-        for a, b in row_groups(map(len, texts), GROUP_CHARS):
-            if len(memo) > MEMO_CHUNKS:
-                memo.clear()
-            cut = [None if self.whole(x) else CHUNK.findall(x) for x in texts[a:b]]
-            fresh = list(set(chain.from_iterable(filter(None, cut))).difference(memo))
-            for k in range(0, len(fresh), FRESH):
-                memo.update(zip(fresh[k : k + FRESH], self.library(fresh[k : k + FRESH]), strict=True))
-            for i, x in enumerate(cut, a):
-                yield self.library([texts[i]])[0] if x is None else b"".join(map(memo.__getitem__, x))
+        left = CHECKED_CHARS
+        for text in texts:
+            ids = self.one(text)
+            if self.fast is not None and len(text) <= left:
+                left -= max(len(text), 100)
+                if self.library([text])[0] != ids:
+                    raise ValueError("ids differ from the tokenizers library's")
+            yield ids
 
 
 _encoders: dict[tuple[str, bool], ByteEncoder] = {}
@@ -120,11 +146,12 @@ def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
             row, rows = [], []
             for i, data in enumerate(ids):
                 data += end
+                view = memoryview(data)
                 n = len(data) // 4
                 start, piece = 0, 0
                 while start < n:
                     length = (n - 1) % CAPACITY + 1 if not start else CAPACITY
-                    crc = zlib.crc32(memoryview(data)[4 * start : 4 * (start + length)])
+                    crc = zlib.crc32(view[4 * start : 4 * (start + length)])
                     row.append(i)
                     rows.append((piece, start, length, crc, ranks[length]))
                     ranks[length] += 1

@@ -13,7 +13,6 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -21,8 +20,13 @@ def test_chunks_encode_like_the_library():
     rng = random.Random(2)
     bits = [*" \n\taé1.'\xa0", "the", "'s", "　", "  ", "<|endoftext|>", "123", "\r\n", "😀", "\x1c", "\x85"]
     texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(3000)]
-    e = encoder(FILE)
-    assert list(e.encode(texts)) == e.library(texts)
+    for plain in (False, True):
+        e = encoder(FILE, plain)
+        assert e.fast is not None and list(e.encode(texts)) == e.library(texts)
+    every = [f"a{chr(c)}b1 {chr(c)}{chr(c)} {chr(c)}'s" for c in range(0x3400) if not 0xD800 <= c < 0xE000]
+    assert [e.one(x) for x in every] == e.library(every)
+    other = encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.fast is None and list(other.encode(texts[:50])) == other.library(texts[:50])
 
 
 def test_plans_use_up_histograms():
