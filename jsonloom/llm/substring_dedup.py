@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,23 +39,42 @@ from jsonloom.llm.common import Scratch, arrow_map
 
 WINDOW = 20
 SAMPLING = Sampling(window=WINDOW, seed=5)
-#: Word hashes that a Python worker keeps; beyond it the memo starts anew.
-MEMO_WORDS = 300_000
+#: Bytes of word hashes that a Python worker keeps; beyond it the memo starts anew.
+MEMO_BYTES = 1 << 24
 
 
 class WordHashes(dict):
+    """Hashes of words, remembered within a task and a bound of bytes."""
+
+    #: What an entry takes beside the word's own bytes.
+    ENTRY = 170
+
+    def __init__(self):
+        super().__init__()
+        self.held, self.task = 0, None
+
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        size = len(word) + self.ENTRY
+        if self.held + size <= MEMO_BYTES:
+            self.held += size
+            self[word] = found
         return found
 
+    def begin(self, task: int | None) -> None:
+        """Starts anew when full and in each new task, for workers are used again."""
+        if task != self.task or self.held > MEMO_BYTES - (1 << 16):
+            self.clear()
+            self.held, self.task = 0, task
+
 
 _memo = WordHashes()
 
 
 def word_units(raw: bytes) -> np.ndarray:
     words = raw.split()
-    if len(_memo) > MEMO_WORDS:
-        _memo.clear()
+    context = TaskContext.get()
+    _memo.begin(context.taskAttemptId() if context else None)
     return np.fromiter(map(_memo.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
