@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 
 from jsonloom.config import scratch_path
 from jsonloom.functions.ranges import find_ranges, segments
-from jsonloom.functions.regex import Invalid, to_java
+from jsonloom.functions.regex import Invalid, Unsupported, to_java
 from jsonloom.operators.control import Control
 from jsonloom.operators.labels import key_label, value_label
 
@@ -47,8 +47,8 @@ def build_pattern(
     try:
         # Folded on the driver; no job runs.
         spark.range(1).select(F.lit("").rlike(pattern)).collect()
-    except PySparkException:
-        return None
+    except PySparkException as refused:
+        raise Unsupported(f"Java refuses {pattern!r}") from refused
     return pattern
 
 

@@ -126,6 +126,20 @@ def test_ranges_without_a_free_separator(spark):
         (r"[a&&b]", "&", [(0, 1)]),
         (r"\h\/", "h/", [(0, 2)]),
         (r"(?<y>a)\k<y>", "aa", [(0, 2)]),
+        # an escape with no such group is a character code
+        (r"\1", "\x01", [(0, 1)]),
+        (r"\2(a)", "\x02a", [(0, 2)]),
+        (r"\101\8", "A8", [(0, 2)]),
+        # a group that has not taken part matches the empty text
+        (r"(?:\1(a))b", "ab", [(0, 2)]),
+        (r"(a\1)", "a", [(0, 1)]),
+        (r"x(a)|(b)\1", "b", [(0, 1)]),
+        (r"(a|b)\1", "abb", [(1, 3)]),
+        (r"(?<n_$>x)\k<n_$>1", "xx1", [(0, 3)]),
+        # a set has no range
+        (r"[a-\d]+", "a-5b", [(0, 3)]),
+        (r"[\w-z]", "-", [(0, 1)]),
+        (r"(?=a)*b", "b", [(0, 1)]),
     ],
 )
 def test_javascript_patterns(spark, pattern, text, found):
@@ -135,9 +149,11 @@ def test_javascript_patterns(spark, pattern, text, found):
 
 
 def test_invalid_and_unsupported_patterns(spark):
-    for pattern in ("a**", "(", "[a", "*", "a++", "(?i)a", "(?>a)", "\\"):
+    wrong = ("a**", "(", "[a", "*", "a++", "(?i)a", "(?>a)", "\\", "a)", "a{2,1}", "[b-a]", "(?<=a)*", "^*", r"(?<a>x)\k<b>", "(?<a>x)(?<a>y)")
+    for pattern in wrong:
         assert build_pattern(spark, pattern, regex=True) is None, pattern
-    with pytest.raises(Unsupported):
-        build_pattern(spark, r"[\S]", regex=True)
+    for pattern in (r"[\S]", r"(?:(a)|b)\1", r"(a)?\1", r"(?!(a))\1", r"(a)(?<=\1)"):
+        with pytest.raises(Unsupported):
+            build_pattern(spark, pattern, regex=True)
     with pytest.raises(Invalid):
         to_java("a{2}{3}")
