@@ -239,9 +239,11 @@ def _closed(
             return reduce(DataFrame.unionByName, closed)
 
 
-def expand_cells(rows: DataFrame, max_depth: int, levels: int | None) -> DataFrame:
+def expand_cells(
+    rows: DataFrame, max_depth: int, levels: int | None, scratch: list[str] | None = None
+) -> DataFrame:
     """Nodes of the subtrees under cells at given paths (columns ``_STATE``)."""
-    return _finish(_closed(_opened(rows), 0, max_depth, levels))
+    return _finish(_closed(_opened(rows), 0, max_depth, levels, scratch=scratch))
 
 
 def expand(

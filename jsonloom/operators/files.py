@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from jsonloom.functions.cells import ENTRIES, parse_text
 from jsonloom.functions.text import js_trim
+from jsonloom.operators.expand import DEFAULT_MAX_DEPTH, expand
+from jsonloom.operators.large import expand_large
 from jsonloom.operators.records import parse, parse_lines, record_stats
 from jsonloom.sources.documents import (
     count_splits,
@@ -16,9 +18,9 @@ from jsonloom.sources.documents import (
     without_return,
 )
 
-# A text of more bytes than this cannot be one row.
-LARGEST_ROW = 2_000_000_000
-TOO_LARGE = "JSON document too large for one row"
+#: Bytes up to which a JSON document is read as one row; a larger one goes by its top-level elements.
+ROW_BYTES = 1 << 30
+TOO_LARGE = "JSON document too large for one row; see expand_files"
 
 
 def _counted(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -39,19 +41,22 @@ def _counted(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def parse_files(
-    spark: SparkSession, paths: str | list[str], forced_format: str | None = None
+    spark: SparkSession, paths: str | list[str], forced_format: str | None = None, row_bytes: int = ROW_BYTES
 ) -> DataFrame:
     """Records of files, in automatic or forced format.
 
     In automatic format one pass over the lines, in splits, tells which files hold
     several records and no bad line; those stay lines, however large.  The others are read
-    again as whole files, byte for byte.  A document that is too large for one row becomes
-    a failed record that says so.
+    again as whole files, byte for byte.  A document that is too large for one row has no
+    record that could hold it: its record is a failed one that says so, while
+    :func:`expand_files` expands it like the others.
     """
     if forced_format == "jsonl":
         return parse_lines(read_lines(spark, paths))
     if forced_format == "json":
-        return parse(read_documents(spark, paths), "json")
+        sizes = _sizes(spark, paths)
+        docs = read_documents(spark, paths, F.col("_metadata.file_size") <= row_bytes)
+        return parse(docs, "json").unionByName(_too_large(sizes.where(F.col("bytes") > row_bytes)))
 
     splits = _counted(spark, paths)
     marked = F.coalesce(F.max((F.col("block") == 0) & F.col("marked")).cast("int"), F.lit(0))
@@ -60,14 +65,23 @@ def parse_files(
         F.sum("bytes").alias("bytes"),
     )
     lines = read_lines(spark, paths, splits)
-    fits = F.col("bytes") <= LARGEST_ROW
+    fits = F.col("bytes") <= row_bytes
     records = parse_lines(lines.join(formats.where("is_jsonl").select("doc_id"), "doc_id", "left_semi"))
     whole = formats.where(~F.col("is_jsonl"))
     # Names of files, which the driver has listed already; as a filter they prune the files that are read.
     names = [r.doc_id for r in whole.where(fits).select("doc_id").collect()]
     docs = read_documents(spark, paths).where(F.col("doc_id").isin(names) if names else F.lit(False))
+    return records.unionByName(parse(docs, "json")).unionByName(_too_large(whole.where(~fits)))
+
+
+def _sizes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("length").alias("bytes"))
+
+
+def _too_large(files: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
-    large = whole.where(~fits).select(
+    return files.select(
         "doc_id",
         F.lit(1).cast("bigint").alias("line_number"),
         F.lit("record-1").alias("record_id"),
@@ -77,7 +91,31 @@ def parse_files(
         F.lit(None).cast(ENTRIES).alias("children"),
         F.lit(TOO_LARGE).alias("error"),
     )
-    return records.unionByName(parse(docs, "json")).unionByName(large)
+
+
+def expand_files(
+    spark: SparkSession,
+    paths: str | list[str],
+    forced_format: str | None = None,
+    max_depth: int = DEFAULT_MAX_DEPTH,
+    levels: int | None = None,
+    row_bytes: int = ROW_BYTES,
+    scratch: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, failed)`` of files of any size; failed: ``doc_id, record_id, error``.
+
+    Documents beyond ``row_bytes`` are taken apart over their splits
+    (:mod:`jsonloom.operators.large`) and give the nodes that they would give as a row.
+    """
+    records = parse_files(spark, paths, forced_format, row_bytes)
+    nodes = expand(records, max_depth, levels, scratch=scratch)
+    failed = records.where("cell is null").select("doc_id", "record_id", "error")
+    large = [r.doc_id for r in failed.where(F.col("error") == TOO_LARGE).select("doc_id").collect()]  # names of files
+    if not large:
+        return nodes, failed
+    more, wrong = expand_large(spark, paths, max_depth, levels, scratch, F.col("doc_id").isin(large))
+    wrong = wrong.select("doc_id", F.lit("record-1").alias("record_id"), "error")
+    return nodes.unionByName(more), failed.where(F.col("error") != TOO_LARGE).unionByName(wrong)
 
 
 def file_stats(

@@ -35,9 +35,10 @@ def from_column(
     return df.select(doc_id.alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One document per file, its whole text in one row."""
+def read_documents(spark: SparkSession, paths: str | list[str], wanted: Column | None = None) -> DataFrame:
+    """One document per file, its whole text in one row; ``wanted``, on ``_metadata``, prunes files."""
     files = spark.read.text(paths, wholetext=True)
+    files = files if wanted is None else files.where(wanted)
     return files.select(
         F.col("_metadata.file_path").alias("doc_id"),
         without_mark(F.col("value")).alias("text"),
