@@ -10,10 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jsonloom.config import scratch_path
 from jsonloom.functions.cells import is_json
+from jsonloom.functions.paths import shape_text
 from jsonloom.functions.text import js_number, utf16_length
 from jsonloom.operators.expand import expand, expand_at
+from jsonloom.operators.files import parse_files
 from jsonloom.operators.flatten import flatten
+from jsonloom.operators.format import write_formatted
 from jsonloom.operators.labels import key_label, value_label
 from jsonloom.operators.materialise import materialise, materialise_records
 from jsonloom.operators.records import (
@@ -281,6 +285,27 @@ def summary_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries(parse(inputs.order_calls(spark, sf_dir))).select("doc_id", "summary")
 
 
+@register(
+    "files_read_back",
+    """SELECT '$.props.k' AS path_shape, 'jsonl' AS format, count(*) AS nodes,
+              sum(CAST(json_extract(props, '$.k') AS DOUBLE)) AS total FROM events
+       UNION ALL SELECT '$.messages[*].payload.turn', 'json', count(*), CAST(sum(turn) AS DOUBLE) FROM conversations""",
+)
+def files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log written as JSON Lines and each session as a pretty-printed file, read back
+    with the format decided per file."""
+    folder = scratch_path(spark, "files")
+    write_formatted(format_record_texts(event_records(spark, sf_dir), 0, levels=4), f"{folder}/log")
+    sessions = document_texts(inputs.session_log(spark, sf_dir), "json", 2, levels=6)
+    sessions.write.partitionBy("doc_id").text(f"{folder}/sessions")
+    records = parse_files(spark, [f"{folder}/log", f"{folder}/sessions/*"])
+    formats = records.select("doc_id", "line_number", "format")
+    wanted = [["props", "k"], ["messages", "*", "payload", "turn"]]
+    nodes = expand(records, levels=6, only=wanted).withColumnRenamed("source_line", "line_number")
+    found = nodes.join(formats, ["doc_id", "line_number"]).groupBy(shape_text(F.col("path")).alias("path_shape"), "format")
+    return found.agg(F.count("*").alias("nodes"), F.sum("num_value").alias("total"))
+
+
 # --- expansion -------------------------------------------------------------------
 
 
