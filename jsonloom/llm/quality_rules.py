@@ -145,7 +145,8 @@ def apply_rules(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+        regexp_extract(regexp_replace(source, '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '^[^/?#]*') AS source FROM documents),
 w AS (SELECT r, [x FOR x IN string_split_regex(t, '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM d),
 g AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS c
       FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
