@@ -112,8 +112,14 @@ def search(
     return matches.orderBy("doc_id", "source_line", "ord") if ordered else matches
 
 
-def match_counts(matches: DataFrame) -> DataFrame:
-    return matches.groupBy("doc_id").agg(F.count("*").alias("matches"))
+def match_counts(matches: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Matches per document; with ``docs`` also a zero for each document without any."""
+    counts = matches.groupBy("doc_id").agg(F.count("*").alias("matches"))
+    if docs is None:
+        return counts
+    every = docs.select(F.col("doc_id").alias("_every")).distinct()
+    joined = every.join(counts, F.col("_every").eqNullSafe(F.col("doc_id")), "left")
+    return joined.select(F.col("_every").alias("doc_id"), F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
 def kth_match(matches: DataFrame, k: int) -> DataFrame:

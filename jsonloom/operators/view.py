@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jsonloom.operators.control import Control, with_hits
@@ -50,6 +50,17 @@ def visible_rows(
     )
 
 
+def rows_page(rows: DataFrame, first: int, size: int) -> DataFrame:
+    """Rows ``first`` (from 0) to ``first + size`` of each record's display, with their ``place``.
+
+    A record's rows meet in one window, which its one row of input bounds; rows beyond the
+    page are left out before they are exchanged.
+    """
+    order = Window.partitionBy("doc_id", "record_id").orderBy("ord")
+    numbered = rows.withColumn("place", F.row_number().over(order) - 1)
+    return numbered.where((F.col("place") < first + size) & (F.col("place") >= first))
+
+
 def row_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "record_id").agg(F.count("*").alias("rows"))
 

@@ -46,6 +46,7 @@ from jsonloom.operators.view import (
     expand_all,
     restore_all_set,
     row_counts,
+    rows_page,
     stringified_paths,
     visible_rows,
 )
@@ -696,6 +697,30 @@ def visible_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_counts(rows).select("record_id", "rows")
 
 
+@register(
+    "visible_page",
+    f"""WITH {EVENT}
+    SELECT line AS source_line, pos AS place, path_text, label AS value_label
+    FROM ev_nodes WHERE pos BETWEEN 2 AND 4""",
+)
+def visible_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 2 to 4 of each record's collapsed display."""
+    rows = rows_page(visible_rows(event_nodes(spark, sf_dir)), 2, 3)
+    return rows.select("source_line", "place", "path_text", "value_label")
+
+
+@register(
+    "document_match_counts",
+    """SELECT doc_id, CASE WHEN contains(CAST(to_json(text) AS VARCHAR), 'the ') THEN 1 ELSE 0 END
+           + CASE WHEN contains(lang, 'the ') THEN 1 ELSE 0 END AS matches FROM documents""",
+)
+def document_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matching nodes of every document, zero where there are none."""
+    docs = inputs.document_log(spark, sf_dir)
+    found = search(expand(parse(docs, "json"), levels=2), "the ", case_sensitive=True)
+    return match_counts(found, docs).select("doc_id", F.col("matches").cast("int").alias("matches"))
+
+
 @register(
     "stringified_paths",
     f"""WITH {CALLS}
