@@ -1,11 +1,18 @@
-"""Operator 3: substring dedup by blocks around sampled anchors and by windows.
-
-This takes the place of relative Lempel-Ziv parsing: no text is parsed, and no factor
-with a source is made.  The corpus is cut into blocks around sampled anchors (`anchors`).
-A block that occurs earlier, by anchor and hash, settles its windows at once; the windows
-of first blocks whose anchor occurs in other blocks are compared with each other by hash,
-one by one.  Spans are the maximal runs of words that repeated windows cover; a span may
-join copies from different places.
+"""Operator 3: substring dedup by relative Lempel-Ziv parsing.
+
+The reference of a text is everything before it: the corpus is cut into blocks around
+sampled anchors (`anchors`), and the index of blocks says of each block where the same
+words stand first; the windows of blocks that are the first of their kind although their
+anchor occurs in others are looked up one by one, so that repeats are found that begin or
+end inside a block.
+
+A text is parsed from left to right.  A factor starts at the first window that the
+reference holds and the factor before does not reach; of the places that hold it the one
+is taken from which most windows follow on in the same order, block after block.  A
+factor's words are those of its windows, so it is never shorter than WINDOW words.  Where
+a factor ends, the windows that cross its end are looked at, too: the next factor starts
+with the first of them that stands somewhere in the reference.  Factors, which overlap
+there, are the duplicate spans.
 
 The result is exact: a word goes if a window of WINDOW consecutive words that covers it
 starts earlier, too (smaller doc_id, or same document, earlier start), on the input.
@@ -81,32 +88,78 @@ def word_units(raw: bytes) -> np.ndarray:
 SPAN = "array<struct<start: int, end: int>>"
 
 
+def parse(first: np.ndarray, last: np.ndarray, source: np.ndarray, shift: np.ndarray) -> list[tuple[int, int, int]]:
+    """Greedy factors (first window, last window, a mark of the source) of a text's marks.
+
+    A mark says that windows first..last stand, in this order, in the source at places moved by shift.
+    """
+    order = np.lexsort((last, first, shift, source))
+    runs: list[list[int]] = []  # marks that follow each other in one source: first and last window, a mark
+    before = None
+    for i in order.tolist():
+        place, a, b = (source[i], shift[i]), int(first[i]), int(last[i])
+        if place == before and a <= runs[-1][1] + 1:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b, i])
+            before = place
+    runs.sort()
+    out, k, done, best = [], 0, -1, None
+    while True:
+        while k < len(runs) and runs[k][0] <= done + 1:  # the runs that begin up to the next window
+            if best is None or runs[k][1] > best[1]:
+                best = runs[k]
+            k += 1
+        if best is not None and best[1] > done:
+            out.append((done + 1, best[1], best[2]))
+            done = best[1]
+        elif k < len(runs):
+            done = runs[k][0] - 1
+        else:
+            return out
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, kept (text of the kept words), spans (removed words)."""
+    """One row per document: doc_id, n_words, kept (text of the kept words), spans (removed words), factors.
+
+    A factor has the words start..end, and the document and word where its source starts.
+    """
     scratch = Scratch(docs.sparkSession)
     found = repeats(docs, word_units, SAMPLING, scratch)
     ends = windows_seen_before(window_rows(docs, found.open, word_units, WINDOW), scratch)
-    marks = by_document(found.settled.unionByName(ends), "place")
+    both = found.settled.unionByName(ends).withColumn("source", F.xxhash64("source_id", "source_text"))
+    marks = by_document(both, "place", "source", "source_place", "source_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(**columns):
-        n, kept, spans = [], [], []
-        marks = lists_of(columns["marks"], ["place"])
-        for text, mark in zip(columns["text"].to_pylist(), marks, strict=True):
+        n, kept, spans, parsed = [], [], [], []
+        column = columns["marks"]
+        lists, places = lists_of(column, ["place", "source", "source_place"]), column.offsets.to_pylist()
+        ids = column.values.field("source_id")
+        for k, (text, mark) in enumerate(zip(columns["text"].to_pylist(), lists, strict=True)):
             raw = text.encode("utf-8", "surrogatepass") if text else b""
             words = raw.split()
             _, first, last = unpack_places(mark["place"])
-            cut = factors(covered_by(first, last, len(words), WINDOW)) if len(first) else []
+            _, there, _ = unpack_places(mark["source_place"])
+            found = parse(first, last, mark["source"], there - first)
+            starts, ends = (np.array([x[i] for x in found], dtype=np.int64) for i in (0, 1))
+            cut = factors(covered_by(starts, ends, len(words), WINDOW)) if found else []
             n.append(len(words))
+            parsed.append(
+                [
+                    {"start": a, "end": b + WINDOW, "source_id": ids[places[k] + i].as_py(), "source_start": int(there[i] - first[i]) + a}
+                    for a, b, i in found
+                ]
+            )
             spans.append([{"start": a, "end": b} for a, b in cut])
             for a, b in reversed(cut):
                 del words[a:b]
             kept.append(b" ".join(words).decode("utf-8", "replace"))
-        return [columns["doc_id"], n, kept, spans]
+        return [columns["doc_id"], n, kept, spans, parsed]
 
-    return arrow_map(
-        with_marks(docs, marks, "left"), run, f"doc_id {kind}, n_words bigint, kept string, spans {SPAN}"
-    )
+    factor = f"array<struct<start: int, end: int, source_id: {kind}, source_start: int>>"
+    schema = f"doc_id {kind}, n_words bigint, kept string, spans {SPAN}, factors {factor}"
+    return arrow_map(with_marks(docs, marks, "left"), run, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from jsonloom.llm.substring_dedup import WINDOW, dedup, digests
+from jsonloom.llm.substring_dedup import WINDOW, dedup, digests, parse
 
 
 def brute(rows, window=WINDOW):
@@ -50,6 +50,18 @@ def test_against_brute_force(spark, frame):
         assert len(got) == len(want)
         for doc, (n, kept) in want.items():
             assert (got[doc].n_words, got[doc].kept.encode()) == (n, b" ".join(kept)), doc
+        words = {doc: (text or "").encode().split() for doc, text in rows}
+        place = lambda doc, at: (doc is not None, doc or 0, at)
+        for doc, r in got.items():
+            covered, ended = set(), 0
+            for f in r.factors:  # each is a copy of an earlier place, at least a window long
+                assert f.end - f.start >= WINDOW and place(f.source_id, f.source_start) < place(doc, f.start)
+                source = words[f.source_id][f.source_start : f.source_start + f.end - f.start]
+                assert words[doc][f.start : f.end] == source
+                assert f.end > ended and (f.start >= ended - WINDOW + 1)  # greedy: windows are taken once
+                covered |= set(range(f.start, f.end))
+                ended = f.end
+            assert covered == {i for s in r.spans for i in range(s.start, s.end)}
     by = {r.doc_id: r for r in digests(df).collect()}
     for doc, (n, kept) in want.items():
         assert by[doc].n_removed == n - len(kept)
@@ -76,3 +88,12 @@ def test_different_texts_under_null_ids(spark, frame):
     assert len(whole) == 1  # the first of the copies
     own[texts.index(whole[0])] = whole[0]
     assert got == sorted(own)
+
+
+def test_greedy_factors():
+    at = lambda *x: np.array(x, dtype=np.int64)
+    # blocks that follow on in one source are one factor; the longest at the place wins
+    assert parse(at(0, 5, 3), at(4, 9, 6), at(1, 1, 2), at(7, 7, 0)) == [(0, 9, 0)]
+    assert parse(at(0, 5, 3), at(4, 9, 16), at(1, 1, 2), at(7, 8, 0)) == [(0, 4, 0), (5, 16, 2)]
+    assert parse(at(2, 20), at(4, 22), at(1, 1), at(0, 0)) == [(2, 4, 0), (20, 22, 1)]
+    assert parse(at(), at(), at(), at()) == []
