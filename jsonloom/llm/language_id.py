@@ -26,10 +26,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import arrow_map, numbered, row_groups
+from jsonloom.llm.common import arrow_map, numbered, row_groups, smallest
 
 #: Most labelled documents that are learned from whatever their language.
 TRAIN_DOCS = 4_000
+#: Most languages that are learned, those with most labelled documents first.
+MOST_LANGS = 500
 #: Labelled documents of each language that are learned from beside them, and the parts in which they are ranked first.
 TRAIN_EACH, RANK_PARTS = 50, 64
 BUCKETS = 1 << 15
@@ -59,22 +61,22 @@ NO_CANDIDATE = np.float32(-1e6)
 
 
 @cache
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: is it a letter or a mark, and its script."""
-    letter = np.zeros(0x110000, dtype=bool)
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: is it a letter, is it a letter or a mark, and its script."""
+    letter, inside = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=bool)
     script = np.zeros(0x110000, dtype=np.uint8)
     start = 0
     for end, name in SCRIPTS:
         script[start:end] = SCRIPT_NAMES.index(name)
         start = end
-    for i in range(0x20000):
-        letter[i] = unicodedata.category(chr(i))[0] in "LM"
-    letter[0x20000:0x32000] = True
-    return letter, script
+    for i in range(0x33000):  # no letters are assigned beyond
+        kind = unicodedata.category(chr(i))[0]
+        letter[i], inside[i] = kind == "L", kind in "LM"
+    return letter, inside, script
 
 
 class Words:
-    """The words (runs of letters) of several texts, in one array of code points."""
+    """The words of several texts, in one array of code points: runs of letters and marks that hold a letter."""
 
     def __init__(self, texts: list[str]):
         joined = "\n" + "\n".join(texts) + "\n"
@@ -84,8 +86,15 @@ class Words:
             joined = "\n" + "\n".join(lowered) + "\n"
             code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             texts = lowered
-        letter, script = tables()
-        inside = letter[code]
+        letter, either, script = tables()
+        inside = either[code]
+        edge = inside[1:] != inside[:-1]
+        starts = np.flatnonzero(edge & inside[1:]) + 1
+        if len(starts):
+            ends = np.flatnonzero(edge & inside[:-1]) + 1
+            bare = np.flatnonzero(np.add.reduceat(letter[code], starts, dtype=np.int64) == 0)
+            for a, b in zip(starts[bare].tolist(), ends[bare].tolist(), strict=True):
+                inside[a:b] = False  # marks alone are no word
         at = np.flatnonzero(inside)
         edge = inside[1:] != inside[:-1]
         starts = np.flatnonzero(edge & inside[1:]) + 1
@@ -186,15 +195,17 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     usable = docs.filter(
         F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     ).select("doc_id", "lang", "text")
+    common = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    common = [r.lang for r in common.collect()]
+    usable = usable.filter(F.col("lang").isin(common))
     ids = usable.select(F.col("doc_id").alias("chosen"), "lang")
-    order = (F.xxhash64("chosen"), F.col("chosen"))
     ranked = ids.withColumn("part", F.pmod(F.xxhash64("chosen", F.lit(1)), F.lit(RANK_PARTS)))
     for keys in (("lang", "part"), ("lang",)):  # no task ranks all of a common language
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("chosen"), "chosen"))
         ranked = ranked.withColumn("rank", rank).filter(F.col("rank") <= TRAIN_EACH).drop("rank")
-    first = ids.select("chosen").orderBy(*order).limit(train_docs)
+    first = smallest(ids.select("chosen"), "chosen", train_docs)
     chosen = first.union(ranked.select("chosen")).distinct()
-    # at most train_docs rows and TRAIN_EACH for each language
+    # at most train_docs rows and TRAIN_EACH for each of MOST_LANGS languages
     sample = usable.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"))
 
     def count(**columns):

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import arrow_map, numbered, site, stored
+from jsonloom.llm.common import arrow_map, numbered, site, smallest, stored
 from jsonloom.llm.quality_rules import BetaPrior, beta_prior
 
 #: Most labelled rows that the classifier is trained on.
@@ -70,11 +70,15 @@ def features(text: str) -> np.ndarray | None:
 
 
 class Model:
-    """Logistic regression on standardised features."""
+    """Logistic regression on standardised features; the rows of x are standardised in place."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 0.02
-        z = ((x - self.mean) / self.scale).astype(np.float32)
+        self.mean = x.mean(axis=0)
+        squares = np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x)
+        self.scale = (np.sqrt(np.maximum(squares - self.mean.astype(float) ** 2, 0)) + 0.02).astype(np.float32)
+        x -= self.mean
+        x /= self.scale
+        z = x
         w, b = np.zeros(z.shape[1], np.float32), float(np.log(y.mean() / (1 - y.mean())))
         speed, step = np.zeros_like(w), RATE / np.sqrt(z.shape[1])
         for _ in range(ROUNDS):
@@ -91,14 +95,13 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """The classifier, from at most `rows` labelled documents."""
-    chosen = (
+    known = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.max("quality").alias("good"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
         .select(F.col("doc_id").alias("labelled"), "good")
     )
+    chosen = smallest(known, "labelled", rows)
 
     def run(**columns):
         found = [features(x) if x else None for x in columns["text"].to_pylist()]
@@ -116,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
     if not len(good) or good.min() == good.max():
         return None
     order = np.argsort(np.array(got["labelled"].to_pylist()), kind="stable")
-    x = np.stack(got["found"].combine_chunks().flatten().to_numpy().reshape(len(good), -1)[order])
+    x = got["found"].combine_chunks().flatten().to_numpy().reshape(len(good), -1)[order]
+    del got
     return Model(x, (good[order] > 0).astype(np.float32))
 
 

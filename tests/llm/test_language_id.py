@@ -71,3 +71,21 @@ def test_rare_languages_are_learned(frame, monkeypatch):
     assert keep_known(df).count() == len(rows)
     blank = df.withColumn("lang", F.lit(None).cast("string"))
     assert keep_known(blank).count() == len(rows)
+
+
+def test_marks_alone_are_no_letters(spark):
+    model = model_of(spark)
+    marks = "\u0301"
+    odd = chr(0x2FFFF)  # between ideographs, and not assigned
+    found = model.label([marks, f"12 {marks}!", odd, f"{marks} {ENGLISH}", "e" + marks])
+    assert [x[0] for x in found[:3]] == [UNKNOWN] * 3 and found[0][1:] == (0.0, [])
+    assert found[3][:2] == ("en", 1.0) and found[4][0] != UNKNOWN
+    assert len(Words([f"a{marks}b {marks} c"]).lengths) == 2  # inside a word they stay
+
+
+def test_languages_beyond_the_bound(spark, monkeypatch):
+    rows = [(i, ENGLISH, "en") for i in range(30)] + [(50 + i, GERMAN, "de") for i in range(30)] + [(90 + i, "мир", "ru") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert learn(docs).langs == ["de", "en", "ru"]
+    monkeypatch.setattr(language_id, "MOST_LANGS", 2)
+    assert learn(docs).langs == ["de", "en"]

@@ -1,9 +1,11 @@
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from jsonloom.llm.quality_classifier import classify, keep_good, site
-from jsonloom.llm.quality_rules import apply_rules, beta_prior, figures, host_verdicts, measure
+from jsonloom.llm.common import smallest
+from jsonloom.llm.quality_classifier import classify, judge, keep_good, site, site_sums
+from jsonloom.llm.quality_rules import STRENGTH, apply_rules, beta_prior, figures, host_verdicts, measure
 
 SF = "/root/testdata/sf0.01"
 
@@ -87,3 +89,46 @@ def test_classifier_edges(spark, frame):
     parts = df.select(*site(F.col("source"))).toDF("host", "path").distinct().collect()
     assert ("good.org", "b") in map(tuple, parts) and ("good.org", "a") in map(tuple, parts)
     assert measure(df).count() == df.count() and host_verdicts(measure(df)).count() > 0
+
+
+def test_posteriors_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"h{int(rng.integers(0, 9)) ** 2 % 7}", f"p{int(rng.integers(0, 3))}", float(rng.normal(0, 3))) for i in range(400)]
+    rows += [(900, "alone", "p", -2.0), (901, "", "", 1.5)]
+    df = spark.createDataFrame(rows, "doc_id int, host string, path string, odds double").repartition(3)
+    evidence = df.select("doc_id", F.struct("host", "path", "odds").alias("evidence"))
+    got = {r.doc_id: r.verdict for r in judge(evidence, *site_sums(evidence)).collect()}
+
+    def prior(groups):
+        """By moments: mean of all rates, strength from the variance between groups beyond that of chance."""
+        n, hits = (np.array(x) for x in zip(*groups, strict=True))
+        mean = hits.sum() / n.sum()
+        spread = (n * (hits / n - mean) ** 2).sum()
+        noise = mean * (1 - mean)
+        room = n.sum() - (n**2).sum() / n.sum() - (len(n) - 1)
+        between = (spread - (len(n) - 1) * noise) / room
+        strength = noise / between - 1 if between > 0 else STRENGTH[1]
+        return mean, min(max(strength, STRENGTH[0]), STRENGTH[1])
+
+    good = {i: 1 / (1 + np.exp(-o)) for i, _, _, o in rows}
+    at = lambda key: [
+        (len(x), sum(good[i] for i in x)) for x in ([r[0] for r in rows if key(r) == k] for k in {key(r) for r in rows})
+    ]
+    (mean, host_strength), (_, path_strength) = prior(at(lambda r: r[1])), prior(at(lambda r: r[1:3]))
+    for i, host, path, odds in rows:
+        others = [r for r in rows if r[0] != i and r[1] == host]  # each document is left out of its own site
+        inner = [r for r in others if r[2] == path]
+        host_rate = (sum(good[r[0]] for r in others) + mean * host_strength) / (len(others) + host_strength)
+        path_rate = (sum(good[r[0]] for r in inner) + host_rate * path_strength) / (len(inner) + path_strength)
+        score = 1 / (1 + np.exp(-(odds + np.log(path_rate / (1 - path_rate)) - np.log(mean / (1 - mean)))))
+        assert np.allclose([got[i].host_rate, got[i].path_rate, got[i].score], [host_rate, path_rate, score], rtol=1e-6), i
+        assert got[i].kept == (score >= 0.5)
+
+
+def test_the_smallest_hashes(spark):
+    for n, k in ((5000, 40), (30, 40), (5000, 5000)):
+        df = spark.range(n).withColumnRenamed("id", "key").repartition(7)
+        want = df.orderBy(F.xxhash64("key"), "key").limit(k).collect()
+        assert sorted(smallest(df, "key", k).collect()) == sorted(want)
+    same = spark.range(3000).select((F.col("id") % 2).alias("key"))  # the rows of one hash
+    assert smallest(same, "key", 50).count() == 50
