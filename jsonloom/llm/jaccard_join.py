@@ -13,8 +13,8 @@ with one leader of each of its n-grams, the most central class and then others;
 with the components of those links known, only pairs that lie in different components,
 so a group of near copies costs its size and not its square.  No link between components is lost.
 
-Sets are named by a 64-bit sum of hashes; a second sum tells collisions, which stop the
-job.  Null texts and texts without words have empty sets and link with nothing; repeated
+Sets are named by 128 bits, two sums of hashes.  A pair's sets are fetched without moving
+texts: a bitmap of the wanted ids, of bounded size, goes to the scan.  Null texts and texts without words have empty sets and link with nothing; repeated
 rows are equal sets; the component of documents that all have null ids is null.
 """
 
@@ -43,6 +43,8 @@ FRAGMENTS = 4
 #: the sets of different components are compared with each other.
 LED_ROUNDS = 3
 LEVEL_BITS = 8
+#: Bits of the bitmap for each wanted id, its most bits, and those of one bitmap of Spark's aggregate.
+BITS_EACH, MOST_BITS, BUCKET = 16, 1 << 27, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -64,6 +66,11 @@ class Join:
             h = mixed(h + units[i : len(units) - n + 1 + i])
         return np.unique(h)
 
+    def name(self, grams: np.ndarray) -> bytes:
+        """16 bytes for a set of n-grams; two independent sums, whatever the order."""
+        lanes = (np.add.reduce(mixed(grams)), np.add.reduce(mixed(~grams))) if len(grams) else (0, 0)
+        return b"".join(int(x).to_bytes(8, "big") for x in lanes)
+
     def prefix(self, n: int) -> int:
         """N-grams of which two linked sets share one, of a set of n."""
         return n - (-(-self.percent * n // 100)) + 1
@@ -75,11 +82,11 @@ class Join:
         return (100 + self.percent) * common >= self.percent * (n + m)
 
 
-FIRST = "doc_id {}, digest bigint, n bigint, name bigint, proof bigint, part int, counts binary"
+FIRST = "doc_id {}, digest bigint, n bigint, name binary, part int, counts binary"
 
 
 def first_pass(docs: DataFrame, join: Join) -> DataFrame:
-    """A row for each document (size, name and proof of its set), and each task's sketch in parts."""
+    """A row for each document (size and name of its set), and each task's sketch in parts."""
     ddl = FIRST.format(docs.schema["doc_id"].dataType.simpleString())
     out = to_arrow_schema(StructType.fromDDL(ddl))
 
@@ -89,13 +96,11 @@ def first_pass(docs: DataFrame, join: Join) -> DataFrame:
             sets = [join.grams(x) for x in batch.column("text").to_pylist()]
             for g in sets:
                 np.add.at(sketch, (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            name = [np.add.reduce(mixed(g)) if len(g) else np.uint64(0) for g in sets]
-            proof = [np.add.reduce(mixed(~g)) if len(g) else np.uint64(0) for g in sets]
             columns = [
                 batch.column("doc_id"),
                 batch.column("digest"),
                 pa.array(list(map(len, sets)), type=pa.int64()),
-                *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (name, proof)),
+                pa.array([join.name(g) for g in sets], type=pa.binary()),
                 pa.nulls(len(sets), pa.int32()),
                 pa.nulls(len(sets), pa.binary()),
             ]
@@ -106,7 +111,8 @@ def first_pass(docs: DataFrame, join: Join) -> DataFrame:
             zero = pa.nulls(SKETCH_PARTS, pa.int64())
             numbers = pa.array(range(SKETCH_PARTS), type=pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [none, zero, zero, zero, zero, numbers, pa.array([x.tobytes() for x in parts])], schema=out
+                [none, zero, zero, pa.nulls(SKETCH_PARTS, pa.binary()), numbers, pa.array([x.tobytes() for x in parts])],
+                schema=out,
             )
 
     return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, ddl)
@@ -159,19 +165,42 @@ def prefixes(docs: DataFrame, join: Join, order: Order) -> DataFrame:
     """(gram, name, n, at): the n-grams of each document's prefix and their places in the order."""
 
     def run(**columns):
-        out = [[], [], [], []]
+        names, ranks = [], []
         for text in columns["text"].to_pylist():
             grams = join.grams(text)
-            n = len(grams)
-            if n:
-                p = join.prefix(n)
-                for x, value in zip(out, (order.ranks(grams)[:p], np.full(p, np.add.reduce(mixed(grams))), np.full(p, n), np.arange(p)), strict=True):
-                    x.append(value)
-        kinds = (np.uint64, np.uint64, np.int32, np.int32)
-        arrays = [np.concatenate([np.zeros(0, k), *x]).astype(k) for x, k in zip(out, kinds, strict=True)]
-        return [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in arrays]
+            if len(grams):
+                names.append(join.name(grams))
+                ranks.append((order.ranks(grams)[: join.prefix(len(grams))], len(grams)))
+        sizes = [len(r) for r, _ in ranks]
+        gram = np.concatenate([np.zeros(0, np.uint64), *(r for r, _ in ranks)]).view(np.int64)
+        which = pa.array(np.repeat(np.arange(len(names), dtype=np.int32), sizes))
+        name = pa.DictionaryArray.from_arrays(which, pa.array(names, type=pa.binary())).cast(pa.binary())
+        n = np.repeat(np.array([n for _, n in ranks], dtype=np.int32), sizes)
+        at = np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in sizes)])
+        return [pa.array(gram), name, pa.array(n), pa.array(at)]
+
+    return arrow_map(docs.select("text"), run, "gram bigint, name binary, n int, at int")
 
-    return arrow_map(docs.select("text"), run, "gram bigint, name bigint, n int, at int")
+
+def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in `wanted`, and some few others: rows stay where they are.
+
+    A bitmap of the keys' hashes goes to the rows; it has a bounded size, beyond which more others pass.
+    """
+    spark = rows.sparkSession
+    n = wanted.count()
+    bits = BUCKET
+    while bits < min(n * BITS_EACH, MOST_BITS):
+        bits *= 2
+    place = (F.pmod(F.xxhash64(key), F.lit(bits)) + 1).alias("place")
+    parts = wanted.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+    parts = parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()  # MOST_BITS at most
+    bitmap = F.broadcast(spark.createDataFrame([(r.bucket, bytes(r.bits)) for r in parts], "bucket bigint, bits binary"))
+    at = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.substr("bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = rows.withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("place"))
+    tested = placed.join(bitmap, "bucket").withColumns({"byte": byte, "bit": (at % 8).cast("int")})
+    return tested.filter("shiftright(byte, bit) & 1 = 1").select(*rows.columns)
 
 
 def segments(docs: DataFrame, wanted: DataFrame, join: Join, order: Order) -> DataFrame:
@@ -179,11 +208,11 @@ def segments(docs: DataFrame, wanted: DataFrame, join: Join, order: Order) -> Da
 
     def run(**columns):
         names, fragments, out = [], [], []
-        for name, text in zip(columns["name"].to_pylist(), columns["text"].to_pylist(), strict=True):
+        for text in columns["text"].to_pylist():
             grams = join.grams(text)
-            if np.add.reduce(mixed(grams)).view(np.int64) != name:
-                continue  # another text under the same id
-            ranks = order.ranks(grams)
+            if not len(grams):
+                continue
+            name, ranks = join.name(grams), order.ranks(grams)
             for k, part in enumerate(np.split(ranks, np.searchsorted(ranks, order.cuts))):
                 if len(part):
                     names.append(name)
@@ -193,9 +222,8 @@ def segments(docs: DataFrame, wanted: DataFrame, join: Join, order: Order) -> Da
         values = pa.array(np.concatenate([np.zeros(0, np.int64), *out]))
         return [names, fragments, pa.ListArray.from_arrays(pa.array(offsets), values)]
 
-    wanted = wanted.withColumnRenamed("doc_id", "holder")
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("holder")))
-    return arrow_map(rows.select("name", "text"), run, "name bigint, fragment int, grams array<bigint>")
+    found = arrow_map(among(docs.select("doc_id", "text"), wanted, "doc_id").select("text"), run, "name binary, fragment int, grams array<bigint>")
+    return found.join(wanted.select("name").distinct(), "name", "left_semi")
 
 
 def linked(pairs: DataFrame, parts: DataFrame, join: Join) -> DataFrame:
@@ -228,32 +256,33 @@ def with_components(docs: DataFrame, join: Join) -> DataFrame:
     scratch = Scratch(spark)
     rows = scratch.store(first_pass(docs, join), "sets")
     order = Order(sketch_of(rows))
-    sets = rows.filter(F.col("part").isNull()).select("doc_id", "digest", "n", "name", "proof")
-    classes = scratch.store(
-        sets.filter("n > 0").groupBy("name").agg(
-            F.min("doc_id").alias("doc_id"), F.min("proof").alias("proof"), F.max("proof").alias("other")
-        ),
-        "classes",
-    )
-    if not classes.filter("proof <> other").isEmpty():
-        raise ValueError("names of two sets collide")
+    sets = rows.filter(F.col("part").isNull()).select("doc_id", "digest", "n", "name")
+    classes = scratch.store(sets.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id")), "classes")
 
     all_prefixes = scratch.store(prefixes(docs, join, order), "prefixes")
     # aggregates that are joined back are written first: Spark then splits the hot keys of such joins
-    often = all_prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram")
+    code = F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("at")
+    often = all_prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min(code).alias("lo"), F.max(code).alias("hi"))
+    two = {"n": F.shiftright("lo", 32), "at": F.col("lo") % (1 << 32), "m": F.shiftright("hi", 32), "place": F.col("hi") % (1 << 32)}
+    # n-grams that several sets have; of just two, if they can link by it
+    often = often.filter("k > 1").withColumns(two).filter((F.col("k") > 2) | candidate(join)).select("gram")
     often = scratch.store(often, "common-grams")
-    again = all_prefixes.join(often, "gram", "left_semi").groupBy(F.bitwise_not("gram").alias("gram"), "name")
+    again = among(all_prefixes, often, "gram").join(often, "gram", "left_semi").groupBy(F.bitwise_not("gram").alias("gram"), "name")
     shared = scratch.store(again.agg(F.first("n").alias("n"), F.first("at").alias("at")), "shared-prefixes")
     scratch.drop(all_prefixes)
+    scratch.drop(often)
     # The most central set of a group leads it: the one with the largest share of common prefix n-grams.
     weight = shared.groupBy("name").agg((1000 * F.count(F.lit(1)) / F.first("n")).cast("int").alias("weight"))
     weight = scratch.store(weight, "weights")
-    shared = scratch.store(shared.join(weight, "name"), "weighted-prefixes")
+    bare, shared = shared, scratch.store(shared.join(weight, "name"), "weighted-prefixes")
+    scratch.drop(bare)
+    scratch.drop(weight)
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
         wanted = scratch.store(names.join(classes, "name").select("name", "doc_id"), "wanted")
         parts = scratch.store(segments(docs, wanted, join, order), "segments")
+        scratch.drop(wanted)
         links = scratch.store(linked(pairs, parts, join), name)
         scratch.drop(parts)
         return links
@@ -268,7 +297,10 @@ def with_components(docs: DataFrame, join: Join) -> DataFrame:
         sizes = rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("k"))
         open_grams = sizes.groupBy("gram").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "k").alias("major"))
         open_grams = scratch.store(open_grams.filter("roots > 1").select("gram", "major"), "open-grams")
-        return scratch.store(rows.join(open_grams, "gram"), "open-prefixes")
+        left = scratch.store(rows.join(open_grams, "gram"), "open-prefixes")
+        scratch.drop(rows)
+        scratch.drop(open_grams)
+        return left
 
     def fresh(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
         pairs = pairs.filter(candidate(join)).select("a", "b", "n", "m").distinct()
@@ -293,6 +325,8 @@ def with_components(docs: DataFrame, join: Join) -> DataFrame:
             )
         )
         pairs = scratch.store(fresh(led, tried), "led-pairs")
+        scratch.drop(leaders)
+        scratch.drop(here)
         found = checked(pairs, "led-links").select("a", "b")
         links = found if links is None else links.union(found)
         tried = pairs if tried is None else tried.union(pairs)
@@ -306,6 +340,7 @@ def with_components(docs: DataFrame, join: Join) -> DataFrame:
     twice = (F.col("far") != F.col("major")) & (F.col("b") < F.col("a"))  # both in `few`: once is enough
     met = few.join(rest, "gram").filter((F.col("own") != F.col("far")) & ~twice & candidate(join))
     second = scratch.store(fresh(met, tried), "second-pairs")
+    scratch.drop(here)
     more = checked(second, "second-links")
     root = near.toDF("node", "root")
     bridges = (

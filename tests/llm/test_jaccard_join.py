@@ -60,3 +60,14 @@ def test_one_stays(spark, frame):
     assert got == sorted([(3, words), (9, None), (None, ""), (7, "other text")], key=str)
     assert keep_one(df, Join()).columns == df.columns
     assert keep_one(df.limit(0), Join()).count() == 0
+
+
+def test_a_collision_of_one_hash(frame):
+    class Weak(Join):
+        def name(self, grams):
+            return bytes(8) + super().name(grams)[8:]  # the first of the two hashes is always the same
+
+    texts = near_copies(5, 60)
+    df = frame([(d, t, None, None, None) for d, t in texts.items()])
+    got = {r.doc_id: r.component_id for r in with_components(df, Weak(3, 80)).collect()}
+    assert got == brute(texts, 3, 80)
