@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 BLOB_EVENTS = 40
 SESSION_TURNS = 16
+#: Rows of a table that one task expands at most.
+TASK_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str | Column) -> DataFrame:
-    """Columns of a table, spread over the cores where the files are few.
+    """Columns of a table, spread over tasks of at most ``TASK_ROWS`` rows and over the cores.
 
-    Expansion is work per row, so one small file would keep one core busy.  A
-    table with at least as many splits as cores is read without a shuffle.
+    Expansion is work per row, and narrow, so a task's time goes by its rows: a split of
+    short rows holds millions of them.  Their number comes from the files' footers.  A table
+    whose splits are small and many enough is read without a shuffle.
     """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns or ["*"])
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    whole = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = whole.select(*columns or ["*"])
+    tasks = max(spark.sparkContext.defaultParallelism, -(-whole.count() // TASK_ROWS))
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
 
 
 def _event_text() -> Column:

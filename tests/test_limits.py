@@ -11,6 +11,7 @@ from jsonloom.operators.materialise import materialise, materialise_records
 from jsonloom.operators.records import parse
 from jsonloom.operators.search import build_pattern
 from jsonloom.operators.view import restore_all_set, visible_rows
+from jsonloom.plans import inputs
 from jsonloom.sources.documents import from_column
 
 
@@ -157,3 +158,11 @@ def test_invalid_and_unsupported_patterns(spark):
             build_pattern(spark, pattern, regex=True)
     with pytest.raises(Invalid):
         to_java("a{2}{3}")
+
+
+def test_tasks_of_a_table_have_bounded_rows(spark, monkeypatch):
+    """One small file with many rows is more tasks than cores; a task's rows do not grow with the table."""
+    monkeypatch.setattr(inputs, "TASK_ROWS", 50)
+    events = inputs.table(spark, "/root/testdata/sf0.001", "events", "event_id")
+    rows = [r["count"] for r in events.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 1000 and max(rows) <= 100
