@@ -20,6 +20,8 @@ from jsonloom.sources.documents import (
 
 #: Bytes up to which a JSON document is read as one row; a larger one goes by its top-level elements.
 ROW_BYTES = 1 << 30
+#: Bytes from which on a file of lines is not opened again among the documents.
+PRUNED_BYTES = 1 << 24
 TOO_LARGE = "JSON document too large for one row; see expand_files"
 
 
@@ -68,9 +70,12 @@ def parse_files(
     fits = F.col("bytes") <= row_bytes
     records = parse_lines(lines.join(formats.where("is_jsonl").select("doc_id"), "doc_id", "left_semi"))
     whole = formats.where(~F.col("is_jsonl"))
-    # Names of files, which the driver has listed already; as a filter they prune the files that are read.
-    names = [r.doc_id for r in whole.where(fits).select("doc_id").collect()]
-    docs = read_documents(spark, paths).where(F.col("doc_id").isin(names) if names else F.lit(False))
+    # Large files of lines are pruned by name, in a list that their size keeps short; a join tells the small ones.
+    large = formats.where(F.col("is_jsonl") & (F.col("bytes") > PRUNED_BYTES)).select("doc_id").collect()
+    pruned = F.col("_metadata.file_size") <= row_bytes
+    if large:
+        pruned = pruned & ~F.col("_metadata.file_path").isin([r.doc_id for r in large])
+    docs = read_documents(spark, paths, pruned).join(whole.where(fits).select("doc_id"), "doc_id", "left_semi")
     return records.unionByName(parse(docs, "json")).unionByName(_too_large(whole.where(~fits)))
 
 

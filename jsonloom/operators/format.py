@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jsonloom.config import drop_path, scratch_path
 from jsonloom.operators.materialise import materialise
 
 DEFAULT_INDENT = 2
@@ -60,7 +61,13 @@ def format_documents(
 
 
 def write_formatted(formatted: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Write record texts in document and line order, as ordered part files."""
+    """Write record texts in document and line order, as ordered part files.
+
+    The texts are written once before: the sample that finds the ranges would else make all of them again.
+    """
+    spark, scratch = formatted.sparkSession, scratch_path(formatted.sparkSession, "formatted")
+    formatted.write.parquet(scratch)
+    formatted = spark.read.schema(formatted.schema).parquet(scratch)
     if partitions is None:
         ordered = formatted.orderBy("doc_id", "line_number")
     else:
@@ -68,6 +75,7 @@ def write_formatted(formatted: DataFrame, path: str, partitions: int | None = No
             partitions, "doc_id", "line_number"
         ).sortWithinPartitions("doc_id", "line_number")
     ordered.select("text").write.text(path)
+    drop_path(spark, scratch)
 
 
 def write_split(records: DataFrame, good_path: str, bad_path: str) -> None:

@@ -298,12 +298,16 @@ def files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "files")
     write_formatted(format_record_texts(event_records(spark, sf_dir), 0, levels=4), f"{folder}/log")
     sessions = document_texts(inputs.session_log(spark, sf_dir), "json", 2, levels=6)
-    sessions.write.partitionBy("doc_id").text(f"{folder}/sessions")
-    records = parse_files(spark, [f"{folder}/log", f"{folder}/sessions/*"])
-    formats = records.select("doc_id", "line_number", "format")
+    # A file for each row, in one folder: a folder for each file would be a task for each in every listing.
+    sessions.select("text").write.option("maxRecordsPerFile", 1).text(f"{folder}/sessions")
+    records = parse_files(spark, [f"{folder}/log", f"{folder}/sessions"])
     wanted = [["props", "k"], ["messages", "*", "payload", "turn"]]
-    nodes = expand(records, levels=6, only=wanted).withColumnRenamed("source_line", "line_number")
-    found = nodes.join(formats, ["doc_id", "line_number"]).groupBy(shape_text(F.col("path")).alias("path_shape"), "format")
+    # By format, each of which is one branch of the records: every file is parsed once and nodes meet no records.
+    nodes = [
+        expand(records.where(F.col("format") == name), levels=6, only=wanted).withColumn("format", F.lit(name))
+        for name in ("jsonl", "json")
+    ]
+    found = nodes[0].unionByName(nodes[1]).groupBy(shape_text(F.col("path")).alias("path_shape"), "format")
     return found.agg(F.count("*").alias("nodes"), F.sum("num_value").alias("total"))
 
 

@@ -1,9 +1,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from jsonloom.operators.expand import expand
+from jsonloom.operators import files
 from jsonloom.operators.files import TOO_LARGE, expand_files, parse_files
+from jsonloom.operators.format import write_formatted
 from jsonloom.operators.large import expand_large
 from jsonloom.operators.records import parse
 from jsonloom.sources.documents import read_documents
@@ -51,3 +54,34 @@ def test_files_of_any_size_have_the_same_nodes(spark, tmp_path):
     forced = rows(expand_files(spark, str(tmp_path), "json", levels=6))
     assert rows(expand_files(spark, str(tmp_path), "json", levels=6, row_bytes=300)) == forced
     assert {r.error for r in parse_files(spark, str(tmp_path), row_bytes=300).collect()} == {None, TOO_LARGE}
+
+
+def test_names_of_documents_stay_out_of_the_plan(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"single{i}.json").write_text('{\n "a": 1\n}\n')
+        (tmp_path / f"lines{i}.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
+    records = parse_files(spark, str(tmp_path))
+    assert "single7.json" not in records._jdf.queryExecution().analyzed().toString()
+    assert sorted(r.format for r in records.collect()) == ["json"] * 30 + ["jsonl"] * 60
+
+
+def test_large_files_of_lines_are_not_read_as_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PRUNED_BYTES", 10)
+    (tmp_path / "one.json").write_text('{\n "a": 1\n}\n')
+    (tmp_path / "two.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
+    assert sorted(r.format for r in parse_files(spark, str(tmp_path)).collect()) == ["json", "jsonl", "jsonl"]
+
+
+def test_written_texts_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        made.add(1)
+        return f"line {i}"
+
+    rows = spark.range(40, numPartitions=4).select(
+        F.lit("d").alias("doc_id"), F.col("id").alias("line_number"), F.udf(text, "string")("id").alias("text")
+    )
+    write_formatted(rows, str(tmp_path / "out"))
+    assert made.value == 40
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).orderBy(F.monotonically_increasing_id()).collect()][0] == "line 0"
