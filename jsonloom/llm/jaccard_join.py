@@ -287,12 +287,12 @@ def with_components(docs: DataFrame, join: Join) -> DataFrame:
         scratch.drop(parts)
         return links
 
-    def rooted(roots: DataFrame | None) -> DataFrame:
+    def rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
         """The prefix rows with the component of each set, of n-grams that still lie in several."""
         if roots is None:
-            rows = shared.withColumn("root", F.col("name"))
+            rows = rows.withColumn("root", F.col("name"))
         else:
-            rows = shared.join(roots.toDF("name", "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+            rows = rows.join(roots.toDF("name", "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
         rows = scratch.store(rows, "rooted")
         sizes = rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("k"))
         open_grams = sizes.groupBy("gram").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "k").alias("major"))
@@ -312,7 +312,7 @@ def with_components(docs: DataFrame, join: Join) -> DataFrame:
 
     links, tried, near = None, None, None
     for turn in range(LED_ROUNDS):
-        here = rooted(near)
+        here = rooted(shared, near)
         rank = F.struct(F.col("weight") if turn == 0 else F.xxhash64("name", F.lit(turn)), "name")
         leaders = here.groupBy("gram").agg(F.max_by(F.struct("n", "name", "at", "root"), rank).alias("leader"))
         leaders = scratch.store(leaders, "leaders")
@@ -325,6 +325,11 @@ def with_components(docs: DataFrame, join: Join) -> DataFrame:
             )
         )
         pairs = scratch.store(fresh(led, tried), "led-pairs")
+        # By this n-gram the leader has met all the others: what is left are pairs without it.
+        # N-grams that lie in one component stay in one.
+        scratch.drop(shared)
+        met = here.join(leaders, "gram").filter(F.col("name") != F.col("leader.name"))
+        shared = scratch.store(met.select("gram", "name", "n", "at", "weight"), "unled-prefixes")
         scratch.drop(leaders)
         scratch.drop(here)
         found = checked(pairs, "led-links").select("a", "b")
@@ -333,7 +338,7 @@ def with_components(docs: DataFrame, join: Join) -> DataFrame:
         near = scratch.store(components(links, scratch), "led-components")
 
     # what is left: pairs of different components that share a prefix n-gram
-    here = rooted(near)
+    here = rooted(shared, near)
     few = here.select("gram", F.col("name").alias("a"), "n", "at", F.col("root").alias("own"), "major")
     few = few.filter("own <> major")
     rest = here.select("gram", F.col("name").alias("b"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("root").alias("far"))

@@ -1,5 +1,6 @@
 import random
 
+from jsonloom.llm.common import Scratch
 from jsonloom.llm.jaccard_join import Join, keep_one, with_components
 
 
@@ -71,3 +72,20 @@ def test_a_collision_of_one_hash(frame):
     df = frame([(d, t, None, None, None) for d, t in texts.items()])
     got = {r.doc_id: r.component_id for r in with_components(df, Weak(3, 80)).collect()}
     assert got == brute(texts, 3, 80)
+
+
+def test_leaders_leave_the_ngrams_whose_sets_they_have_met(frame, monkeypatch):
+    """Three sets share a common n-gram and do not link: after two leaders nothing is left to compare."""
+    left, store = [], Scratch.store
+
+    def counted(self, df, name):
+        out = store(self, df, name)
+        if name == "open-prefixes":
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "store", counted)
+    texts = ["a b c d", "a b e f", "a b g h"]
+    found = with_components(frame([(i, t, None, None, None) for i, t in enumerate(texts)]), Join(words=1, percent=50)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(0, 0), (1, 1), (2, 2)]
+    assert left[0] == 3 and left[2:] == [0, 0]
