@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from jsonloom.functions.paths import ancestor, dotted
 from jsonloom.operators.control import Control, with_chosen, with_hits
 
+#: Paths up to which each row compares its own path with them first.
+FEW_PATHS = 20
+
 
 def strict_layers(layers: Column, was_stringified: Column) -> Column:
     """Depths of the stringified ancestors, without the node itself."""
@@ -69,10 +73,15 @@ def restore_paths(nodes: DataFrame, paths: Iterable[list[str]] | DataFrame) -> D
     """
     control = paths if isinstance(paths, DataFrame) else [".".join(p) for p in paths]
     keys = F.transform("layers", lambda d: dotted(ancestor(F.col("path"), d)))
+    if not isinstance(control, DataFrame) and len(control) <= FEW_PATHS:
+        # a path's ancestors are beginnings of its text: most rows need no look at their keys
+        near = reduce(Column.__or__, [dotted(F.col("path")).startswith(p) for p in control], F.lit(False))
+        keys = F.when(near, keys).otherwise(F.array().cast("array<string>"))
     was = F.col("was_stringified")
     keyed = nodes.withColumn("keys", keys)
     marked = with_hits(keyed, F.col("keys"), control, "hits")
-    inside = F.arrays_overlap(strict_layers(F.col("keys"), was), F.col("hits"))
+    overlap = F.arrays_overlap(strict_layers(F.col("keys"), was), F.col("hits"))
+    inside = F.when(F.size("hits") > 0, overlap).otherwise(False)
     target = was & F.array_contains("hits", dotted(F.col("path")))
     return as_string(marked.where(~inside), target).drop("keys", "hits")
 

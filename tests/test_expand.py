@@ -158,3 +158,14 @@ def test_flatten_reads_what_nodes_hold(docs):
     assert (got["b"].k, got["b"].root) == (7.0, "object")
     assert (got["c"].zero, got["c"].root, got["c"].k) == ("1", "array", None)
     assert got["d"].p == "string"
+
+
+def test_restore_paths_looks_at_keys_only_near_a_path(spark, docs):
+    text = json.dumps({"p": '{"q":"[1]"}', "pq": '{"q":"[1]"}', "p.q": "[2]", "x": '{"p":"[3]"}'})
+    nodes = expand(parse(docs({"d": text}), "json"), levels=6)
+    rows = lambda df: sorted((r.path_text, r.kind, r.num_value or 0) for r in df.collect())
+    for paths in ([["$", "p"]], [["$", "p", "q"]], [["$", "pq", "q"], ["$", "x", "p"]]):
+        few = restore_paths(nodes, paths)
+        frame = spark.createDataFrame([(".".join(p),) for p in paths], "path string")
+        assert rows(few) == rows(restore_paths(nodes, frame))
+        assert "startswith(array_join(path" in few._jdf.queryExecution().optimizedPlan().toString().lower()
