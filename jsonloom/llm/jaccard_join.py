@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from jsonloom.llm.anchors import mixed
-from jsonloom.llm.common import Scratch, arrow_map, shuffle_partitions
+from jsonloom.llm.common import AT_ONCE, Scratch, arrow_map, shuffle_partitions, slices
 from jsonloom.llm.components import components
 from jsonloom.llm.substring_dedup import word_units
 
@@ -92,7 +92,7 @@ def first_pass(docs: DataFrame, join: Join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, AT_ONCE)):
             sets = [join.grams(x) for x in batch.column("text").to_pylist()]
             for g in sets:
                 np.add.at(sketch, (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
@@ -179,7 +179,7 @@ def prefixes(docs: DataFrame, join: Join, order: Order) -> DataFrame:
         at = np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in sizes)])
         return [pa.array(gram), name, pa.array(n), pa.array(at)]
 
-    return arrow_map(docs.select("text"), run, "gram bigint, name binary, n int, at int")
+    return arrow_map(docs.select("text"), run, "gram bigint, name binary, n int, at int", AT_ONCE)
 
 
 def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -222,7 +222,7 @@ def segments(docs: DataFrame, wanted: DataFrame, join: Join, order: Order) -> Da
         values = pa.array(np.concatenate([np.zeros(0, np.int64), *out]))
         return [names, fragments, pa.ListArray.from_arrays(pa.array(offsets), values)]
 
-    found = arrow_map(among(docs.select("doc_id", "text"), wanted, "doc_id").select("text"), run, "name binary, fragment int, grams array<bigint>")
+    found = arrow_map(among(docs.select("doc_id", "text"), wanted, "doc_id").select("text"), run, "name binary, fragment int, grams array<bigint>", AT_ONCE)
     return found.join(wanted.select("name").distinct(), "name", "left_semi")
 
 

@@ -1,6 +1,6 @@
 import random
 
-from jsonloom.llm.common import Scratch
+from jsonloom.llm.common import AT_ONCE, Scratch, arrow_map
 from jsonloom.llm.jaccard_join import Join, keep_one, with_components
 
 
@@ -89,3 +89,13 @@ def test_leaders_leave_the_ngrams_whose_sets_they_have_met(frame, monkeypatch):
     found = with_components(frame([(i, t, None, None, None) for i, t in enumerate(texts)]), Join(words=1, percent=50)).collect()
     assert sorted((r.doc_id, r.component_id) for r in found) == [(0, 0), (1, 1), (2, 2)]
     assert left[0] == 3 and left[2:] == [0, 0]
+
+
+def test_texts_become_ngrams_in_bounded_parts(spark):
+    seen = spark.range(2100, numPartitions=1).selectExpr("concat_ws(' ', id, id + 1, id + 2) as text")
+    counts = arrow_map(seen, lambda text: [[len(text)]], "n bigint", AT_ONCE)
+    assert sorted(r.n for r in counts.collect()) == [100, 500, 500, 500, 500]
+    # the operator's passes go by parts: one document more than a part holds, none is lost
+    docs = spark.range(AT_ONCE + 1, numPartitions=1).selectExpr("id as doc_id", "concat('a b c ', id % 2) as text")
+    found = with_components(docs, Join(words=3, percent=100)).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(d, d % 2) for d in range(AT_ONCE + 1)}
