@@ -34,6 +34,15 @@ def shape_text(path: Column) -> Column:
     return F.concat(F.lit("$"), F.array_join(segments, ""))
 
 
+def node_shape(path: Column, text: Column) -> Column:
+    """:func:`shape_text` of a node whose path text is known.
+
+    Where no key has a bracket, brackets of the text are those of indexes.
+    """
+    plain = ~F.contains(F.array_join(path, ""), F.lit("["))
+    return F.when(plain, F.regexp_replace(text, r"\[[0-9]+\]", "[*]")).otherwise(shape_text(path))
+
+
 def dotted(path: Column) -> Column:
     """Segments joined by dots, the form in which restore paths are compared."""
     return F.array_join(path, ".")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jsonloom.functions.paths import shape_text
+from jsonloom.functions.paths import node_shape
 
 KINDS = ("object", "array", "string", "number", "boolean", "null")
 
@@ -23,7 +23,7 @@ def parse_quality(records: DataFrame, *keys: Column | str, subtotals: bool = Fal
 def path_profile(nodes: DataFrame) -> DataFrame:
     """Per path without indexes: how many nodes, of which kinds, how many of them
     came out of strings."""
-    return nodes.groupBy(shape_text(F.col("path")).alias("path_shape")).agg(
+    return nodes.groupBy(node_shape(F.col("path"), F.col("path_text")).alias("path_shape")).agg(
         F.count("*").alias("nodes"),
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS],
         F.count_if("was_stringified").alias("stringified"),
