@@ -45,8 +45,9 @@ DEFAULT_MAX_DEPTH = 10
 PASS_LEVELS = 6
 
 # A row is open while ``n_children`` is NULL.  Closed containers keep only the
-# bracket of their cell.
-_STATE = ("doc_id", "line_number", "ord", "path", "path_text", "layers", "member", "cell")
+# bracket of their cell.  ``chain`` has the path text of each depth in ``layers``: kept
+# along the way, since paths cut out of every node's own cost more than its expansion.
+_STATE = ("doc_id", "line_number", "ord", "path", "path_text", "layers", "chain", "member", "cell")
 
 
 def _opened(rows: DataFrame, *extra: str) -> DataFrame:
@@ -75,6 +76,7 @@ def _roots(records: DataFrame, max_depth: int, only: Wanted | None = None) -> Da
         F.array(F.lit("$")).alias("path"),
         F.lit("$").alias("path_text"),
         F.array().cast("array<int>").alias("layers"),
+        F.array().cast("array<string>").alias("chain"),
         F.lit(False).alias("member"),
         "cell",
         root_value(max_depth).alias("value"),
@@ -90,10 +92,12 @@ def _open_value(max_depth: int) -> Column:
 
 
 @shared
-def _with_children() -> Column:
+def _with_children(view: tuple[str, ...] | None) -> Column:
     self_entry = F.array(F.lit(None).cast("struct<key:string,cell:string>"))
-    below = F.coalesce(F.col("value.children"), F.array().cast(ENTRIES))
-    return F.concat(self_entry, below)
+    below = F.col("value.children")
+    if view is not None:
+        below = F.when(~F.col("cell").startswith("s") | F.col("path_text").isin(*view), below)
+    return F.concat(self_entry, F.coalesce(below, F.array().cast(ENTRIES)))
 
 
 def _wanted_children(only: Wanted) -> Column:
@@ -129,6 +133,7 @@ def _spread_columns() -> list[Column]:
         F.when(unwrapped, F.concat("layers", F.array(F.size("path") - 1)))
         .otherwise(F.col("layers"))
         .alias("layers"),
+        F.when(unwrapped, F.concat("chain", F.array("path_text"))).otherwise(F.col("chain")).alias("chain"),
         F.when(own, F.col("member")).otherwise(F.col("entry.key").isNotNull()).alias("member"),
         F.when(own, F.coalesce("value.cell", "cell")).otherwise(F.col("entry.cell")).alias("cell"),
         F.when(own, count).alias("n_children"),
@@ -136,8 +141,8 @@ def _spread_columns() -> list[Column]:
     ]
 
 
-def _spread(rows: DataFrame, only: Wanted | None = None) -> DataFrame:
-    """Close the open rows and open their children, those of ``only`` if given.
+def _spread(rows: DataFrame, only: Wanted | None = None, view: tuple[str, ...] | None = None) -> DataFrame:
+    """Close the open rows and open their children, those of ``only`` or on ``view`` if given.
 
     The explode and the new columns share one generated stage.
     ``posexplode_outer`` keeps the optimizer from adding a filter on the array's
@@ -146,21 +151,25 @@ def _spread(rows: DataFrame, only: Wanted | None = None) -> DataFrame:
     if only:
         spread = rows.select("*", F.explode_outer(_wanted_children(only)).alias("entry")).withColumn("pos", F.col("entry.pos"))
         return spread.select(*_spread_columns(), F.col("entry.at").alias("at"))
-    spread = rows.select("*", F.posexplode_outer(_with_children()).alias("pos", "entry"))
+    spread = rows.select("*", F.posexplode_outer(_with_children(view)).alias("pos", "entry"))
     return spread.select(*_spread_columns())
 
 
-def _level(rows: DataFrame, max_depth: int, only: Wanted | None = None) -> DataFrame:
-    return _spread(rows.select("*", _open_value(max_depth).alias("value")), only)
+def _level(
+    rows: DataFrame, max_depth: int, only: Wanted | None = None, view: tuple[str, ...] | None = None
+) -> DataFrame:
+    return _spread(rows.select("*", _open_value(max_depth).alias("value")), only, view)
 
 
-def _levels(rows: DataFrame, count: int, max_depth: int, only: Wanted | None = None) -> DataFrame:
-    return reduce(lambda frame, _: _level(frame, max_depth, only), range(count), rows)
+def _levels(
+    rows: DataFrame, count: int, max_depth: int, only: Wanted | None = None, view: tuple[str, ...] | None = None
+) -> DataFrame:
+    return reduce(lambda frame, _: _level(frame, max_depth, only, view), range(count), rows)
 
 
 @shared
 def _node_columns() -> list[Column]:
-    cell, path, layers = F.col("cell"), F.col("path"), F.col("layers")
+    cell, path = F.col("cell"), F.col("path")
     was = F.col("raw_string").isNotNull()
     return [
         F.col("doc_id"),
@@ -180,8 +189,8 @@ def _node_columns() -> list[Column]:
         is_container(cell).alias("expandable"),
         was.alias("restorable"),
         F.col("member"),
-        layers,
-        stringified_chain(path, layers).alias("stringified_chain"),
+        F.col("layers"),
+        F.col("chain").alias("stringified_chain"),
     ]
 
 
@@ -216,10 +225,11 @@ def _closed(
     keep_deep: bool = False,
     scratch: list[str] | None = None,
     only: Wanted | None = None,
+    view: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """All rows closed, given rows to which ``done`` levels were applied."""
     if levels is not None:
-        reached = _levels(rows, levels - done, max_depth, only)
+        reached = _levels(rows, levels - done, max_depth, only, view)
         return reached if keep_deep else _guard(reached, levels)
 
     spark = rows.sparkSession
@@ -228,7 +238,7 @@ def _closed(
         path = scratch_path(spark, "nodes")
         if scratch is not None:
             scratch.append(path)
-        reached = _levels(rows, PASS_LEVELS, max_depth, only).withColumn(
+        reached = _levels(rows, PASS_LEVELS, max_depth, only, view).withColumn(
             "open", F.col("n_children").isNull()
         )
         reached.write.partitionBy("open").parquet(path)
@@ -242,7 +252,8 @@ def _closed(
 def expand_cells(
     rows: DataFrame, max_depth: int, levels: int | None, scratch: list[str] | None = None
 ) -> DataFrame:
-    """Nodes of the subtrees under cells at given paths (columns ``_STATE``)."""
+    """Nodes of the subtrees under cells at given paths (columns ``_STATE`` without ``chain``)."""
+    rows = rows.withColumn("chain", stringified_chain(F.col("path"), F.col("layers")))
     return _finish(_closed(_opened(rows), 0, max_depth, levels, scratch=scratch))
 
 
@@ -253,6 +264,7 @@ def expand(
     keep_deep: bool = False,
     scratch: list[str] | None = None,
     only: Iterable[Sequence[str]] | None = None,
+    view: Iterable[str] | None = None,
 ) -> DataFrame:
     """The node table of all successful records.
 
@@ -260,13 +272,20 @@ def expand(
     (``["items", "*", "note"]``): the nodes there and all below them, and nothing beside
     the way to them is opened.  A path that strings of JSON lie on needs no more.
 
+    ``view`` holds path texts of stringified nodes: what lies in any other such node is left
+    out.  These are the nodes that :func:`jsonloom.operators.view.visible_nodes` keeps of all
+    with the same set expanded and nothing restored.
+
     With ``levels`` and ``keep_deep`` a record that needs more levels does not fail the
     job: its unopened nodes stay as they are (:func:`unopened`).  Without ``levels``
     the folders of the passes are added to ``scratch``, for the caller to drop.
     """
     wanted = None if only is None else Wanted(only)
-    rows = _spread(_roots(records, max_depth, wanted), wanted)
-    rows = _closed(rows, 1, max_depth, levels, keep_deep, scratch, wanted)
+    shown = None if view is None else tuple(dict.fromkeys(view))
+    if wanted and shown is not None:
+        raise ValueError("either only or view")
+    rows = _spread(_roots(records, max_depth, wanted), wanted, shown)
+    rows = _closed(rows, 1, max_depth, levels, keep_deep, scratch, wanted, shown)
     return _finish(rows.where(F.col("at") == UNDER) if wanted else rows)
 
 
@@ -310,6 +329,7 @@ def records_at(records: DataFrame, wanted: str, max_depth: int = DEFAULT_MAX_DEP
             F.when(stays, F.col("path")).otherwise(F.concat("path", F.array("entry.key"))).alias("path"),
             F.when(stays, F.col("path_text")).otherwise(F.col("entry.text")).alias("path_text"),
             F.when(~stays & was, F.concat("layers", F.array(F.size("path") - 1))).otherwise(F.col("layers")).alias("layers"),
+            F.when(~stays & was, F.concat("chain", F.array("path_text"))).otherwise(F.col("chain")).alias("chain"),
             F.when(stays, F.col("member")).otherwise(F.col("entry.member")).alias("member"),
             F.when(stays, F.col("cell")).otherwise(F.col("entry.cell")).alias("cell"),
             F.when(stays, F.col("value")).alias("known"),

@@ -23,7 +23,9 @@ def visible_nodes(
     was = F.col("was_stringified")
     above = strict_layers(F.col("stringified_chain"), was)
     marked = with_hits(rows, F.col("stringified_chain"), expanded, "open_paths")
-    return marked.where(F.size(F.array_except(above, F.col("open_paths"))) == 0)
+    # most nodes have nothing above them to compare
+    bare = F.size("stringified_chain") == was.cast("int")
+    return marked.where(F.when(bare, True).otherwise(F.size(F.array_except(above, F.col("open_paths"))) == 0))
 
 
 def visible_rows(

@@ -82,12 +82,12 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_lines(inputs.event_log(spark, sf_dir))
 
 
-def event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expand(event_records(spark, sf_dir), levels=4)
+def event_nodes(spark: SparkSession, sf_dir: str, view: list[str] | None = None) -> DataFrame:
+    return expand(event_records(spark, sf_dir), levels=4, view=view)
 
 
-def call_nodes(spark: SparkSession, sf_dir: str, max_depth: int = 10) -> DataFrame:
-    return expand(parse(inputs.order_calls(spark, sf_dir), "json"), max_depth, levels=5)
+def call_nodes(spark: SparkSession, sf_dir: str, max_depth: int = 10, view: list[str] | None = None) -> DataFrame:
+    return expand(parse(inputs.order_calls(spark, sf_dir), "json"), max_depth, levels=5, view=view)
 
 
 def ranges_text(ranges: str) -> Column:
@@ -685,7 +685,7 @@ def copy_container(spark: SparkSession, sf_dir: str) -> DataFrame:
            path_text <> '$.props' AS expanded FROM ev_nodes WHERE path_text <> '$.props.k'""",
 )
 def visible_rows_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visible_rows(event_nodes(spark, sf_dir)).select(
+    return visible_rows(event_nodes(spark, sf_dir, view=[])).select(
         "source_line", "path_text", "key_label", "value_label", "expanded"
     )
 
@@ -709,7 +709,7 @@ def visible_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def visible_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows 2 to 4 of each record's collapsed display."""
-    rows = rows_page(visible_rows(event_nodes(spark, sf_dir)), 2, 3)
+    rows = rows_page(visible_rows(event_nodes(spark, sf_dir, view=[])), 2, 3)
     return rows.select("source_line", "place", "path_text", "value_label")
 
 
@@ -732,12 +732,12 @@ def document_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION SELECT '$.items' FROM calls""",
 )
 def stringified_paths_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stringified_paths(call_nodes(spark, sf_dir), ["$.items"])
+    return stringified_paths(call_nodes(spark, sf_dir, view=["$.items"]), ["$.items"])
 
 
 @register("expand_all_step", f"WITH {CALLS} SELECT DISTINCT '$.items' AS path_text FROM calls")
 def expand_all_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expand_all(call_nodes(spark, sf_dir))
+    return expand_all(call_nodes(spark, sf_dir, view=[]))
 
 
 @register(

@@ -2,13 +2,16 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
+from jsonloom.functions.paths import node_shape, shape_text
 from jsonloom.operators.expand import expand
 from jsonloom.operators.flatten import flatten
 from jsonloom.operators.materialise import expand_again, materialise, node_values
 from jsonloom.operators.records import parse
 from jsonloom.operators.restore import restore_all, restore_paths
+from jsonloom.operators.view import visible_nodes
 
 
 def nodes_of(nodes):
@@ -169,3 +172,27 @@ def test_restore_paths_looks_at_keys_only_near_a_path(spark, docs):
         frame = spark.createDataFrame([(".".join(p),) for p in paths], "path string")
         assert rows(few) == rows(restore_paths(nodes, frame))
         assert "startswith(array_join(path" in few._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_nodes_on_view_are_those_kept_of_all(docs):
+    texts = {name: text for name, text in TRAPS.items() if not name.startswith("deep")}
+    records = parse(docs(texts), "json")
+    nodes = expand(records, levels=5).persist()
+    for view in ([], ["$", "$.a", "$.i"], ["$.b", "$.b.c"]):
+        assert nodes_of(expand(records, levels=5, view=view)) == nodes_of(visible_nodes(nodes, view)), view
+    # a record is opened as far as it shows, so closed parts need no levels
+    assert expand(parse(docs({"d": json.dumps({"s": nested(9)})}), "json"), levels=2, view=[]).count() == 2
+
+
+def test_chains_are_carried_not_cut_out_of_paths(docs):
+    nodes = expand(parse(docs(TRAPS), "json"), levels=6)
+    plan = nodes.select("stringified_chain")._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(path" not in plan
+
+
+def test_shapes_of_awkward_keys(docs):
+    text = json.dumps({"a[0]": 1, "a": [1, {"b": ["x"]}], "7": {"[1]": [2]}, "]": [[3]], "é.x": [4]})
+    nodes = expand(parse(docs({"d": text}), "json"), levels=6)
+    shapes = nodes.select(shape_text(F.col("path")).alias("old"), node_shape(F.col("path"), F.col("path_text")).alias("new"))
+    rows = shapes.collect()
+    assert len(rows) == 15 and all(r.old == r.new for r in rows)
