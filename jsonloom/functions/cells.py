@@ -26,7 +26,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jsonloom.functions.shared import shared
-from jsonloom.functions.text import js_number, js_trim, json_trim, let
+from jsonloom.functions.text import JS_WHITESPACE, js_number, js_trim, json_trim, let
 
 # Options that narrow Spark's JSON reader to RFC 8259.
 STRICT = {
@@ -48,6 +48,9 @@ NUMBER = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"
 INDEX_KEY = r"^(?:0|[1-9][0-9]{0,9})\z"
 LAST_INDEX_KEY = 4294967294
 
+# First characters of a JSON text, of what a trim may leave in front of it included.
+JSON_STARTS = '{["-0123456789tfn' + JS_WHITESPACE
+
 Check = Callable[[Column], Column]
 
 ENTRIES = "array<struct<key:string,cell:string>>"
@@ -73,7 +76,7 @@ def unmark(cell: Column) -> Column:
 
 
 def _bounded(trimmed: Column, first: str, last: str) -> Column:
-    return trimmed.startswith(first) & trimmed.endswith(last) & (F.length(trimmed) > 1)
+    return trimmed.startswith(first) & trimmed.endswith(last) & (F.octet_length(trimmed) > 1)
 
 
 def could_be_json(trimmed: Column) -> Column:
@@ -99,7 +102,7 @@ def _no_children() -> Column:
 
 
 def _parse_marked(text: Column) -> Column:
-    """Value of a marked text; NULL unless strictly valid.
+    """Value of a marked text that could be JSON; NULL unless strictly valid.
 
     The text is parsed as the first of two array elements.  The second holds an
     unmarked string, which no part of the text can equal: if it is not found in
@@ -135,10 +138,10 @@ def _parse_marked(text: Column) -> Column:
         lambda content: _value(content, _no_children()),
     )
     return (
-        F.when(_bounded(text, "{", "}"), as_object)
-        .when(_bounded(text, "[", "]"), as_array)
-        .when(_bounded(text, '"', '"'), as_string)
-        .when(_is_plain(text), _value(text, _no_children()))
+        F.when(text.startswith("{"), as_object)
+        .when(text.startswith("["), as_array)
+        .when(text.startswith('"'), as_string)
+        .when(text.isNotNull(), _value(text, _no_children()))
         .cast(VALUE)
     )
 
@@ -304,11 +307,21 @@ def _array_elements(items: Column) -> Column:
     )
 
 
+def _open_container(cell: Column) -> Column:
+    """Value of a container cell, which the parse of its parent has proved to be one strict value."""
+    return (
+        F.when(cell.startswith("{"), let(F.from_json(cell, "map<string,string>", STRICT), lambda x: _value(F.lit("{"), _object_entries(x))))
+        .otherwise(_value(F.lit("["), _array_elements(F.from_json(cell, "array<string>", STRICT))))
+        .cast(VALUE)
+    )
+
+
 def open_cell(cell: Column, may_unwrap: Column) -> Column:
     """Value one level into a cell: a container's, or that of the JSON text in a
     string if ``may_unwrap``; NULL where there is nothing to open."""
+    # Only a few characters start a JSON text: cells beyond are left without a look inside.
+    worth = may_unwrap & (F.instr(F.lit(JSON_STARTS), F.substring(cell, 2, 1)) > 0)
     content = let(F.substr(cell, F.lit(2)), js_trim)
-    text = F.when(is_container(cell), cell).when(
-        cell.startswith("s") & may_unwrap, let(content, _mark_candidate)
+    return F.when(is_container(cell), _open_container(cell)).when(
+        cell.startswith("s") & worth, let(content, parse_value)
     )
-    return let(text, _parse_marked)
