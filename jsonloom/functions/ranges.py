@@ -28,8 +28,10 @@ def pieces(text: Column, pattern: str) -> Column:
         )
         return F.split(marked, separator, -1)
 
-    unused = F.get(
-        F.filter(F.array(*map(F.lit, SEPARATORS)), lambda c: ~F.contains(text, c)), F.lit(0)
+    # nearly every text lacks the first one
+    first = F.lit(SEPARATORS[0])
+    unused = F.when(~F.contains(text, first), first).otherwise(
+        F.get(F.filter(F.array(*map(F.lit, SEPARATORS)), lambda c: ~F.contains(text, c)), F.lit(0))
     )
     return let(unused, lambda s: F.when(s.isNotNull(), cut(s)).otherwise(_gaps_and_matches(text, pattern)))
 
@@ -110,9 +112,13 @@ def find_ranges(text: Column, pattern: str) -> Column:
             ),
         )
 
+    def single(lengths: Column) -> Column:
+        gap, match = F.get(lengths, F.lit(0)), F.get(lengths, F.lit(1))
+        return F.array(F.struct(gap.alias("start"), (gap + match).alias("end")))
+
     found = let(
         F.transform(pieces(text, pattern), utf16_length),
-        lambda lengths: let(running_totals(lengths), spans),
+        lambda lengths: F.when(F.size(lengths) == 3, single(lengths)).otherwise(let(running_totals(lengths), spans)),
     )
     return F.when(text.rlike(pattern), found).otherwise(F.array()).cast(RANGES)
 

@@ -49,7 +49,8 @@ def json_trim(text: Column) -> Column:
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 code units; Spark's ``length`` counts code points."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+    encoded = (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise(encoded)  # ASCII
 
 
 def js_slice(text: Column, units: Column | int) -> Column:

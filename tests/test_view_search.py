@@ -113,6 +113,13 @@ def test_last_match_wins_per_path_text(docs):
     assert [r.value_label for r in record_matches(search(nodes, "x")).collect()] == ['"x2"']
 
 
+def test_matches_make_no_ranges_that_nobody_reads(docs):
+    found = record_matches(search(expand(parse(docs({"d": '{"a":"x1"}'}), "json"), levels=2), "x"))
+    ranges = lambda df: "UTF-16BE" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert not ranges(found.select("value_label")) and ranges(found)
+    assert [tuple(x) for x in found.first().value_ranges] == [(1, 2)]
+
+
 def code_units(text):
     """The text as the UTF-16 units JavaScript's regular expressions step by."""
     raw = text.encode("utf-16-be")
