@@ -4,6 +4,7 @@ import struct
 
 from pyspark.sql import functions as F
 
+from jsonloom.functions.cells import open_cell
 from jsonloom.functions.text import js_number, js_slice, js_trim, json_quote, utf16_length
 
 
@@ -58,3 +59,13 @@ def test_slice_counts_utf16_units(spark):
     units = [len(r[0].encode("utf-16-be")) // 2 for r in df.select(js_slice(F.col("t"), 48)).collect()]
     # A cut through a pair keeps the pair.
     assert units == [48, 49, 48]
+
+
+def test_only_cells_that_can_be_json_are_looked_into(spark):
+    cells = {
+        "s﻿[1] ": "[", "s 7": "7", "s\x0b{}": "{", 's"q"': "sq", "snull": "null", "s": None, "sx[1]": None, "s[1": None,
+        's"a" "b"': None, "s-": None, '{"sa":[1],"s1":"sb"}': "{", "[]": "[", "n": None, "12": None,
+    }
+    opened = spark.createDataFrame([(c,) for c in cells], "c string").select("c", open_cell(F.col("c"), F.lit(True)).alias("v"))
+    assert {r.c: r.v and r.v.cell for r in opened.collect()} == cells
+    assert "0123456789tfn" in opened._jdf.queryExecution().analyzed().toString()
