@@ -13,6 +13,9 @@ with one leader of each of its n-grams, the most central class and then others;
 with the components of those links known, only pairs that lie in different components,
 so a group of near copies costs its size and not its square.  No link between components is lost.
 
+Each set has a bitmap of some bits per n-gram, in which each n-gram flips one bit.  Two bitmaps differ in
+no more bits than their sets in n-grams, so most candidates that do not link are left out before sets are fetched.
+
 Sets are named by 128 bits, two sums of hashes.  A pair's sets are fetched without moving
 texts: a bitmap of the wanted ids, of bounded size, goes to the scan.  Null texts and texts without words have empty sets and link with nothing; repeated
 rows are equal sets; the component of documents that all have null ids is null.
@@ -71,6 +74,12 @@ class Join:
         lanes = (np.add.reduce(mixed(grams)), np.add.reduce(mixed(~grams))) if len(grams) else (0, 0)
         return b"".join(int(x).to_bytes(8, "big") for x in lanes)
 
+    def parities(self, grams: np.ndarray) -> bytes:
+        """A bitmap of at least 64 and at least as many bits as n-grams, a power of two: how many n-grams fall on a bit, modulo 2."""
+        bits = 1 << max(6, (len(grams) - 1).bit_length())
+        flips = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+        return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
+
     def prefix(self, n: int) -> int:
         """N-grams of which two linked sets share one, of a set of n."""
         return n - (-(-self.percent * n // 100)) + 1
@@ -82,7 +91,18 @@ class Join:
         return (100 + self.percent) * common >= self.percent * (n + m)
 
 
-FIRST = "doc_id {}, digest bigint, n bigint, name binary, part int, counts binary"
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps of `parities` differ, the larger folded to the size of the smaller."""
+    u, v = (np.frombuffer(b, dtype="<u8") for b in (x, y))
+    while len(u) != len(v):
+        if len(u) > len(v):
+            u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+        else:
+            v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
+FIRST = "doc_id {}, digest bigint, n bigint, name binary, bits binary, part int, counts binary"
 
 
 def first_pass(docs: DataFrame, join: Join) -> DataFrame:
@@ -101,6 +121,7 @@ def first_pass(docs: DataFrame, join: Join) -> DataFrame:
                 batch.column("digest"),
                 pa.array(list(map(len, sets)), type=pa.int64()),
                 pa.array([join.name(g) for g in sets], type=pa.binary()),
+                pa.array([join.parities(g) if len(g) else None for g in sets], type=pa.binary()),
                 pa.nulls(len(sets), pa.int32()),
                 pa.nulls(len(sets), pa.binary()),
             ]
@@ -111,7 +132,7 @@ def first_pass(docs: DataFrame, join: Join) -> DataFrame:
             zero = pa.nulls(SKETCH_PARTS, pa.int64())
             numbers = pa.array(range(SKETCH_PARTS), type=pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [none, zero, zero, pa.nulls(SKETCH_PARTS, pa.binary()), numbers, pa.array([x.tobytes() for x in parts])],
+                [none, zero, zero, *[pa.nulls(SKETCH_PARTS, pa.binary())] * 2, numbers, pa.array([x.tobytes() for x in parts])],
                 schema=out,
             )
 
@@ -195,12 +216,12 @@ def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     place = (F.pmod(F.xxhash64(key), F.lit(bits)) + 1).alias("place")
     parts = wanted.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket"))
     parts = parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()  # MOST_BITS at most
-    bitmap = F.broadcast(spark.createDataFrame([(r.bucket, bytes(r.bits)) for r in parts], "bucket bigint, bits binary"))
+    longs = [np.frombuffer(r.bits, dtype="<i8").tolist() for r in parts]
+    bitmap = F.broadcast(spark.createDataFrame(list(zip([r.bucket for r in parts], longs)), "bucket bigint, longs array<bigint>"))
     at = F.bitmap_bit_position("place")
-    byte = F.conv(F.hex(F.substr("bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     placed = rows.withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("place"))
-    tested = placed.join(bitmap, "bucket").withColumns({"byte": byte, "bit": (at % 8).cast("int")})
-    return tested.filter("shiftright(byte, bit) & 1 = 1").select(*rows.columns)
+    bit = F.getbit(F.get("longs", F.shiftright(at, 6).cast("int")), (at % 64).cast("int"))
+    return placed.join(bitmap, "bucket").filter(bit == 1).select(*rows.columns)
 
 
 def segments(docs: DataFrame, wanted: DataFrame, join: Join, order: Order) -> DataFrame:
@@ -226,6 +247,22 @@ def segments(docs: DataFrame, wanted: DataFrame, join: Join, order: Order) -> Da
     return found.join(wanted.select("name").distinct(), "name", "left_semi")
 
 
+def close(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b, n, m) that may link by their bitmaps: sets differ in at least as many n-grams as bitmaps in bits."""
+
+    def run(**columns):
+        x, y = columns.pop("mine").to_pylist(), columns.pop("other").to_pylist()
+        n, m = (columns[k].to_numpy().astype(np.int64) for k in "nm")
+        differ = np.fromiter(map(apart, x, y), dtype=np.int64, count=len(x))
+        may = (100 + join.percent) * ((n + m - differ) // 2) >= join.percent * (n + m)
+        return [columns[k].filter(pa.array(may)) for k in ("a", "b", "n", "m")]
+
+    mine = classes.select(F.col("name").alias("a"), F.col("bits").alias("mine"))
+    other = classes.select(F.col("name").alias("b"), F.col("bits").alias("other"))
+    both = pairs.join(mine, "a").join(other, "b").select("a", "b", "n", "m", "mine", "other")
+    return arrow_map(both, run, "a binary, b binary, n int, m int", AT_ONCE)
+
+
 def linked(pairs: DataFrame, parts: DataFrame, join: Join) -> DataFrame:
     """The pairs (a, b, n, m) that link: partial overlaps by fragment, summed per pair."""
     mine = parts.select(F.col("name").alias("a"), "fragment", F.col("grams").alias("mine"))
@@ -257,9 +294,12 @@ def with_components(docs: DataFrame, join: Join) -> DataFrame:
     rows = scratch.store(first_pass(docs, join), "sets")
     order = Order(sketch_of(rows))
     sets = rows.filter(F.col("part").isNull()).select("doc_id", "digest", "n", "name")
-    classes = scratch.store(sets.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id")), "classes")
+    named = rows.filter("part is null and n > 0").groupBy("name")
+    classes = scratch.store(named.agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")), "classes")
 
-    all_prefixes = scratch.store(prefixes(docs, join, order), "prefixes")
+    # one document of each class will do: copies share n-grams with each other only
+    firsts = among(docs.select("doc_id", "text"), classes, "doc_id")
+    all_prefixes = scratch.store(prefixes(firsts, join, order), "prefixes")
     # aggregates that are joined back are written first: Spark then splits the hot keys of such joins
     code = F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("at")
     often = all_prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min(code).alias("lo"), F.max(code).alias("hi"))
@@ -279,6 +319,9 @@ def with_components(docs: DataFrame, join: Join) -> DataFrame:
     scratch.drop(weight)
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.store(close(pairs, classes, join), "close-pairs")
+        if pairs.isEmpty():
+            return pairs
         names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
         wanted = scratch.store(names.join(classes, "name").select("name", "doc_id"), "wanted")
         parts = scratch.store(segments(docs, wanted, join, order), "segments")

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 from jsonloom.llm.common import AT_ONCE, Scratch, arrow_map
-from jsonloom.llm.jaccard_join import Join, keep_one, with_components
+from jsonloom.llm.jaccard_join import Join, apart, keep_one, with_components
 
 
 def brute(texts, words, percent):
@@ -99,3 +101,37 @@ def test_texts_become_ngrams_in_bounded_parts(spark):
     docs = spark.range(AT_ONCE + 1, numPartitions=1).selectExpr("id as doc_id", "concat('a b c ', id % 2) as text")
     found = with_components(docs, Join(words=3, percent=100)).collect()
     assert {(r.doc_id, r.component_id) for r in found} == {(d, d % 2) for d in range(AT_ONCE + 1)}
+
+
+def test_bitmaps_never_say_more_than_the_sets_differ():
+    rng = np.random.default_rng(1)
+    for n, m, both in ((1, 1, 0), (1, 1, 1), (64, 65, 60), (500, 530, 400), (1000, 1100, 1000), (40, 5000, 0), (3000, 3000, 2990)):
+        grams = np.unique(rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64))
+        x, y = grams[:n], grams[n - both :]
+        differ = apart(Join().parities(x), Join().parities(y))
+        assert differ <= len(x) + len(y) - 2 * both
+        assert (differ == 0) == (n == m == both)
+        assert len(Join().parities(x)) * 8 >= n
+    assert apart(Join().parities(x), Join().parities(x)) == 0
+
+
+def test_only_sets_that_may_link_are_fetched(frame, monkeypatch):
+    """Pairs of texts share rare words but not enough: they are candidates whose sets are not fetched; copies have no rows of n-grams."""
+    rows, store = {}, Scratch.store
+
+    def counted(self, df, name):
+        out = store(self, df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "store", counted)
+    rng = random.Random(7)
+    pool = [f"p{i}" for i in range(2000)]
+    texts = [" ".join([*(f"h{d // 2}x{i}" for i in range(60)), *rng.sample(pool, 340)]) for d in range(30)]
+    texts += [" ".join(f"c{i}" for i in range(400))] * 30
+    texts += [" ".join([*(f"n{i}" for i in range(400)), f"end{d}"]) for d in range(3)]
+    found = with_components(frame([(i, t, None, None, None) for i, t in enumerate(texts)]), Join(words=1, percent=80)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {d: d if d < 30 else 30 if d < 60 else 60 for d in range(63)}
+    assert sum(rows["led-pairs"]) >= 15  # candidates by their prefixes
+    assert sum(rows["close-pairs"]) <= 3 and sum(rows.get("segments", [0])) <= 3 * 4 * 4  # of the near copies only
+    assert rows["prefixes"][0] == 34 * Join(1, 80).prefix(400)  # of each class once
